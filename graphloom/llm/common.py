@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import Scratch, free_shuffles, shared_dir  # noqa: F401
+
 #: Bytes outside ``[0-9A-Za-z]`` and non-ASCII become a space, A-Z become a-z: ``.split()`` then gives
 #: the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text, on its UTF-8 bytes.
 WORD_TABLE = bytes(
@@ -24,56 +23,6 @@ SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of its own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-        at = context.getCheckpointDir()
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage and go away together.
-
-    Used as a context manager by operators that finish their large steps before they return: what is
-    left for the caller is kept by ``keep`` (a reliable ``checkpoint``, small), the rest is deleted.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.drop()
-
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
-        at = f"{self.path}/{name}"
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """A result that outlives the scratch tables and goes when nobody refers to it."""
-        if self.spark.sparkContext.getCheckpointDir() is None:
-            self.spark.sparkContext.setCheckpointDir(shared_dir(self.spark))
-        return df.checkpoint()
-
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files of finished steps now rather than at its next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def fresh(taken: Iterable[str], stem: str) -> str:
     """A column name that starts with ``stem`` and clashes with none of ``taken``, whatever the case."""
     low = {c.lower() for c in taken}

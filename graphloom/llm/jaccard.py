@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, chunks, col, free_shuffles, fresh, mix64
-from .components import components
+from ..operators.components import components
 
 #: Tokens with a place of their own at the end of the order; the least count within a block to be counted.
 HEAVY, BLOCK_COUNT, BLOCK_TOKENS = 65_536, 8, 1 << 20

@@ -62,17 +62,12 @@ class Model:
                     break
         return np.zeros(len(self.langs)) if got is None else got - got.mean()
 
-    def predict(self, texts: list[bytes | None], known: dict[bytes, int], table: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text; ``known`` and ``table`` keep words' scores from call to call."""
-        if len(known) > CACHE:
-            known.clear()
-            table.clear()
+    def predict(self, texts: list[bytes | None], seen: "Seen") -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text; ``seen`` keeps words' scores from call to call."""
         langs, scores = [], np.zeros(len(texts))
         split = [words_of(t) for t in texts]
-        for w in {w for ws in split for w in ws}.difference(known):
-            known[w] = len(table)
-            table.append(self.word(w))
-        matrix = np.array(table).reshape(-1, len(self.langs))
+        seen.add({w for ws in split for w in ws}, self)
+        known, matrix = seen.place, seen.matrix
         for i, (text, ws) in enumerate(zip(texts, split, strict=True)):
             if not text or not self.langs or not has_letter(text):
                 langs.append(UNKNOWN)
@@ -86,6 +81,27 @@ class Model:
         return langs, scores
 
 
+class Seen:
+    """Scores of words met before: each word's row of a matrix; forgotten all at once when there are more than CACHE."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.matrix = np.zeros((0, 0))
+
+    def add(self, words: set[bytes], model: Model) -> None:
+        if len(self.place) > CACHE:
+            self.place.clear()
+        n, new = len(self.place), words.difference(self.place)
+        if n + len(new) > len(self.matrix) or not len(self.matrix):
+            grown = np.zeros((2 * (n + len(new)) + 1_024, len(model.langs)))
+            if n:
+                grown[:n] = self.matrix[:n]
+            self.matrix = grown
+        for k, w in enumerate(new, n):
+            self.place[w] = k
+            self.matrix[k] = model.word(w)
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from text and language of at most ``rows`` documents, chosen by a hash of the id.
 
@@ -166,12 +182,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str =
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def lang(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[bytes, int] = {}
-        table: list[np.ndarray] = []
+        seen = Seen()
         for texts in batches:
             langs, scores = [], []
             for part in chunks(texts):
-                g, s = held.value.predict(as_bytes(part), known, table)
+                g, s = held.value.predict(as_bytes(part), seen)
                 langs += g
                 scores += s.tolist()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, col, mix64
-from .components import components
+from ..operators.components import components
 
 #: Links of a node above the ground layer, on it; beam while building, first beam of queries, widest beam.
 M, M0, BUILD_BEAM, FIRST_BEAM, LAST_BEAM = 12, 24, 48, 24, 384
