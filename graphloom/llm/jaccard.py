@@ -1,9 +1,9 @@
 """N-gram Jaccard join with signature trees.
 
 Documents with the same set of word n-grams are one class.  Two classes can only reach the similarity if they
-share a token of their prefixes, the first n - ceil(t n) + 1 tokens in a global order that puts tokens
-which are frequent in the corpus last.  Classes that hang together by shared prefix tokens form a cluster; in a cluster
-a signature tree, whose nodes hold the OR of their classes' token bitmaps and their range of sizes, is
+share a token of their prefixes, the first n - ceil(t n) + 1 tokens in a global order that puts tokens made of
+words which are rare in the corpus first.  Classes of near sizes that hang together by shared prefix tokens
+form a cluster; in a cluster a signature tree, whose nodes hold the OR of their classes' token bitmaps and their range of sizes, is
 traversed against itself: a pair of nodes whose largest possible overlap is too small is left out, and so
 is one whose classes are known to hang together already.  Pairs of classes that remain are confirmed by
 their exact overlap.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, as_bytes, chunks, col, free_shuffles, fresh, mix64
 from ..operators.components import components
 
-#: Tokens with a place of their own at the end of the order; the least count within a block to be counted.
-HEAVY, BLOCK_COUNT, BLOCK_TOKENS = 65_536, 8, 1 << 20
+#: Words whose frequency makes the order of tokens, all others being rare; the least count within a block of words to be counted.
+COMMON, BLOCK_COUNT, BLOCK_WORDS = 65_536, 8, 1 << 20
 #: Tokens of a cluster that one task takes whole; a larger cluster is dealt into buckets of half as many.
 CLUSTER_TOKENS = 1 << 20
 #: Bits of a signature in words of 64, members of a leaf, pivots taken from a bucket of a large cluster.
@@ -59,25 +59,22 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return mix64(out + size.astype(np.uint64) * _ODD), start
 
 
-def shingle_sets(texts: list[bytes | None], k: int, block: int = 1 << 20) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's ``k``-word shingles; all words of a shorter text are one."""
-    out: list[np.ndarray] = []
+def words_in(texts: list[bytes | None], block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, where each text's begin and the last one's end) of runs of texts of about ``block`` bytes."""
     pending: list[bytes] = []
 
-    def flush() -> None:
-        data = b"\n".join(pending)
-        h, start = word_hashes(data.lower())
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        h, start = word_hashes(b"\n".join(pending).lower())
         ends = np.cumsum([len(x) + 1 for x in pending])
-        cut = np.concatenate([[0], np.searchsorted(start, ends)])
-        out.extend(shingles(h, cut, k))
         pending.clear()
+        return h, np.concatenate([[0], np.searchsorted(start, ends)])
 
     size = 0
     for t in texts:
         t = t or b""
         if len(t) > 4 * block:  # a very long text goes alone, in pieces that end at a space
             if pending:
-                flush()
+                yield joined()
                 size = 0
             parts, at = [], 0
             low = t.lower()
@@ -88,35 +85,43 @@ def shingle_sets(texts: list[bytes | None], k: int, block: int = 1 << 20) -> lis
                 parts.append(word_hashes(low[at:end])[0])
                 at = end
             h = np.concatenate(parts)
-            out.extend(shingles(h, np.array([0, len(h)]), k))
+            yield h, np.array([0, len(h)])
             continue
         pending.append(t)
         size += len(t)
         if size >= block:
-            flush()
+            yield joined()
             size = 0
     if pending:
-        flush()
-    return out
+        yield joined()
 
 
-def shingles(h: np.ndarray, cut: np.ndarray, k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], k: int, block: int = 1 << 20) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's ``k``-word shingles; all words of a shorter text are one."""
+    return [s for h, cut in words_in(texts, block) for s, _ in shingles(h, cut, k)]
+
+
+def shingles(h: np.ndarray, cut: np.ndarray, k: int, weight: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(sorted distinct shingles, the sum of their words' ``weight``) of each text."""
     with np.errstate(over="ignore"):
-        s = h
+        s, w = h, weight
         for j in range(1, k):
             s = mix64(s[: max(0, len(h) - j)] * np.uint64(0xD6E8FEB86659FD93) + h[j:])
-        out = []
+            w = w if w is None else w[: max(0, len(h) - j)] + weight[j:]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if b - a >= k:
-                out.append(np.unique(s[a : b - k + 1]))
+                if w is None:
+                    yield np.unique(s[a : b - k + 1]), None
+                else:
+                    own, first = np.unique(s[a : b - k + 1], return_index=True)
+                    yield own, w[a + first]
             elif b > a:
                 x = h[a]
                 for j in range(a + 1, b):
                     x = mix64(np.array([x * np.uint64(0xD6E8FEB86659FD93) + h[j]]))[0]
-                out.append(np.array([x ^ np.uint64(b - a)], np.uint64))
+                yield np.array([x ^ np.uint64(b - a)], np.uint64), np.zeros(1, np.int64)
             else:
-                out.append(np.zeros(0, np.uint64))
-    return out
+                yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -127,25 +132,27 @@ def first_half(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
-def heavy_tokens(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in BLOCK_COUNT sets at least, with the number of sets."""
-    if not sets:
+def common_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words that occur BLOCK_COUNT times at least, with how often."""
+    if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    found, counts = np.unique(np.concatenate(words), return_counts=True)
     often = counts >= BLOCK_COUNT
-    return tokens[often], counts[often]
+    return found[often], counts[often]
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first tokens of a set in the global order: by hash, heavy ones last by their rank."""
+def weights_of(h: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weight of each word, 0 for one that is not common."""
+    if not len(common):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return np.where(common[at] == h, weight[at], 0)
+
+
+def prefix(s: np.ndarray, weight: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first tokens of a set in the global order: by the weight of their words, then by hash."""
     n = len(s) + (-num * len(s) // den) + 1
-    at = np.searchsorted(heavy, s)
-    is_heavy = (heavy[np.minimum(at, len(heavy) - 1)] == s) if len(heavy) else np.zeros(len(s), bool)
-    light = s[~is_heavy]
-    if len(light) >= n:
-        return light[:n]
-    rest = s[is_heavy]
-    return np.concatenate([light, rest[np.argsort(rank[at[is_heavy]], kind="stable")][: n - len(light)]])
+    return s[np.lexsort([s, weight])[:n]]
 
 
 class Forest:
@@ -283,7 +290,7 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
     Shingles count by 64-bit hashes, sets by 128-bit digests.
 
     Scale: texts are read three times, the third time only those whose set is in a cluster.  Between the
-    passes go a row a document, and prefix tokens, a tenth of a set at 0.9.  The list of frequent tokens is
+    passes go a row a document, and prefix tokens, a tenth of a set at 0.9.  The list of common words is
     bounded and changes only the order.  A cluster beyond ``cluster_tokens`` is dealt into
     buckets by size and hash: each is matched by itself, then with pivots of the others, the members with
     most partners; buckets are then dealt anew by component, so that only members outside the main one
@@ -295,67 +302,76 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
     with Scratch(spark, "jaccard") as scratch:
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[bytes, np.ndarray] = {}
+            held: list[np.ndarray] = []
+            known: set[bytes] = set()
             size = 0
 
-            def rows(ids, digests, n, keys, tokens, counts) -> pa.RecordBatch:
+            def rows(ids, digests, n, keys, words, counts) -> pa.RecordBatch:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([ids, digests, n, keys, tokens, counts], kinds, strict=True)], ["doc_id", "digest", "n", "key", "token", "count"])
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([ids, digests, n, keys, words, counts], kinds, strict=True)], ["doc_id", "digest", "n", "key", "word", "count"])
 
-            def heavies() -> pa.RecordBatch:
-                tokens, counts = heavy_tokens(list(held.values()))
+            def common() -> pa.RecordBatch:
+                words, counts = common_words(held)
                 held.clear()
-                none = [None] * len(tokens)
-                return rows(none, none, none, none, tokens.view(np.int64), counts)
+                known.clear()
+                none = [None] * len(words)
+                return rows(none, none, none, none, words.view(np.int64), counts)
 
             for batch in batches:
                 ids, digests, at = batch["doc_id"], batch["digest"], 0
                 for part in chunks(batch["text"]):
-                    sets = shingle_sets(as_bytes(part), k)
-                    keys = [set_key(s) if len(s) else None for s in sets]
-                    none = [None] * len(sets)
-                    yield rows(ids.slice(at, len(part)), digests.slice(at, len(part)), [len(s) for s in sets], keys, none, none)
-                    at += len(part)
-                    for key, s in zip(keys, sets, strict=True):
-                        if key and key not in held:
-                            held[key] = s
-                            size += len(s)
-                            if size >= BLOCK_TOKENS:
-                                yield heavies()
-                                size = 0
-            yield heavies()
-
-        seen = scratch.cut(marked.mapInArrow(first, "doc_id long, digest string, n long, key binary, token long, count long"), "seen")
+                    for h, cut in words_in(as_bytes(part)):
+                        sets = [s for s, _ in shingles(h, cut, k)]
+                        keys = [set_key(s) if len(s) else None for s in sets]
+                        none = [None] * len(sets)
+                        yield rows(ids.slice(at, len(sets)), digests.slice(at, len(sets)), [len(s) for s in sets], keys, none, none)
+                        at += len(sets)
+                        for key, a, b in zip(keys, cut[:-1], cut[1:], strict=True):
+                            if key and key not in known:  # a copy says nothing new about words
+                                known.add(key)
+                                held.append(h[a:b])
+                                size += int(b - a)
+                                if size >= BLOCK_WORDS:
+                                    yield common()
+                                    size = 0
+            yield common()
+
+        seen = scratch.cut(marked.mapInArrow(first, "doc_id long, digest string, n long, key binary, word long, count long"), "seen")
         rows = seen.where("n is not null").select("doc_id", "digest", "n", "key")
-        heavy = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "token").limit(HEAVY).toPandas()
-        tokens = heavy["token"].to_numpy(np.int64).view(np.uint64)
-        rank = np.empty(len(tokens), np.int64)
-        rank[np.lexsort([tokens, heavy["c"].to_numpy(np.int64)])] = np.arange(len(tokens))
-        order = np.argsort(tokens)
-        held_heavy = spark.sparkContext.broadcast((tokens[order], rank[order]))
+        often = seen.where("word is not null").groupBy("word").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "word").limit(COMMON).toPandas()
+        words = often["word"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(words)
+        held_common = spark.sparkContext.broadcast((words[order], np.ceil(4 * np.log2(1 + often["c"].to_numpy(np.int64)[order])).astype(np.int64)))
 
         def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch["text"]):
-                    sets = [s for s in shingle_sets(as_bytes(part), k) if len(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([prefix(s, *held_heavy.value, num, den).tobytes() for s in sets], pa.binary())], ["key", "prefix"])
+                    for h, cut in words_in(as_bytes(part)):
+                        sets = [(s, w) for s, w in shingles(h, cut, k, weights_of(h, *held_common.value)) if len(s)]
+                        yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s, _ in sets], pa.binary()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array([prefix(s, w, num, den).tobytes() for s, w in sets], pa.binary())], ["key", "n", "prefix"])
 
-        classes = scratch.cut(texts.mapInArrow(second, "key binary, prefix binary").groupBy("key").agg(F.first("prefix").alias("prefix")), "classes")
+        classes = scratch.cut(texts.mapInArrow(second, "key binary, n long, prefix binary").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, own = batch["key"].to_pylist(), [np.frombuffer(p, np.int64) for p in batch["prefix"].to_pylist()]
                 if own:
-                    node = np.repeat(np.array([first_half(x) for x in keys], np.int64), [len(p) for p in own])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node)], ["token", "node"])
+                    times = [len(p) for p in own]
+                    node, n = (np.repeat(np.array(x, np.int64), times) for x in ([first_half(x) for x in keys], batch["n"].to_pylist()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node), pa.array(n)], ["token", "node", "n"])
 
-        spelt = classes.mapInArrow(spell, "token long, node long")
-        shared = scratch.cut(spelt.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1").select("token", "hub"), "shared")
+        spelt = classes.mapInArrow(spell, "token long, node long, n long")
+        shared = scratch.cut(spelt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("token").alias("t")), "shared")
         free_shuffles(spark)
-        links = spelt.join(shared.withColumnRenamed("token", "t"), F.col("token") == F.col("t")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        # Sizes of a band differ by a factor of num / den at most, so linked classes are in one band or in adjoining ones.
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) * (1 + 1e-9) if num < den else 1.0)).cast("long")
+        met = scratch.cut(spelt.join(shared, F.col("token") == F.col("t")).select("token", "node", F.explode(F.array(band, band + 1)).alias("band")), "met")
+        hubs = met.groupBy("token", "band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+        hubs = hubs.select(F.col("token").alias("t"), F.col("band").alias("b"), "hub")
+        links = met.join(hubs, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         clusters = components(links, checkpoint="jaccard-clusters").select("node", F.col("component").alias("cluster"))
-        scratch.drop("classes")
-        scratch.drop("shared")
+        for name in ("classes", "shared", "met"):
+            scratch.drop(name)
         free_shuffles(spark)
 
         # One document for each class of a cluster: its set is made again, and only its.
@@ -399,14 +415,16 @@ def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: i
                 yield pa.RecordBatch.from_arrays([ids.slice(done, len(part)), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "k", "tokens"])
                 done += len(part)
 
-    made = texts.withColumn("place", place).mapInArrow(third, "id long, k binary, tokens binary").where("k is not null")
-    full = made.join(members, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")))
-    # Rows that repeat an id and a text give a class twice; matching takes the first.
-    full = scratch.cut(full.select("cluster", "key", "n", "tokens"), "sets")
-    sizes = full.groupBy("cluster").agg(F.sum("n").alias("total"))
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     total = sizes.where(F.col("total") <= cluster_tokens).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t
     packs = max(1, -(-int(total) // cluster_tokens))
-    big = scratch.cut(sizes.where(F.col("total") > cluster_tokens), "large")
+    big = scratch.cut(sizes.where(F.col("total") > cluster_tokens).select("cluster"), "large")
+    any_big = not big.isEmpty()
+    made = texts.withColumn("place", place).mapInArrow(third, "id long, k binary, tokens binary").where("k is not null")
+    # Rows that repeat an id and a text give a class twice; matching takes the first.
+    full = made.join(members, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "key", "n", "tokens")
+    if any_big:
+        full = scratch.cut(full, "sets")
 
     def small(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -417,17 +435,17 @@ def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: i
             out += [(keys[a], keys[b]) for a, b in got]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    whole = full.join(big, "cluster", "left_anti").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))
+    whole = (full.join(big, "cluster", "left_anti") if any_big else full).withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))
     edges = scratch.cut(whole.groupBy("pack").applyInPandas(small, "a binary, b binary"), "edges")
-    if big.isEmpty():
+    if not any_big:
         return edges
-    return edges.unionByName(large(scratch, full.join(big.select("cluster"), "cluster").dropDuplicates(["key"]), num, den, cluster_tokens))
+    return edges.unionByName(large(scratch, full.join(big, "cluster").dropDuplicates(["key"]), num, den, cluster_tokens))
 
 
 def large(scratch: Scratch, full: DataFrame, num: int, den: int, cluster_tokens: int) -> DataFrame:
     """Links within clusters too large for one task."""
     each = max(1, cluster_tokens // 2)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) if num < den else 1.0)).cast("long")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) * (1 + 1e-9) if num < den else 1.0)).cast("long")
     full = scratch.cut(full.withColumn("band", band), "wide")
 
     def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -490,9 +508,10 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     # Each row of the first's is told by itself: its id is the component's.
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"))
     twins = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).join(first.select(F.col("f.doc_id").alias("_f"), F.col("f.digest").alias("_fd")), F.col("_id") == F.col("_f")).where("_d <> _fd").select("_id", "_d")
-    rows = docs.withColumn(mark, digest)
-    rows = rows.join(others.unionByName(twins).distinct(), (col(id_col) == F.col("_id")) & (col(mark) == F.col("_d")), "left_anti")
-    again = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id", "_d")
-    is_again = (col(id_col) == F.col("_id")) & (col(mark) == F.col("_d"))
-    once = rows.join(again, is_again, "left_semi").dropDuplicates([id_col, mark])
-    return rows.join(again, is_again, "left_anti").unionByName(once).drop(mark)
+    again = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id", "_d", F.lit("once").alias("_what"))
+    gone = others.unionByName(twins).distinct().withColumn("_what", F.lit("gone"))
+    # One decision a row that is not simply kept; "gone" comes before "once".
+    decided = gone.unionByName(again).groupBy("_id", "_d").agg(F.min("_what").alias("_what"))
+    rows = docs.withColumn(mark, digest).join(decided, (col(id_col) == F.col("_id")) & (col(mark) == F.col("_d")), "left").drop("_id", "_d")
+    once = rows.where("_what = 'once'").dropDuplicates([id_col, mark])
+    return rows.where("_what is null").unionByName(once).drop(mark, "_what")
