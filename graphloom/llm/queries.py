@@ -108,11 +108,11 @@ def _op4() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
 t AS (SELECT * FROM (VALUES {templates}) AS t(label, words, k)),
 f AS (SELECT * FROM (VALUES {phrases}) AS t(label, words)),
-base AS (SELECT rid, label, i - 1 AS at FROM d, f, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] = f.words[1] AND w[i:i + len(f.words) - 1] = f.words),
+base AS (SELECT rid, label, i - 1 AS place FROM d, f, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] = f.words[1] AND w[i:i + len(f.words) - 1] = f.words),
 lines AS (SELECT rid, list_distinct({line}) AS b FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
 met AS (SELECT rid, label, len(list_intersect(b, words)) / CAST(len(words) AS DOUBLE) AS c FROM lines, t WHERE len(list_intersect(b, words)) >= k),
 own AS (SELECT rid, max(c) AS c FROM met GROUP BY rid),
-b AS (SELECT rid, count(*) AS n, min(at) AS a, max(at) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY rid),
+b AS (SELECT rid, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY rid),
 every AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM met) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.a AS first_word, b.z AS last_word, coalesce(b.l, '') AS base_labels,
   coalesce(every.l, '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(own.c, 0.0)::DOUBLE END AS score
