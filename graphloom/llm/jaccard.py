@@ -1,8 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
 Documents with the same set of word n-grams are one class.  Two classes can only reach the similarity if they
-share a token of their prefixes, the first n - ceil(t n) + 1 tokens in a global order that puts tokens made of
-words which are rare in the corpus first.  Classes of near sizes that hang together by shared prefix tokens
+share tokens of their prefixes, at least L of the first n - ceil(t n) + L in a global order that puts tokens made of
+words which are rare in the corpus first; L grows with the size.  Classes of near sizes that hang together by shared prefix tokens
 form a cluster; in a cluster a signature tree, whose nodes hold the OR of their classes' token bitmaps and their range of sizes, is
 traversed against itself: a pair of nodes whose largest possible overlap is too small is left out, and so
 is one whose classes are known to hang together already.  Pairs of classes that remain are confirmed by
@@ -24,6 +24,8 @@ from ..operators.components import components
 
 #: Words whose frequency makes the order of tokens, all others being rare; the least count within a block of words to be counted.
 COMMON, BLOCK_COUNT, BLOCK_WORDS = 65_536, 8, 1 << 20
+#: A prefix has a SPARE-th of its set more than it must; tokens of more than FEW classes of a band link all to one of them.
+SPARE, FEW = 20, 8
 #: Tokens of a cluster that one task takes whole; a larger cluster is dealt into buckets of half as many.
 CLUSTER_TOKENS = 1 << 20
 #: Bits of a signature in words of 64, members of a leaf, pivots taken from a bucket of a large cluster.
@@ -150,8 +152,11 @@ def weights_of(h: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndar
 
 
 def prefix(s: np.ndarray, weight: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first tokens of a set in the global order: by the weight of their words, then by hash."""
-    n = len(s) + (-num * len(s) // den) + 1
+    """The first tokens of a set in the global order: by the weight of their words, then by hash.
+
+    One more than linked sets can lack, and ``spare`` tokens more, so that linked sets share 1 + ``spare``.
+    """
+    n = len(s) + (-num * len(s) // den) + 1 + len(s) // SPARE
     return s[np.lexsort([s, weight])[:n]]
 
 
@@ -365,12 +370,20 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
         free_shuffles(spark)
         # Sizes of a band differ by a factor of num / den at most, so linked classes are in one band or in adjoining ones.
         band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) * (1 + 1e-9) if num < den else 1.0)).cast("long")
-        met = scratch.cut(spelt.join(shared, F.col("token") == F.col("t")).select("token", "node", F.explode(F.array(band, band + 1)).alias("band")), "met")
-        hubs = met.groupBy("token", "band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-        hubs = hubs.select(F.col("token").alias("t"), F.col("band").alias("b"), "hub")
-        links = met.join(hubs, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        met = spelt.join(shared, F.col("token") == F.col("t")).select("token", "node", "n", band.alias("own"))
+        met = scratch.cut(met.withColumn("band", F.explode(F.array("own", F.col("own") + 1))), "met")
+        stats = met.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
+        stats = scratch.cut(stats.select(F.col("token").alias("t"), F.col("band").alias("b"), "c", "hub"), "stats")
+        at = (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))
+        hot = met.join(stats.where(F.col("c") > FEW), at).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        # Of other tokens each pair counts, once in the higher of its bands: linked classes that no hot token
+        # joins share as many as the smaller one's spare tokens and one.
+        few = met.join(stats.where(F.col("c") <= FEW), at).groupBy("token", "band").agg(F.collect_list(F.struct("node", "n", "own")).alias("m"))
+        couples = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["node"] < y["node"]) & (F.greatest(x["own"], y["own"]) == F.col("band"))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(x["n"], y["n"]).alias("n")))))
+        pairs = few.select(F.explode(couples).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c"), F.min("p.n").alias("n"))
+        links = hot.unionByName(pairs.where(F.col("c") >= 1 + F.floor(F.col("n") / SPARE)).select("a", "b")).distinct()
         clusters = components(links, checkpoint="jaccard-clusters").select("node", F.col("component").alias("cluster"))
-        for name in ("classes", "shared", "met"):
+        for name in ("classes", "shared", "met", "stats"):
             scratch.drop(name)
         free_shuffles(spark)
 
