@@ -87,6 +87,20 @@ def segment_means(s: np.ndarray) -> np.ndarray:
     return np.add.reduceat(s, at) / (SEGMENT if len(s) > SEGMENT else len(s) + (SEGMENT - len(s)) / 2)
 
 
+def batches(order: np.ndarray, sizes: np.ndarray, rows: int = 64, words: int = 16_384) -> Iterator[np.ndarray]:
+    """Runs of ``order`` of at most ``rows`` texts and, beyond one text, about ``words`` words."""
+    own: list[int] = []
+    total = 0
+    for i in order.tolist():
+        if own and (len(own) >= rows or total + sizes[i] > words):
+            yield np.array(own)
+            own, total = [], 0
+        own.append(i)
+        total += int(sizes[i])
+    if own:
+        yield np.array(own)
+
+
 def train(texts: list[bytes | None], y: np.ndarray, passes: int = 8, whole: int = 1, rate: float = 0.1, decay: float = 1e-3, least: int = 6, seed: int = 11) -> Model:
     """Fit vectors and softmax to texts of which ``y`` is 1 if toxic.
 
@@ -94,12 +108,13 @@ def train(texts: list[bytes | None], y: np.ndarray, passes: int = 8, whole: int
     ``whole`` passes take all of a text, the others its highest segment; ``decay`` shrinks what a step touches.
     """
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    vocabulary = {w: k for k, w in enumerate({w: 0 for ws in split for w in ws})}
+    vocabulary: dict[bytes, int] = {}
+    ids = []
+    for t in texts:  # a text's words are numbers before the next one is cut
+        ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64))
     if not vocabulary or not 0 < y.sum() < len(y):
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
-    ids = [np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws)) for ws in split]
     unit, owner = units(list(vocabulary))
     order = np.argsort(owner, kind="stable")
     unit = unit[order]
@@ -130,7 +145,7 @@ def train(texts: list[bytes | None], y: np.ndarray, passes: int = 8, whole: int
                 k = int(segment_means(s[x]).argmax()) if len(x) else 0
                 chosen.append(x[k * SEGMENT : (k + 1) * SEGMENT])
         step = rate * (1 - p / passes) + 0.02
-        for batch in np.array_split(rng.permutation(n), max(1, n // 64)):
+        for batch in batches(rng.permutation(n), np.array([len(x) for x in chosen])):
             own = [chosen[i] for i in batch]
             size = np.array([len(x) for x in own])
             word = np.concatenate(own) if size.sum() else np.zeros(0, np.int64)
