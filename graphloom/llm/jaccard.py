@@ -25,7 +25,7 @@ from ..operators.components import components
 #: Words whose frequency makes the order of tokens, all others being rare; the least count within a block of words to be counted.
 COMMON, BLOCK_COUNT, BLOCK_WORDS = 65_536, 8, 1 << 20
 #: A prefix has a SPARE-th of its set more than it must; tokens of more than FEW classes of a band link all to one of them.
-SPARE, FEW = 20, 8
+SPARE, FEW = 20, 64
 #: Tokens of a cluster that one task takes whole; a larger cluster is dealt into buckets of half as many.
 CLUSTER_TOKENS = 1 << 20
 #: Bits of a signature in words of 64, members of a leaf, pivots taken from a bucket of a large cluster.
