@@ -21,8 +21,8 @@ from ..operators.components import components
 M, M0, BUILD_BEAM, FIRST_BEAM, LAST_BEAM = 12, 24, 48, 24, 384
 #: Shards at least, vectors of a shard at most, queries of a group, vectors of a packed block.
 SHARDS, SHARD_ROWS, GROUP_ROWS, BLOCK = 8, 1_000_000, 1_000_000, 2_048
-#: The audit: queries a shard, and the share of true links that the beam has to find.
-AUDIT, RECALL = 256, 0.995
+#: The audit: probes of a shard with few links and with many, cosines to find them, and the share of its true links that a probe has to find on average.
+AUDIT, AUDIT_CELLS, RECALL = 256, 1 << 28, 0.995
 
 
 def top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,17 +189,42 @@ class Shard:
             i = int(self.label[i])
         return i
 
-    def audited(self) -> tuple[int, float]:
-        """The first beam, from FIRST_BEAM on and doubling, with which sampled members find their links; LAST_BEAM if none does."""
+    def probes(self) -> list[tuple[int, np.ndarray]]:
+        """(member, its partners by brute force, itself left out), of members in an order by hash that have a partner.
+
+        AUDIT members with fewer partners than the first beam holds and AUDIT with more are looked for, among AUDIT
+        members at least and, beyond that, as many as AUDIT_CELLS cosines allow.
+        """
         n = len(self.unit)
-        probe = np.argsort(mix64(np.arange(n, dtype=np.uint64)))[:AUDIT]
-        truth = self.unit[probe] @ self.unit.T >= self.least
+        order = np.argsort(mix64(np.arange(n, dtype=np.uint64)))[: max(AUDIT, AUDIT_CELLS // max(1, n))]
+        few, many = [], []
+        for lo in range(0, n, size := max(1, min(AUDIT, (8 << 20) // max(1, n)))):
+            own = order[lo : lo + size]
+            if not len(own) or (lo >= AUDIT and len(few) >= AUDIT):
+                break
+            near = self.unit[own] @ self.unit.T >= self.least
+            near[np.arange(len(own)), own] = False
+            for i, row in zip(own.tolist(), near, strict=True):
+                partners = np.flatnonzero(row)
+                held = few if len(partners) < FIRST_BEAM else many
+                if len(partners) and len(held) < AUDIT:
+                    held.append((i, partners))
+        return few + many
+
+    def audited(self) -> tuple[int, float]:
+        """The first beam, from FIRST_BEAM on and doubling, that passes the audit, LAST_BEAM if none does; and its recall.
+
+        Recall is the mean over probes of the share of a probe's own partners that its search finds, so that a
+        large group's many links don't outweigh a small group's few.  Probes with few partners and with many
+        are averaged apart, and the lower average counts.
+        """
+        probes = self.probes()
+        few = np.array([len(x) < FIRST_BEAM for _, x in probes], bool)
+        q = self.unit[[i for i, _ in probes]]
         width = FIRST_BEAM
         while True:
-            found = 0
-            for row, (_, got) in zip(truth, self.links(self.unit[probe], width), strict=True):
-                found += int(row[got].sum())
-            recall = found / max(1, int(truth.sum()))
+            share = np.array([np.isin(x, got).mean() for (_, x), (_, got) in zip(probes, self.links(q, width), strict=True)])
+            recall = min((float(share[x].mean()) for x in (few, ~few) if x.any()), default=1.0)
             if recall >= RECALL or width >= LAST_BEAM:
                 return width, recall
             width *= 2

@@ -144,6 +144,24 @@ def test_small_world_finds_links():
     assert not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum()
 
 
+def test_audit_sees_small_groups_beside_a_large_one(monkeypatch):
+    """A third of the rows are one group, whose links a narrow beam finds; the pairs' links take a wider one."""
+    rng = np.random.default_rng(6)
+    group = rng.normal(size=(1, 16)) + rng.normal(0, 0.01, (400, 16))
+    pairs = np.repeat(rng.normal(size=(400, 16)), 2, 0)
+    v = np.concatenate([group, pairs + rng.normal(0, 0.01, pairs.shape)])
+
+    def links(self, q, width=None):
+        for k, row in enumerate(q @ self.unit.T >= self.least):
+            yield k, np.flatnonzero(row if row.sum() > 24 or (width or self.width) >= 96 else q[k] @ self.unit.T >= 1 - 1e-12)
+
+    monkeypatch.setattr(N.Shard, "links", links)
+    s = N.Shard([f"{i:032d}" for i in range(len(v))], np.ones(len(v), int), v, 0.95)
+    assert s.width == 96 and s.recall == 1
+    assert all(i not in x and len(x) for i, x in s.probes()) and {len(x) < 24 for _, x in s.probes()} == {True, False}
+    assert N.Shard(["a", "b"], np.ones(2, int), np.eye(2), 0.95).recall == 1
+
+
 def test_language_backs_off():
     counts = [(g, w, n) for g, ws in {"en": "the thing with whale", "de": "der ding mit schwan", "fr": "le truc avec eau"}.items() for w in ws.split() for n in [5]]
     m = L.build(counts + [("en", "", 9), ("de", "", 9), ("fr", "", 9)])
