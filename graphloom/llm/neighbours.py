@@ -3,7 +3,8 @@
 Each shard of distinct vectors gets a hierarchy of proximity graphs, built in doubling batches with numpy.
 Every distinct vector queries every shard by beam search; pairs found are confirmed by cosine in double
 precision and united to components.  A shard's beam is widened until an audit against brute force passes;
-a query whose whole beam is linked is answered by a scan of the shard, so large groups lose nothing.
+if the widest one fails too, all queries of the shard are answered by brute force.  A query whose whole beam
+is linked is answered by a scan of the shard, so large groups lose nothing.
 """
 
 import pickle
@@ -23,6 +24,8 @@ M, M0, BUILD_BEAM, FIRST_BEAM, LAST_BEAM = 12, 24, 48, 24, 384
 SHARDS, SHARD_ROWS, GROUP_ROWS, BLOCK = 8, 1_000_000, 1_000_000, 2_048
 #: The audit: probes of a shard with few links and with many, cosines to find them, and the share of its true links that a probe has to find on average.
 AUDIT, AUDIT_CELLS, RECALL = 256, 1 << 28, 0.995
+#: What the searches of a shard give; see ``counted``.
+SAID = "class string, home long, size long, shard long, whole boolean, n long, to array<string>, pairs array<struct<class:string,n:long>>"
 
 
 def top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +171,7 @@ class Graph:
 
 
 class Shard:
-    """A shard's graph, its vectors in double precision, counts and ids, its beam, and its own components."""
+    """A shard's graph, its vectors in double precision, counts and ids, its beam (0: brute force), and its own components."""
 
     def __init__(self, ids: list[str], counts: np.ndarray, vectors: np.ndarray, least: float):
         order = np.argsort(np.array(ids, dtype=object), kind="stable")
@@ -178,7 +181,7 @@ class Shard:
         self.width, self.recall = self.audited()
         self.label = np.arange(len(self.ids))
         for q, found in self.links(self.unit):
-            roots = {self.root(q), *(self.root(int(j)) for j in found)}
+            roots = {self.root(q), *(self.root(int(r)) for r in np.unique(self.label[found]))}
             for r in roots:
                 self.label[r] = min(roots)
         self.label = np.array([self.root(i) for i in range(len(self.ids))])
@@ -212,7 +215,7 @@ class Shard:
         return few + many
 
     def audited(self) -> tuple[int, float]:
-        """The first beam, from FIRST_BEAM on and doubling, that passes the audit, LAST_BEAM if none does; and its recall.
+        """The first beam, from FIRST_BEAM on and doubling, that passes the audit, and its recall; 0 and 1, for brute force, if LAST_BEAM doesn't pass.
 
         Recall is the mean over probes of the share of a probe's own partners that its search finds, so that a
         large group's many links don't outweigh a small group's few.  Probes with few partners and with many
@@ -225,25 +228,61 @@ class Shard:
         while True:
             share = np.array([np.isin(x, got).mean() for (_, x), (_, got) in zip(probes, self.links(q, width), strict=True)])
             recall = min((float(share[x].mean()) for x in (few, ~few) if x.any()), default=1.0)
-            if recall >= RECALL or width >= LAST_BEAM:
+            if recall >= RECALL:
                 return width, recall
+            if width >= LAST_BEAM:
+                return 0, 1.0
             width *= 2
 
     def links(self, q: np.ndarray, width: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """(query, members at ``least`` cosine or more), confirmed in double precision, in the order of the queries."""
+        for k, found, _ in self.searched(q, width):
+            yield k, found
+
+    def searched(self, q: np.ndarray, width: int | None = None) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """As ``links``, and whether the members come of a scan of the whole shard, so that none is missing."""
         width = width or self.width
+        if not width:
+            yield from ((k, found, True) for k, found in enumerate(self.scanned(q)))
+            return
         size = int(max(16, min(1_024, (64 << 20) // max(1, len(self.unit) // 8))))
         for lo in range(0, len(q), size):
             part = q[lo : lo + size]
             sims, ids = self.graph.search(part.astype(np.float32), width)
             near = (sims >= self.least - 1e-3) & (ids >= 0)
+            whole = near.all(1)  # the whole beam: there may be more of them
+            scanned = self.scanned(part[whole])
             for k in range(len(part)):
-                if near[k].all():  # the whole beam: there may be more of them
-                    exact = self.unit @ part[k]
-                    yield lo + k, np.flatnonzero(exact >= self.least)
+                if whole[k]:
+                    yield lo + k, next(scanned), True
                 else:
                     own = ids[k][near[k]]
-                    yield lo + k, own[self.unit[own] @ part[k] >= self.least] if len(own) else own
+                    yield lo + k, own[self.unit[own] @ part[k] >= self.least] if len(own) else own, False
+
+    def scanned(self, q: np.ndarray) -> Iterator[np.ndarray]:
+        """The members at ``least`` cosine or more of each query, by brute force in blocks of queries."""
+        size = max(1, (4 << 20) // max(1, len(self.unit)))
+        for lo in range(0, len(q), size):
+            yield from map(np.flatnonzero, q[lo : lo + size] @ self.unit.T >= self.least)
+
+
+def counted(said: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class, found): the rows of other classes linked to each class, a link counting for both ends whichever search found it.
+
+    ``said`` has a row of each search (class and its own shard ``home``, ``shard`` asked, ``whole``, ``n``,
+    ``pairs``) and the tallies of the scans (``whole`` null: of the rows of ``shard`` whose scans found the class).
+    A scan misses nothing, so its count stands.  Any other search of a shard has the links that either side
+    found: those that scans of the other side found, as tallied, and the distinct pairs of searches of both sides.
+    """
+    scans = scratch.cut(said.where("whole").select("class", "shard", "n"), "scans")
+    met = scans.select("class", "shard")
+    tallies = said.where("whole is null").groupBy("class", "shard").agg(F.sum("n").alias("n")).join(met, ["class", "shard"], "left_anti")
+    pairs = said.where("not whole").select(F.col("class").alias("a"), F.col("home").alias("a_home"), "size", F.col("shard").alias("b_home"), F.explode("pairs").alias("b"))
+    ends = pairs.select(F.col("a").alias("x"), F.col("a_home").alias("x_home"), F.col("b.class").alias("y"), F.col("b_home").alias("y_home"), F.col("b.n").alias("n"))
+    ends = ends.unionByName(pairs.select(F.col("b.class").alias("x"), F.col("b_home").alias("x_home"), F.col("a").alias("y"), F.col("a_home").alias("y_home"), F.col("size").alias("n"))).distinct()
+    ends = ends.join(met.toDF("x", "y_home"), ["x", "y_home"], "left_anti").join(met.toDF("y", "x_home"), ["y", "x_home"], "left_anti")
+    every = scans.select("class", "n").unionByName(tallies.select("class", "n")).unionByName(ends.select(F.col("x").alias("class"), "n"))
+    return every.groupBy("class").agg(F.sum("n").alias("found"))
 
 
 def valid(v: Column) -> Column:
@@ -264,8 +303,9 @@ def near_duplicates(
 
     Scale: rows with the same vector are one class with a count.  Classes are dealt into ``shards`` shards by
     hash, more once a shard would exceed ``shard_rows``; every class queries every shard, in groups of
-    ``group_rows``, so a task holds one shard and streams packed queries.  Of the links a query finds in a
-    shard only their number and one edge for each of the shard's components leave the task.
+    ``group_rows``, so a task holds one shard and streams packed queries.  Of the links that a scan finds in a
+    shard only their number, one edge for each of the shard's components and the sums of all scans for each
+    member leave the task; of those that a beam finds also the pairs, fewer than the beam is wide.
     """
     spark = vectors.sparkSession
     v = F.transform(col(vector_col), lambda x: x.cast("double"))
@@ -291,35 +331,45 @@ def near_duplicates(
                 for d, part in batch.groupby("d"):
                     for lo in range(0, len(part), BLOCK):
                         own = part.iloc[lo : lo + BLOCK]
-                        yield pd.DataFrame({"d": [int(d)], "ids": ["".join(own["class"])], "data": [np.stack(own["v"].to_numpy()).tobytes()]})
+                        homes, sizes = (own[x].to_numpy(np.int64).tobytes() for x in ("shard", "n"))
+                        yield pd.DataFrame({"d": [int(d)], "ids": ["".join(own["class"])], "homes": [homes], "sizes": [sizes], "data": [np.stack(own["v"].to_numpy()).tobytes()]})
 
-        packed = scratch.cut(keyed.select("class", "v", "d").mapInPandas(pack, "d long, ids string, data binary"), "packed")
+        packed = scratch.cut(keyed.select("class", "v", "d", "shard", "n").mapInPandas(pack, "d long, ids string, homes binary, sizes binary, data binary"), "packed")
         spread = packed.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
         copies = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
 
         def query(key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            out, tally = [], {}
             if len(own):
                 shard = pickle.loads(b"".join(own.sort_values("piece")["data"]))
-                for ids, data in zip(asked["ids"], asked["data"], strict=True):
+                place = {x: j for j, x in enumerate(shard.ids)}
+                for ids, homes, many, data in zip(asked["ids"], asked["homes"], asked["sizes"], asked["data"], strict=True):
                     names = [ids[i : i + 32] for i in range(0, len(ids), 32)]
+                    homes, many = np.frombuffer(homes, np.int64).tolist(), np.frombuffer(many, np.int64).tolist()
                     q = np.frombuffer(data, float).reshape(len(names), -1)
-                    for k, found in shard.links(q / np.linalg.norm(q, axis=1, keepdims=True)):
-                        if len(found):
-                            out.append((names[k], int(shard.counts[found].sum()), [shard.ids[j] for j in np.unique(shard.label[found])]))
-            return pd.DataFrame(out, columns=["class", "n", "to"])
-
-        said = spread.groupBy("d", "shard", "group").cogroup(copies.groupBy("d", "shard", "group")).applyInPandas(query, "class string, n long, to array<string>")
+                    for k, found, whole in shard.searched(q / np.linalg.norm(q, axis=1, keepdims=True)):
+                        to = [shard.ids[j] for j in np.unique(shard.label[found])]
+                        found = found[found != place.get(names[k], -1)]
+                        if whole:
+                            tally.setdefault(homes[k], np.zeros(len(shard.ids), np.int64))[found] += many[k]
+                        if whole or len(found):
+                            pairs = [] if whole else [{"class": shard.ids[j], "n": int(shard.counts[j])} for j in found]
+                            out.append((names[k], homes[k], many[k], int(key[1]), whole, int(shard.counts[found].sum()), to, pairs))
+                for home, n in tally.items():
+                    out += [(shard.ids[j], int(key[1]), int(shard.counts[j]), home, None, int(n[j]), [], []) for j in np.flatnonzero(n)]
+            return pd.DataFrame(out, columns=["class", "home", "size", "shard", "whole", "n", "to", "pairs"])
+
+        said = spread.groupBy("d", "shard", "group").cogroup(copies.groupBy("d", "shard", "group")).applyInPandas(query, SAID)
         said = scratch.cut(said, "said")
         edges = said.select(F.col("class").alias("a"), F.explode("to").alias("b")).where("a <> b")
         parts = components(edges, checkpoint="near-cc")
-        # A class's own rows count among its links, less the row itself; the index may miss the class itself.
+        # A class's own rows count among its links, less the row itself.
         own = classes.select("class", "n", "least")
-        found = said.groupBy("class").agg(F.sum("n").alias("found"))
+        found = counted(said, scratch)
         info = own.join(found, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
         info = info.withColumn("component", F.coalesce("component", "class"))
         low = info.groupBy("component").agg(F.min("least").alias("component_id"))
-        info = info.join(low, "component").select(F.concat(F.lit("c"), "class").alias("_class"), (F.greatest(F.coalesce("found", F.lit(0)), "n") - 1).alias("n_links"), "component_id")
+        info = info.join(low, "component").select(F.concat(F.lit("c"), "class").alias("_class"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
         recall = index.agg(F.min("recall").alias("r")).first().r
         slim = rows.select("vec_id", F.concat(F.lit("c"), "class").alias("_class")).join(info, "_class", "left")
         return scratch.keep(

@@ -162,6 +162,17 @@ def test_audit_sees_small_groups_beside_a_large_one(monkeypatch):
     assert N.Shard(["a", "b"], np.ones(2, int), np.eye(2), 0.95).recall == 1
 
 
+def test_shard_that_no_beam_serves_is_scanned(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.normal(size=(150, 16)), 2, 0) + rng.normal(0, 0.01, (300, 16))
+    monkeypatch.setattr(N.Graph, "search", lambda self, q, width: ((q @ self.v[:1].T), np.zeros((len(q), 1), np.int64)))
+    s = N.Shard([f"{i:032d}" for i in range(300)], np.ones(300, int), v, 0.95)
+    truth = s.unit @ s.unit.T >= 0.95
+    assert s.width == 0 and s.recall == 1
+    assert all(whole and np.array_equal(got, np.flatnonzero(truth[k])) for k, got, whole in s.searched(s.unit))
+    assert np.array_equal(s.label, np.arange(300) // 2 * 2)
+
+
 def test_language_backs_off():
     counts = [(g, w, n) for g, ws in {"en": "the thing with whale", "de": "der ding mit schwan", "fr": "le truc avec eau"}.items() for w in ws.split() for n in [5]]
     m = L.build(counts + [("en", "", 9), ("de", "", 9), ("fr", "", 9)])

@@ -221,3 +221,18 @@ def test_near_duplicates(spark):
     got = Counter((r.vec_id, r.n_links, r.component_id) for r in out.collect())
     assert got == want
     assert neighbours.near_duplicates(df.where("false")).count() == 0
+
+
+def test_links_count_for_both_ends(spark):
+    """a (2 rows) and b, c, d: a's beam found b, b's found nothing; c's scan found a and d, a's and d's beams missed c or found it too."""
+    from graphloom.llm.common import Scratch
+
+    rows = [
+        ("a", 0, 2, 1, False, 1, [], [("b", 1)]), ("c", 1, 1, 0, True, 3, [], []), ("a", 0, 2, 0, None, 1, [], []), ("d", 0, 1, 1, False, 1, [], [("c", 1)]),
+        ("a", 0, 2, 1, None, 1, [], []), ("d", 0, 1, 1, None, 1, [], []), ("e", 0, 1, 0, False, 1, [], [("d", 1)]), ("d", 0, 1, 0, False, 1, [], [("e", 1)]),
+    ]
+    said = spark.createDataFrame(rows, neighbours.SAID)
+    with Scratch(spark, "ends") as scratch:
+        got = {r["class"]: r.found for r in neighbours.counted(said, scratch).collect()}
+    # b has a's two rows though its own search found none; a has b, c by its scan, and one row of its own shard by a scan there.
+    assert got == {"a": 3, "b": 2, "c": 3, "d": 2, "e": 1}
