@@ -19,7 +19,7 @@ from .common import WORD_TABLE, as_bytes, chunks, col, fresh, has_letter, remain
 
 #: Bounds of the model: documents learnt from, words and n-grams of each length kept; and the longest n-gram.
 SAMPLE_ROWS, MOST_WORDS, MOST_GRAMS, LONGEST = 20_000, 80_000, 40_000, 5
-#: Words whose scores a worker keeps; characters of a word from which n-grams are taken (both ends of a longer one).
+#: Words whose scores a worker keeps; characters of a word beyond which it counts as several words, its pieces of so many characters.
 CACHE, LONG_WORD = 400_000, 64
 UNKNOWN = "und"
 
@@ -35,9 +35,15 @@ def folded(word: bytes) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
+def pieces(word: str) -> list[str]:
+    """All of a word, in pieces of LONG_WORD characters at most that overlap so that no n-gram is lost: a paragraph without spaces is one word."""
+    if len(word) <= LONG_WORD:
+        return [word]
+    overlap = LONGEST - 1
+    return [word[i : i + LONG_WORD] for i in range(0, len(word) - overlap, LONG_WORD - overlap)]
+
+
 def grams(word: str, n: int) -> list[str]:
-    if len(word) > LONG_WORD:
-        word = word[: LONG_WORD // 2] + word[-LONG_WORD // 2 :]
     w = f"^{word}$"
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
@@ -50,8 +56,10 @@ class Model:
     grams: dict[int, dict[str, np.ndarray]]
 
     def word(self, raw: bytes) -> np.ndarray:
-        """Log likelihoods of a word less their mean; zeros where nothing of it is known."""
-        word = folded(raw)
+        """Log likelihoods of a word less their mean, summed over the pieces of a long one; zeros where nothing of it is known."""
+        return sum(map(self.piece, pieces(folded(raw))))
+
+    def piece(self, word: str) -> np.ndarray:
         got = self.words.get(word) if word else None
         if got is None and word:
             for n in range(min(LONGEST, len(word) + 2), 0, -1):
@@ -126,8 +134,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
                 counts = Counter(words_of(text))
                 mine = held_counts[lang]
                 for w, n in counts.items():
-                    if f := folded(w):
-                        mine[f] += n
+                    for f in pieces(folded(w)):
+                        if f:
+                            mine[f] += n
                 mine[""] += 1
             if sum(map(len, held_counts.values())) > 500_000:
                 yield out()

@@ -24,17 +24,26 @@ from .sampling import labelled
 BITS, DIM, GRAMS, SEGMENT = 18, 8, (4, 6, 8), 1
 #: Bounds of the training sample, in rows and bytes of text, and of the words whose scores a worker keeps.
 SAMPLE_ROWS, SAMPLE_BYTES, CACHE = 6_000, 20 << 20, 400_000
-#: Bytes of a word beyond which its n-grams are not taken one by one but the word counts as its hash and edges.
-LONG_WORD = 256
+#: Bytes of a word beyond which it counts as several words, and of these pieces; they overlap so that no n-gram is lost.
+LONG_WORD, PIECE = 256, 32
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(WORD_TABLE).split() if text else []
+    words = text.translate(WORD_TABLE).split() if text else []
+    return [p for w in words for p in pieces(w)] if words and max(map(len, words)) > LONG_WORD else words
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """All of a word, in pieces of PIECE bytes if it is long: a paragraph without spaces is one word."""
+    if len(word) <= LONG_WORD:
+        return [word]
+    overlap = GRAMS[-1] - 1
+    return [word[i : i + PIECE] for i in range(0, len(word) - overlap, PIECE - overlap)]
 
 
 def units(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(unit number, index of its word) of all units of some words."""
-    marked = [b"<" + (w if len(w) <= LONG_WORD else w[: LONG_WORD // 2] + w[-LONG_WORD // 2 :]) + b">" for w in words]
+    marked = [b"<" + w + b">" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), sizes)

@@ -200,6 +200,25 @@ def test_toxicity_learns_words_and_their_misspellings():
     assert np.isfinite(T.train([], np.zeros(0)).score([b"a"], {})).all()
 
 
+def test_the_middle_of_a_long_word_counts():
+    """Scripts without spaces: a paragraph is one word."""
+    rng = random.Random(9)
+    fill = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E40)) for _ in range(n))
+    bad, texts, y = "\u9fa0\u9fa1\u9fa2\u9fa3", [], []
+    for i in range(400):
+        y.append(float(i % 3 == 0))
+        texts.append((fill(150) + (bad if y[-1] else "") + fill(150)).encode())
+    m = T.train(texts[:300], np.array(y[:300]))
+    assert ((m.score(texts[300:], {}) >= 0.5) == (np.array(y[300:]) == 1)).mean() > 0.95
+    word = bytes(rng.randrange(128, 256) for _ in range(1_000))
+    assert {word[i : i + 8] for i in range(993)} <= {p[i : i + 8] for p in T.pieces(word) for i in range(len(p) - 7)} and max(map(len, T.pieces(word))) == T.PIECE
+
+    model = L.build([("en", "thethingwith", 9), ("de", "derdingmitschwan", 9), ("en", "", 9), ("de", "", 9)])
+    text = ("dermit" * 5 + "thething" * 40 + "dermit" * 5).encode()
+    assert model.predict([text], L.Seen())[0] == ["en"]
+    assert "".join([L.pieces(text.decode())[0], *(p[4:] for p in L.pieces(text.decode())[1:])]) == text.decode()
+
+
 def test_quality_learns_a_pair():
     rng = np.random.default_rng(2)
     x = rng.random((3_000, 4))
