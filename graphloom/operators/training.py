@@ -23,17 +23,21 @@ from .graphs import degrees
 
 @dataclass(frozen=True)
 class Loss:
-    """margin, contrastive, starspace, rank, rankspace or ppr, with its margins, temperature and number of negatives."""
+    """margin, contrastive, starspace, rank or rankspace, with its margins, temperature and number of negatives; ppr is not built."""
 
     kind: str = "margin"
     gamma: float = 1.0
     other: float = 0.0
     negatives: int = 1
 
+    def __post_init__(self) -> None:
+        if self.kind not in ("margin", "contrastive", "starspace", "rank", "rankspace"):
+            raise ValueError(f"no loss {self.kind!r}")
+
     def value_and_gradients(self, t: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Of the reconstruction ``t``, the node's own ``h`` and negatives ``u``: (loss, d/dt, d/dh, d/du)."""
         gt, gh, gu = np.zeros_like(t), np.zeros_like(h), np.zeros_like(u)
-        if self.kind in ("margin", "ppr"):
+        if self.kind == "margin":
             dp, a = euclid(t, h)
             total, on = 0.0, 0
             for i in range(len(u)):

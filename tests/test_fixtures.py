@@ -296,3 +296,9 @@ def test_builders(spark):
     assert {r.node_name for r in w.collect()} <= {"widget", "gadget", "doohickey"}
     ns = spark.createDataFrame([("color=red",), ("plain",)], "n string").select(graphs.namespace("prefix", F.col("n"), F.lit("t")).alias("x"))
     assert [tuple(r.x) for r in ns.collect()] == [("color", "red"), ("feat", "plain")]
+
+
+def test_losses_that_are_not_built_are_rejected():
+    for kind in ("ppr", "other"):
+        with pytest.raises(ValueError):
+            training.Loss(kind)
