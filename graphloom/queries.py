@@ -488,7 +488,9 @@ def c2_label_propagation(spark, d):
 
 @query()
 def c3_speaker_listener(spark, d):
-    e = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), (F.col("n_regionkey") + 100).cast("bigint").alias("dst"), F.lit(1.0).alias("weight"))
+    """Over customers, suppliers, nations and regions: ids are 4 * key + 0, 1, 2 and 3."""
+    tie = lambda t, a, x, b, y: read(spark, d, t).select((F.col(a).cast("bigint") * 4 + x).alias("src"), (F.col(b).cast("bigint") * 4 + y).alias("dst"), F.lit(1.0).alias("weight"))
+    e = tie("customer", "c_custkey", 0, "c_nationkey", 2).unionByName(tie("supplier", "s_suppkey", 1, "s_nationkey", 2)).unionByName(tie("nation", "n_nationkey", 2, "n_regionkey", 3))
     return clustering.speaker_listener(graphs.normalized(graphs.undirected(e)), 8, 2)
 
 
@@ -546,11 +548,11 @@ def e5_instant_embeddings(spark, d):
 
 @query()
 def e6_feature_ppr(spark, d):
-    """Of every nation, from the market segments of the customers that a walk reaches."""
+    """Of every node, from the market segments of the customers that a walk of one or two steps reaches."""
     e = geography(spark, d)
     nodes = graphs.nodes_of(e)
     segments = read(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.lit(0).alias("pos"), F.col("c_mktsegment").alias("feat"))
-    return flat(embedding.feature_rank_vectors(walks.expected_walk(e, nodes.where("id like 'n%'"), 1, 0.0), segments, nodes.count(), 16), "root")
+    return flat(embedding.feature_rank_vectors(walks.expected_walk(e, nodes, 0.5, 0.0, 2), segments, nodes.count(), 16), "root")
 
 
 @query(f"WITH {ACT}, {_ACT_VECTORS}, s AS (SELECT src AS id, i, sum(p * vector[i]) AS x, count(*) AS n FROM e JOIN nv ON nv.id = dst, unnest(range(1, 5)) AS t(i) GROUP BY ALL) SELECT id, CAST(i - 1 AS INTEGER) AS pos, round((1 - a) * x + a * vector[i], 9) + 0.0 AS x FROM (SELECT s.id AS id, i, x, vector, least(1, 1 / ln(n + 1.0::DOUBLE)) AS a FROM s JOIN nv USING (id))")

@@ -302,3 +302,14 @@ def test_losses_that_are_not_built_are_rejected():
     for kind in ("ppr", "other"):
         with pytest.raises(ValueError):
             training.Loss(kind)
+
+
+def test_queries_over_all_of_the_geography(spark):
+    from graphloom import queries
+
+    d = "/root/testdata/sf0.001"
+    n = {t: queries.read(spark, d, t).count() for t in ("customer", "supplier", "nation", "region")}
+    got = queries.QUERIES["c3_speaker_listener"](spark, d)
+    assert {r.kind: r["count"] for r in got.groupBy((F.col("id") % 4).alias("kind")).count().collect()} == dict(enumerate(n.values()))
+    roots = {r.kind: r.n for r in queries.QUERIES["e6_feature_ppr"](spark, d).groupBy(F.substring("root", 1, 1).alias("kind")).agg(F.countDistinct("root").alias("n")).collect()}
+    assert roots == {t[0]: k for t, k in n.items()}
