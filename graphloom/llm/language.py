@@ -4,20 +4,20 @@ A known word scores by its log frequency in each language.  An unseen word falls
 character n-grams that are known, and from there to shorter ones.  Log frequencies are add-one smoothed.
 """
 
-import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, as_bytes, chunks, col, fresh, has_letter, remainder
+from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, has_letter, remainder
 
-#: Bounds of the model: documents learnt from, words and n-grams of each length kept; and the longest n-gram.
+#: Bounds of the model: documents learnt from, words and n-grams of each length kept of each language; and the longest n-gram.
 SAMPLE_ROWS, MOST_WORDS, MOST_GRAMS, LONGEST = 20_000, 80_000, 40_000, 5
 #: Words whose scores a worker keeps; characters of a word beyond which it counts as several words, its pieces of so many characters.
 CACHE, LONG_WORD = 400_000, 64
@@ -50,23 +50,27 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Words and n-grams by length have their row of ``logs``, that of words at 0: an array each would take twice the memory."""
+
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: dict[str, int]
+    grams: dict[int, dict[str, int]]
+    logs: dict[int, np.ndarray]
 
     def word(self, raw: bytes) -> np.ndarray:
         """Log likelihoods of a word less their mean, summed over the pieces of a long one; zeros where nothing of it is known."""
         return sum(map(self.piece, pieces(folded(raw))))
 
     def piece(self, word: str) -> np.ndarray:
-        got = self.words.get(word) if word else None
+        at = self.words.get(word) if word else None
+        got = None if at is None else self.logs[0][at]
         if got is None and word:
             for n in range(min(LONGEST, len(word) + 2), 0, -1):
                 table = self.grams.get(n, {})
                 known = [table[g] for g in grams(word, n) if g in table]
                 if known:
-                    got = sum(known) / len(known)
+                    got = self.logs[n][known].mean(0)
                     break
         return np.zeros(len(self.langs)) if got is None else got - got.mean()
 
@@ -114,8 +118,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
     """Learn from text and language of at most ``rows`` documents, chosen by a hash of the id.
 
     Documents whose crc32 of the id modulo ``mod`` is ``held``, without an id, a text or a language, are
-    not learnt from.  Words are counted on the executors; the ``MOST_WORDS`` most frequent ones come to the
-    driver, ties by code point.  Without any such document the model knows no language.
+    not learnt from.  Words, and the n-grams of all of them, are counted on the executors.  What is among the
+    ``MOST_WORDS`` most frequent words of any language, or its ``MOST_GRAMS`` n-grams of a length, comes to the driver
+    with its counts in all languages, ties by code point.  Without any such document the model knows no language.
     """
     own = docs.where((remainder(col(id_col), mod) != held) & col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).cast("string").alias("t"), col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col).cast("string")).alias("h"))
     last = own.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
@@ -143,39 +148,74 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
         if held_counts:
             yield out()
 
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("w", T.StringType()), T.StructField("n", T.LongType())])
-    counts = own.select("lang", "t").mapInArrow(count, schema).groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    top = counts.orderBy((F.col("w") == "").desc(), F.col("n").desc(), "lang", "w").limit(MOST_WORDS).toArrow()
-    return build(list(zip(top["lang"].to_pylist(), top["w"].to_pylist(), top["n"].to_pylist(), strict=True)))
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, 2_000) for b in batches for lo in range(0, b.num_rows, 2_000)):
+            held: Counter = Counter()
+            for lang, w, n in zip(batch["lang"].to_pylist(), batch["w"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                for size in range(1, LONGEST + 1) if w else ():
+                    for g in grams(w, size):
+                        held[lang, size, g] += n
+            flat = [pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)] if held else [pa.array([], t) for t in (pa.string(), pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*flat, pa.array(held.values(), pa.int64())], ["lang", "size", "w", "n"])
 
-def build(counts: list[tuple[str, str, int]]) -> Model:
-    """A model from (language, word, count); the empty word counts documents."""
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("w", T.StringType()), T.StructField("n", T.LongType())])
+    with Scratch(docs.sparkSession, "lang") as scratch:
+        words = scratch.cut(own.select("lang", "t").mapInArrow(count, schema).groupBy("lang", "w").agg(F.sum("n").alias("n")), "words")
+        parts = words.mapInArrow(cut, "lang string, size int, w string, n long").groupBy("lang", "size", "w").agg(F.sum("n").alias("n"))
+        every = scratch.cut(words.select("lang", F.lit(0).alias("size"), "w", "n").unionByName(parts), "counts")
+        sums = every.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect()
+        kinds = {r["size"]: r.kinds for r in every.groupBy("size").agg(F.countDistinct("w").alias("kinds")).collect()}
+        top = frequent(every, [(r.lang, r["size"]) for r in sums if r.kinds > (MOST_GRAMS if r["size"] else MOST_WORDS)]).toArrow()
+    rows = list(zip(*(top[c].to_pylist() for c in ("lang", "size", "w", "n")), strict=True))
+    return build([(g, w, n) for g, size, w, n in rows if not size], [r for r in rows if r[1]], {(r.lang, r["size"]): r.n for r in sums}, kinds)
+
+
+def frequent(every: DataFrame, over: list[tuple[str, int]]) -> DataFrame:
+    """Rows (lang, size, w, n) whose word or n-gram is frequent in some language; ``over`` has the languages and sizes with more than are kept."""
+    if not over:
+        return every
+    part = lambda lang, size: (F.col("lang") == F.lit(lang)) & (F.col("size") == size)
+    tops = [every.where(part(*x)).orderBy((F.col("w") == "").desc(), F.col("n").desc(), "w").limit(MOST_GRAMS if x[1] else MOST_WORDS) for x in over]
+    keys = reduce(DataFrame.unionByName, tops, every.where(~reduce(Column.__or__, [part(*x) for x in over])))
+    return every.join(keys.select("size", "w").distinct(), ["size", "w"], "left_semi")
+
+
+def build(counts: list[tuple[str, str, int]], cut: list[tuple[str, int, str, int]] | None = None, sums: dict[tuple[str, int], int] | None = None, kinds: dict[int, int] | None = None) -> Model:
+    """A model from (language, word, count), where the empty word counts documents, and (language, length, n-gram, count).
+
+    Without n-grams those of the words count.  ``sums`` by language and length, and ``kinds`` by length, are of
+    all n-grams, kept or not.
+    """
     langs = sorted({c[0] for c in counts})
     if not langs:
-        return Model([], np.zeros(0), {}, {})
+        return Model([], np.zeros(0), {}, {}, {})
     index = {g: k for k, g in enumerate(langs)}
-    docs, words = np.zeros(len(langs)), {}
+    words: dict[str, np.ndarray] = {}
     by_gram: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(1, LONGEST + 1)}
-    for lang, w, n in counts:
-        k = index[lang]
-        if not w:
-            docs[k] += n
-            continue
-        words.setdefault(w, np.zeros(len(langs)))[k] += n
-        for size, table in by_gram.items():
-            for g in grams(w, size):
-                if g not in table:
-                    table[g] = np.zeros(len(langs))
-                table[g][k] += n
-
-    def logs(table: dict[str, np.ndarray], most: int | None = None) -> dict[str, np.ndarray]:
-        kept = table if most is None or len(table) <= most else {g: table[g] for g in heapq.nsmallest(most, table, key=lambda g: (-table[g].sum(), g))}
-        total = np.log(sum(table.values(), np.zeros(len(langs))) + len(table) + 1)
-        return {g: np.log(c + 1) - total for g, c in kept.items()}
 
+    def add(table: dict[str, np.ndarray], lang: str, w: str, n: int) -> None:
+        if w not in table:
+            table[w] = np.zeros(len(langs))
+        table[w][index[lang]] += n
+
+    for lang, w, n in counts:
+        if w:
+            add(words, lang, w, n)
+            for size, table in by_gram.items() if cut is None else ():
+                for g in grams(w, size):
+                    add(table, lang, g, n)
+    for lang, size, g, n in cut or ():
+        add(by_gram[size], lang, g, n)
+
+    def logs(table: dict[str, np.ndarray], size: int) -> np.ndarray:
+        seen = np.stack(list(table.values())) if table else np.zeros((0, len(langs)))
+        of = np.array([sums.get((g, size), 0) for g in langs], float) if sums and size else seen.sum(0)
+        return np.log(seen + 1) - np.log(of + (kinds.get(size, 0) if kinds and size else len(table)) + 1)
+
+    tables = {0: words, **by_gram}
+    numbers = {n: {w: k for k, w in enumerate(t)} for n, t in tables.items()}
     # All languages are equally likely beforehand, so that a rare language's short texts are not lost.
-    return Model(langs, np.zeros(len(langs)), logs(words), {n: logs(t, MOST_GRAMS) for n, t in by_gram.items()})
+    return Model(langs, np.zeros(len(langs)), numbers.pop(0), numbers, {n: logs(t, n) for n, t in tables.items()})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
@@ -184,7 +224,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str =
     ``score`` is the posterior of the predicted language.  A text that is null or has no letter is ``und``
     with score 0, and so is any text if the model knows no language; ties go to the language first by code
     point.  Whole texts count; other columns, nulls and repeated rows pass through.  One scan, no shuffle;
-    the model is bounded by MOST_WORDS and MOST_GRAMS.
+    the model is bounded by MOST_WORDS and MOST_GRAMS of each language.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])

@@ -236,3 +236,14 @@ def test_links_count_for_both_ends(spark):
         got = {r["class"]: r.found for r in neighbours.counted(said, scratch).collect()}
     # b has a's two rows though its own search found none; a has b, c by its scan, and one row of its own shard by a scan there.
     assert got == {"a": 3, "b": 2, "c": 3, "d": 2, "e": 1}
+
+
+def test_a_rare_language_keeps_its_words(spark, monkeypatch):
+    """As many words a language are kept as the most frequent language alone fills, and n-grams of words that are cut count."""
+    monkeypatch.setattr(language, "MOST_WORDS", 21)
+    rows = [(i, " ".join(f"en{chr(97 + k)}" for k in range(20)), "en") for i in range(60)] + [(100 + i, "zorro zyx", "es") for i in range(8)]
+    rows += [(200 + i, " ".join(f"en{chr(97 + k)}q{chr(97 + i)}" for k in range(20)), "en") for i in range(8)]
+    m = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "zorro" in m.words and "zyx" in m.words and len([w for w in m.words if w.startswith("en")]) == 20
+    assert "q" in m.grams[1]
+    assert m.predict([b"zorro"], language.Seen())[0] == ["es"]
