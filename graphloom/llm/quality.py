@@ -161,9 +161,10 @@ def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 4, held: int = 2, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on the features of at most ``rows`` labelled documents, chosen by a hash of the id.
 
-    Labels of ids whose crc32 modulo ``mod`` is ``held`` are not learnt from.  Only features come to the driver.
+    Labels of ids whose crc32 modulo ``mod`` is ``held`` are not learnt from.  An id that several documents have
+    counts with the smallest of their texts; null texts don't count.  Only features come to the driver.
     """
-    got = labelled(docs, labels, label, mod, held, rows, id_col).select(measured(col(text_col).cast("string")).alias("x"), F.xxhash64(col(id_col)).alias("h"), "_y").toArrow()
+    got = labelled(docs, labels, label, mod, held, rows, col(text_col).cast("string"), id_col).select(measured(F.col("_value")).alias("x"), F.xxhash64("_id").alias("h"), "_y").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, np.asarray(got["h"])])
     return train(x[order], np.asarray(got["_y"]).astype(float)[order])

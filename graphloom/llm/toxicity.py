@@ -1,12 +1,11 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word's vector is the mean of the vectors of its units: the word itself and its byte n-grams between
-boundary marks, so an unseen misspelling shares most of its units with the word.  A segment of a text,
-SEGMENT words long, is the mean of its words' vectors; a linear softmax over it gives two classes; a text
-scores as its most toxic segment, so that a lone insult in a long text is not averaged away.  Segments of
-one word, that is averages over one word's subword bag, did best on held-out rows.  Vectors and softmax are
-trained jointly in numpy, with Adagrad: on the average of all of a text in the first pass, on the segment
-that scores highest afterwards.
+boundary marks, so an unseen misspelling shares units with the word.  A text's vector is the mean of its words'
+vectors, over all of the text; a linear softmax over SCALE times that gives two classes.  Vectors and softmax
+are trained jointly in numpy, with Adagrad.  Units whose document frequency doesn't differ between the
+classes keep a vector of zeros: they count in the average and say nothing, so that an average over
+thousands of words isn't noise, and one word in a thousand can still tell.
 """
 
 import zlib
@@ -15,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, as_bytes, chunks, col, fresh, mix64
+from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, mix64
 from .sampling import labelled
 
-BITS, DIM, GRAMS, SEGMENT = 18, 8, (4, 6, 8), 1
+BITS, DIM, GRAMS = 18, 8, (3, 4, 5, 6)
+#: What a text's average is multiplied by; words that a shorter text counts as having; the least difference of document frequencies, in standard errors, and texts, of a unit that is learnt.
+SCALE, SHORT, LEAST_Z, LEAST_TEXTS = 100.0, 8, 6.0, 5
 #: Bounds of the training sample, in rows and bytes of text, and of the words whose scores a worker keeps.
-SAMPLE_ROWS, SAMPLE_BYTES, CACHE = 6_000, 20 << 20, 400_000
+SAMPLE_ROWS, SAMPLE_BYTES, CACHE = 6_000, 20 << 20, 200_000
 #: Bytes of a word beyond which it counts as several words, and of these pieces; they overlap so that no n-gram is lost.
 LONG_WORD, PIECE = 256, 32
 
@@ -42,13 +43,14 @@ def pieces(word: bytes) -> list[bytes]:
 
 
 def units(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(unit number, index of its word) of all units of some words."""
+    """(unit number, index of its word) of all units of some words, word after word."""
     marked = [b"<" + w + b">" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
-    hashes, owners = [np.fromiter(map(zlib.crc32, words), np.uint64, len(words))], [np.arange(len(words))]
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))).astype(np.int32)
+    number = lambda x: (mix64(x) >> np.uint64(64 - BITS)).astype(np.int32)
+    found, owners = [number(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))], [np.arange(len(words), dtype=np.int32)]
     rolled = data
     with np.errstate(over="ignore"):
         for n in range(2, GRAMS[-1] + 1):
@@ -57,14 +59,16 @@ def units(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             rolled = rolled[:-1] * np.uint64(0x100000001B3) + data[n - 1 :]
             if n in GRAMS:
                 at = np.flatnonzero(left[: len(rolled)] >= n)
-                hashes.append(rolled[at] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15))
+                found.append(number(rolled[at] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)))
                 owners.append(owner[at])
-    return (mix64(np.concatenate(hashes)) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[order], owner[order]
 
 
 @dataclass
 class Model:
-    """``unit``: each unit's part of the toxic logit (its vector times the softmax's weight difference)."""
+    """``unit``: each unit's part of the toxic logit (SCALE times its vector times the softmax's weight difference)."""
 
     unit: np.ndarray
     bias: float
@@ -76,121 +80,119 @@ class Model:
         return np.bincount(owner, self.unit[unit], len(words)) / np.bincount(owner, minlength=len(words))
 
     def score(self, texts: list[bytes | None], known: dict[bytes, float]) -> np.ndarray:
-        """The probability of each text's most toxic segment; of no words at all, that of the bias."""
+        """The probability that each text is toxic; of no words at all, that of the bias.  ``known`` keeps words' scores from call to call."""
         split = [words_of(t) for t in texts]
         if len(known) > CACHE:
             known.clear()
         new = list({w for ws in split for w in ws}.difference(known))
-        known.update(zip(new, self.word_scores(new).tolist(), strict=True))
+        for lo in range(0, len(new), 1 << 16):
+            part = new[lo : lo + (1 << 16)]
+            known.update(zip(part, self.word_scores(part).tolist(), strict=True))
         out = np.full(len(texts), self.bias)
         for i, ws in enumerate(split):
             if ws:
-                s = np.fromiter(map(known.__getitem__, ws), float, len(ws))
-                out[i] += segment_means(s).max()
+                out[i] += sum(map(known.__getitem__, ws)) / max(SHORT, len(ws))
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def segment_means(s: np.ndarray) -> np.ndarray:
-    """Means over stretches of SEGMENT words; a shorter rest counts as if the stretch were full, unless it is all there is."""
-    at = np.arange(0, len(s), SEGMENT)
-    return np.add.reduceat(s, at) / (SEGMENT if len(s) > SEGMENT else len(s) + (SEGMENT - len(s)) / 2)
-
-
-def batches(order: np.ndarray, sizes: np.ndarray, rows: int = 64, words: int = 16_384) -> Iterator[np.ndarray]:
-    """Runs of ``order`` of at most ``rows`` texts and, beyond one text, about ``words`` words."""
-    own: list[int] = []
-    total = 0
-    for i in order.tolist():
-        if own and (len(own) >= rows or total + sizes[i] > words):
-            yield np.array(own)
-            own, total = [], 0
-        own.append(i)
-        total += int(sizes[i])
-    if own:
-        yield np.array(own)
-
-
-def train(texts: list[bytes | None], y: np.ndarray, passes: int = 8, whole: int = 1, rate: float = 0.1, decay: float = 1e-3, least: int = 6, seed: int = 11) -> Model:
+def batches(order: np.ndarray, rows: int = 32) -> Iterator[np.ndarray]:
+    return (order[lo : lo + rows] for lo in range(0, len(order), rows))
+
+
+def bags(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(units, their weights) of each text: shares of its average.  A word's units share its weight alike."""
+    out = []
+    for t in texts:
+        words = words_of(t)
+        kinds: dict[bytes, int] = {}
+        for w in words:
+            kinds[w] = kinds.get(w, 0) + 1
+        unit, owner = units(list(kinds)) if kinds else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        own = np.fromiter(kinds.values(), float, len(kinds)) / np.maximum(1, np.bincount(owner, minlength=len(kinds)))
+        used, at = np.unique(unit, return_inverse=True)
+        out.append((used, np.bincount(at, own[owner], len(used)).astype(np.float32) / np.float32(max(SHORT, len(words)))))
+    return out
+
+
+def telling(own: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """Whether each unit's share of toxic texts differs from its share of the others by LEAST_Z standard errors; texts with equal units count once."""
+    kinds = {(u.tobytes(), float(t)): (u, t) for (u, _), t in zip(own, y, strict=True) if len(u)}
+    with_, many = np.zeros((2, 1 << BITS)), np.array([sum(t == k for _, t in kinds.values()) for k in (0, 1)], float)
+    for u, t in kinds.values():
+        with_[int(t), u] += 1
+    share, both = (with_ + 0.5) / (many + 1)[:, None], (with_.sum(0) + 1) / (many.sum() + 2)
+    z = (share[1] - share[0]) / np.sqrt(both * (1 - both) * (1 / np.maximum(many, 1)).sum())
+    return (np.abs(z) >= LEAST_Z) & (with_.sum(0) >= LEAST_TEXTS)
+
+
+def step_gradients(vectors: np.ndarray, weight: np.ndarray, bias: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log loss, units met, gradients of their vectors, of the softmax's weights, of its bias) of a batch of bags."""
+    text = np.repeat(np.arange(len(own)), [len(u) for u, _ in own])
+    unit, share = np.concatenate([u for u, _ in own]), SCALE * np.concatenate([s for _, s in own]).astype(float)
+    used, at = np.unique(unit, return_inverse=True)
+    mean = np.stack([np.bincount(text, share * vectors[unit, k], len(own)) for k in range(vectors.shape[1])], 1)
+    z = mean @ weight + bias
+    z -= z.max(1, keepdims=True)
+    prob = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    target = np.stack([1 - y, y], 1)
+    g = prob - target
+    pull = g @ weight.T
+    gv = np.stack([np.bincount(at, share * pull[text, k], len(used)) for k in range(vectors.shape[1])], 1)
+    return -float(np.log(np.maximum((prob * target).sum(1), 1e-300)).sum()), used, gv, mean.T @ g, g.sum(0)
+
+
+def train(texts: list[bytes | None], y: np.ndarray, passes: int = 20, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Model:
     """Fit vectors and softmax to texts of which ``y`` is 1 if toxic.
 
-    Units in fewer than ``least`` different texts keep a vector of zeros: they can only be learnt by heart.
-    ``whole`` passes take all of a text, the others its highest segment; ``decay`` shrinks what a step touches.
+    Without both labels, or a unit that tells them apart, every text gets the share of toxic ones.
+    ``decay`` shrinks what a step touches.
     """
     rng = np.random.default_rng(seed)
-    vocabulary: dict[bytes, int] = {}
-    ids = []
-    for t in texts:  # a text's words are numbers before the next one is cut
-        ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64))
-    if not vocabulary or not 0 < y.sum() < len(y):
+    own = bags(texts)
+    live = telling(own, y) if 0 < y.sum() < len(y) else np.zeros(1 << BITS, bool)
+    if not live.any():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
-    unit, owner = units(list(vocabulary))
-    order = np.argsort(owner, kind="stable")
-    unit = unit[order]
-    count = np.bincount(owner, minlength=len(vocabulary))
-    start = np.concatenate([[0], np.cumsum(count)])
-    texts_with = np.zeros(1 << BITS, np.int64)
-    for x in {x.tobytes(): x for x in map(np.unique, ids) if len(x)}.values():
-        texts_with[np.unique(np.concatenate([unit[start[k] : start[k + 1]] for k in x]))] += 1
-    live = texts_with >= least
-    vectors = (rng.normal(0, 0.1, (1 << BITS, DIM)) * live[:, None]).astype(np.float32)
-    weight = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    place = np.cumsum(live) - 1
+    own = [(place[u[live[u]]], s[live[u]]) for u, s in own]
+    vectors, weight = rng.normal(0, 0.1, (int(live.sum()), DIM)), rng.normal(0, 0.3, (DIM, 2))
     bias = np.log(np.array([1 - y.mean(), y.mean()]))
-    seen_v, seen_w = np.full(1 << BITS, 1e-3, np.float32), np.full((DIM, 2), 1e-3)
-    target = np.stack([1 - y, y], 1).astype(float)
-    n = len(texts)
-
-    def logit() -> np.ndarray:
-        """Of each word of the vocabulary."""
-        s = vectors @ (weight[:, 1] - weight[:, 0])
-        return np.add.reduceat(s[unit], start[:-1]) / count
-
+    seen_v, seen_w = np.full(len(vectors), 1e-6), np.full((DIM, 2), 1e-6)
     for p in range(passes):
-        if p < whole:
-            chosen = [np.unique(x) for x in ids]
-        else:
-            s, chosen = logit(), []
-            for x in ids:
-                k = int(segment_means(s[x]).argmax()) if len(x) else 0
-                chosen.append(x[k * SEGMENT : (k + 1) * SEGMENT])
-        step = rate * (1 - p / passes) + 0.02
-        for batch in batches(rng.permutation(n), np.array([len(x) for x in chosen])):
-            own = [chosen[i] for i in batch]
-            size = np.array([len(x) for x in own])
-            word = np.concatenate(own) if size.sum() else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(len(batch)), size)
-            reps = count[word]
-            at = np.repeat(start[word] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum()) if len(word) else np.zeros(0, np.int64)
-            u, d = unit[at], np.repeat(doc, reps)
-            share = (1 / np.repeat(reps, reps)) / np.maximum(size, SEGMENT // 2)[d] if len(word) else np.zeros(0)
-            used, u = np.unique(u, return_inverse=True)
-            own_v = vectors[used]
-            mean = np.stack([np.bincount(d, share * own_v[u, k], len(batch)) for k in range(DIM)], 1)
-            z = mean @ weight + bias
-            z -= z.max(1, keepdims=True)
-            prob = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-            g = prob - target[batch]
-            gw = mean.T @ g
-            gm = g @ weight.T
-            gv = np.stack([np.bincount(u, share * gm[d, k], len(used)) for k in range(DIM)], 1)
+        step = rate * (1 - p / passes) + 0.01
+        for batch in batches(rng.permutation(len(y))):
+            _, used, gv, gw, gb = step_gradients(vectors, weight, bias, [own[i] for i in batch], y[batch])
             seen_w += gw**2
-            weight -= (step * gw / np.sqrt(seen_w)).astype(np.float32)
+            weight -= step * gw / np.sqrt(seen_w)
             seen_v[used] += (gv**2).mean(1)
-            vectors[used] = (vectors[used] * (1 - step * decay) - step * gv / np.sqrt(seen_v[used])[:, None]).astype(np.float32) * live[used, None]
-            bias -= 0.02 * step * g.mean(0)
-    return Model(vectors @ (weight[:, 1] - weight[:, 0]), float(bias[1] - bias[0]))
+            vectors[used] = vectors[used] * (1 - step * decay) - step * gv / np.sqrt(seen_v[used])[:, None]
+            bias -= 0.05 * step * gb / len(batch)
+    unit = np.zeros(1 << BITS)
+    unit[live] = SCALE * vectors @ (weight[:, 1] - weight[:, 0])
+    return Model(unit, float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on at most ``rows`` labelled documents of at most ``most_bytes`` of text, chosen by a hash of the id.
+    """Train on at most ``rows`` labelled ids and ``most_bytes`` of their text, chosen by a hash of the id.
 
-    Labels of ids whose crc32 modulo ``mod`` is ``held`` are not learnt from.  Without both labels in the
-    sample every text scores the same.
+    Labels of ids whose crc32 modulo ``mod`` is ``held`` are not learnt from.  An id that several documents
+    have counts with the smallest of their texts; null texts don't count.  Texts are taken in the hash's order, those that would
+    exceed ``most_bytes`` passed over.  Without both labels in the sample every text scores the same.
     """
-    got = labelled(docs, labels, label, mod, held, rows, id_col).select(F.xxhash64(col(id_col)).alias("h"), col(text_col).cast("string").alias("t"), "_y").where("t is not null")
-    upto = Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = got.withColumn("n", F.sum(F.octet_length("t")).over(upto)).where(F.col("n") <= most_bytes).select("t", "_y").toArrow()
-    return train(as_bytes(got["t"]), np.asarray(got["_y"]).astype(float))
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        got = labelled(docs, labels, label, mod, held, rows, col(text_col).cast("string"), id_col)
+        got = scratch.cut(got.select(F.xxhash64("_id").alias("h"), "_id", F.octet_length("_value").cast("long").alias("n"), "_y", F.col("_value").alias("t")), "sample")
+        sizes = sorted(map(tuple, got.select("h", "_id", "n").collect()), key=lambda r: (r[0], str(r[1])))
+        chosen, total = [], 0
+        for h, i, n in sizes:
+            if total + n <= most_bytes:
+                chosen.append((i,))
+                total += n
+        ids = docs.sparkSession.createDataFrame(chosen, got.select(F.col("_id").alias("_of")).schema)
+        got = got.join(F.broadcast(ids), F.col("_id") == F.col("_of")).select("h", "_y", "t").toArrow()
+    texts, y = as_bytes(got["t"]), np.asarray(got["_y"]).astype(float)
+    order = sorted(range(len(texts)), key=lambda i: (got["h"][i].as_py(), texts[i]))
+    return train([texts[i] for i in order], y[order])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:

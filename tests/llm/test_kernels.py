@@ -211,7 +211,8 @@ def test_the_middle_of_a_long_word_counts():
     m = T.train(texts[:300], np.array(y[:300]))
     assert ((m.score(texts[300:], {}) >= 0.5) == (np.array(y[300:]) == 1)).mean() > 0.95
     word = bytes(rng.randrange(128, 256) for _ in range(1_000))
-    assert {word[i : i + 8] for i in range(993)} <= {p[i : i + 8] for p in T.pieces(word) for i in range(len(p) - 7)} and max(map(len, T.pieces(word))) == T.PIECE
+    n = T.GRAMS[-1]
+    assert {word[i : i + n] for i in range(1_001 - n)} <= {p[i : i + n] for p in T.pieces(word) for i in range(len(p) - n + 1)} and max(map(len, T.pieces(word))) == T.PIECE
 
     model = L.build([("en", "thethingwith", 9), ("de", "derdingmitschwan", 9), ("en", "", 9), ("de", "", 9)])
     text = ("dermit" * 5 + "thething" * 40 + "dermit" * 5).encode()
