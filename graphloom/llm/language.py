@@ -19,8 +19,8 @@ from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, has_lette
 
 #: Bounds of the model: documents learnt from, words and n-grams of each length kept of each language; and the longest n-gram.
 SAMPLE_ROWS, MOST_WORDS, MOST_GRAMS, LONGEST = 20_000, 80_000, 40_000, 5
-#: Words whose scores a worker keeps; characters of a word beyond which it counts as several words, its pieces of so many characters.
-CACHE, LONG_WORD = 400_000, 64
+#: Words whose scores or counts a worker keeps; characters of a word beyond which it counts as several words, its pieces of so many characters.
+CACHE, LONG_WORD = 100_000, 64
 UNKNOWN = "und"
 
 
@@ -94,20 +94,20 @@ class Model:
 
 
 class Seen:
-    """Scores of words met before: each word's row of a matrix; forgotten all at once when there are more than CACHE."""
+    """Scores of words met before: each word's row of a matrix; forgotten all at once where there would be more than CACHE."""
 
     def __init__(self) -> None:
         self.place: dict[bytes, int] = {}
         self.matrix = np.zeros((0, 0))
 
     def add(self, words: set[bytes], model: Model) -> None:
-        if len(self.place) > CACHE:
-            self.place.clear()
-        n, new = len(self.place), words.difference(self.place)
-        if n + len(new) > len(self.matrix) or not len(self.matrix):
-            grown = np.zeros((2 * (n + len(new)) + 1_024, len(model.langs)))
-            if n:
-                grown[:n] = self.matrix[:n]
+        new = words.difference(self.place)
+        if len(self.place) + len(new) > CACHE:
+            self.place, new = {}, words
+        n = len(self.place)
+        if n + len(new) > len(self.matrix):
+            grown = np.zeros((max(CACHE, n + len(new)), len(model.langs)))  # untouched rows take no memory
+            grown[:n] = self.matrix[:n] if n else 0
             self.matrix = grown
         for k, w in enumerate(new, n):
             self.place[w] = k
@@ -130,9 +130,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
         held_counts: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> pa.RecordBatch:
-            flat = [(g, w, n) for g, c in held_counts.items() for w, n in c.items()]
+            each = [pa.array(x, t) for x, t in (([g for g, c in held_counts.items() for _ in c], pa.string()), ([w for c in held_counts.values() for w in c], pa.string()), ([n for c in held_counts.values() for n in c.values()], pa.int64()))]
             held_counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int64())], ["lang", "w", "n"])
+            return pa.RecordBatch.from_arrays(each, ["lang", "w", "n"])
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), as_bytes(batch["t"]), strict=True):
@@ -143,8 +143,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
                         if f:
                             mine[f] += n
                 mine[""] += 1
-            if sum(map(len, held_counts.values())) > 500_000:
-                yield out()
+                if sum(map(len, held_counts.values())) > CACHE:
+                    yield out()
         if held_counts:
             yield out()
 
