@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of the batches that go to Python workers and come back: by rows alone 10,000 long texts would be one.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxBytesPerOutputBatch": "2m"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that functions of it can run there."""
+    """Send this package to the executors once per application, so that functions of it can run there, and bound Arrow batches by bytes."""
     context = spark.sparkContext
+    for key, most in BATCH_BYTES.items():
+        spark.conf.set(key, most)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         at = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
