@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, has_lette
 #: Bounds of the model: documents learnt from, words and n-grams of each length kept of each language; and the longest n-gram.
 SAMPLE_ROWS, MOST_WORDS, MOST_GRAMS, LONGEST = 20_000, 80_000, 40_000, 5
 #: Words whose scores or counts a worker keeps; characters of a word beyond which it counts as several words, its pieces of so many characters.
-CACHE, LONG_WORD = 100_000, 64
+CACHE, LONG_WORD = 150_000, 64
 UNKNOWN = "und"
 
 
@@ -50,7 +51,7 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Words and n-grams by length have their row of ``logs``, that of words at 0: an array each would take twice the memory."""
+    """Words and n-grams by length have their row of ``logs``, that of words at 0: log frequencies less their mean over the languages."""
 
     langs: list[str]
     prior: np.ndarray
@@ -58,21 +59,21 @@ class Model:
     grams: dict[int, dict[str, int]]
     logs: dict[int, np.ndarray]
 
-    def word(self, raw: bytes) -> np.ndarray:
+    def word(self, raw: bytes) -> np.ndarray | float:
         """Log likelihoods of a word less their mean, summed over the pieces of a long one; zeros where nothing of it is known."""
-        return sum(map(self.piece, pieces(folded(raw))))
-
-    def piece(self, word: str) -> np.ndarray:
-        at = self.words.get(word) if word else None
-        got = None if at is None else self.logs[0][at]
-        if got is None and word:
-            for n in range(min(LONGEST, len(word) + 2), 0, -1):
-                table = self.grams.get(n, {})
-                known = [table[g] for g in grams(word, n) if g in table]
-                if known:
-                    got = self.logs[n][known].mean(0)
-                    break
-        return np.zeros(len(self.langs)) if got is None else got - got.mean()
+        word = folded(raw)
+        return self.piece(word) if len(word) <= LONG_WORD else sum(map(self.piece, pieces(word)))
+
+    def piece(self, word: str) -> np.ndarray | float:
+        at = self.words.get(word)
+        if at is not None:
+            return self.logs[0][at]
+        for n in range(min(LONGEST, len(word) + 2), 0, -1) if word else ():
+            table = self.grams.get(n, {})
+            known = [table[g] for g in grams(word, n) if g in table]
+            if known:
+                return self.logs[n][known].sum(0) / len(known)
+        return 0.0
 
     def predict(self, texts: list[bytes | None], seen: "Seen") -> tuple[list[str], np.ndarray]:
         """(language, score) of each text; ``seen`` keeps words' scores from call to call."""
@@ -94,7 +95,7 @@ class Model:
 
 
 class Seen:
-    """Scores of words met before: each word's row of a matrix; forgotten all at once where there would be more than CACHE."""
+    """Scores of words met before: each word's row of a matrix.  Where there would be more than CACHE, only those of the last call stay."""
 
     def __init__(self) -> None:
         self.place: dict[bytes, int] = {}
@@ -102,9 +103,12 @@ class Seen:
 
     def add(self, words: set[bytes], model: Model) -> None:
         new = words.difference(self.place)
-        if len(self.place) + len(new) > CACHE:
-            self.place, new = {}, words
         n = len(self.place)
+        if n + len(new) > CACHE:
+            stay = [w for w in words if w in self.place]
+            kept = self.matrix[[self.place[w] for w in stay]]
+            self.place, n = {w: k for k, w in enumerate(stay)}, len(stay)
+            self.matrix[:n] = kept
         if n + len(new) > len(self.matrix):
             grown = np.zeros((max(CACHE, n + len(new)), len(model.langs)))  # untouched rows take no memory
             grown[:n] = self.matrix[:n] if n else 0
@@ -165,9 +169,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
         every = scratch.cut(words.select("lang", F.lit(0).alias("size"), "w", "n").unionByName(parts), "counts")
         sums = every.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect()
         kinds = {r["size"]: r.kinds for r in every.groupBy("size").agg(F.countDistinct("w").alias("kinds")).collect()}
-        top = frequent(every, [(r.lang, r["size"]) for r in sums if r.kinds > (MOST_GRAMS if r["size"] else MOST_WORDS)]).toArrow()
-    rows = list(zip(*(top[c].to_pylist() for c in ("lang", "size", "w", "n")), strict=True))
-    return build([(g, w, n) for g, size, w, n in rows if not size], [r for r in rows if r[1]], {(r.lang, r["size"]): r.n for r in sums}, kinds)
+        top = frequent(every, [(r.lang, r["size"]) for r in sums if r.kinds > (MOST_GRAMS if r["size"] else MOST_WORDS)])
+        tables = {n: top.where(F.col("size") == n).select("lang", "w", "n").toArrow() for n in range(LONGEST + 1)}
+    return modelled(tables, {(r.lang, r["size"]): r.n for r in sums}, kinds)
 
 
 def frequent(every: DataFrame, over: list[tuple[str, int]]) -> DataFrame:
@@ -180,42 +184,45 @@ def frequent(every: DataFrame, over: list[tuple[str, int]]) -> DataFrame:
     return every.join(keys.select("size", "w").distinct(), ["size", "w"], "left_semi")
 
 
-def build(counts: list[tuple[str, str, int]], cut: list[tuple[str, int, str, int]] | None = None, sums: dict[tuple[str, int], int] | None = None, kinds: dict[int, int] | None = None) -> Model:
-    """A model from (language, word, count), where the empty word counts documents, and (language, length, n-gram, count).
-
-    Without n-grams those of the words count.  ``sums`` by language and length, and ``kinds`` by length, are of
-    all n-grams, kept or not.
+def build(counts: list[tuple[str, str, int]]) -> Model:
+    """A model from (language, word, count), where the empty word counts documents; n-grams are those of the words."""
+    own: dict[int, Counter] = {n: Counter() for n in range(LONGEST + 1)}
+    for lang, w, n in counts:
+        own[0][lang, w] += n
+        for size in range(1, LONGEST + 1) if w else ():
+            for g in grams(w, size):
+                own[size][lang, g] += n
+    kinds = {n: len({w for _, w in c}) for n, c in own.items()}
+    sums: Counter = Counter()
+    for size, c in own.items():
+        for (lang, _), n in c.items():
+            sums[lang, size] += n
+    table = lambda c: pa.table([pa.array([x[0] for x in c], pa.string()), pa.array([x[1] for x in c], pa.string()), pa.array(c.values(), pa.int64())], ["lang", "w", "n"])
+    return modelled({n: table(c) for n, c in own.items()}, sums, kinds)
+
+
+def modelled(tables: dict[int, pa.Table], sums: dict[tuple[str, int], int], kinds: dict[int, int]) -> Model:
+    """A model from the counts (lang, w, n) of words, at 0, and of n-grams by length.
+
+    ``sums`` by language and length, and ``kinds`` by length, are of all n-grams, kept or not; words count among those that are kept.
     """
-    langs = sorted({c[0] for c in counts})
+    langs = sorted(set(tables[0]["lang"].to_pylist()))
     if not langs:
         return Model([], np.zeros(0), {}, {}, {})
-    index = {g: k for k, g in enumerate(langs)}
-    words: dict[str, np.ndarray] = {}
-    by_gram: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(1, LONGEST + 1)}
-
-    def add(table: dict[str, np.ndarray], lang: str, w: str, n: int) -> None:
-        if w not in table:
-            table[w] = np.zeros(len(langs))
-        table[w][index[lang]] += n
-
-    for lang, w, n in counts:
-        if w:
-            add(words, lang, w, n)
-            for size, table in by_gram.items() if cut is None else ():
-                for g in grams(w, size):
-                    add(table, lang, g, n)
-    for lang, size, g, n in cut or ():
-        add(by_gram[size], lang, g, n)
-
-    def logs(table: dict[str, np.ndarray], size: int) -> np.ndarray:
-        seen = np.stack(list(table.values())) if table else np.zeros((0, len(langs)))
-        of = np.array([sums.get((g, size), 0) for g in langs], float) if sums and size else seen.sum(0)
-        return np.log(seen + 1) - np.log(of + (kinds.get(size, 0) if kinds and size else len(table)) + 1)
-
-    tables = {0: words, **by_gram}
-    numbers = {n: {w: k for k, w in enumerate(t)} for n, t in tables.items()}
+    numbers, logs = {}, {}
+    for size, table in tables.items():
+        table = table.filter(pa.compute.not_equal(table["w"], ""))  # which counts documents
+        words, code = table["w"].unique().to_pylist(), np.zeros(0, np.int64)
+        numbers[size] = {w: k for k, w in enumerate(words)}
+        if words:
+            code = np.asarray(pa.compute.index_in(table["w"], table["w"].unique()))
+        seen = np.zeros((len(words), len(langs)))
+        np.add.at(seen, (code, np.asarray(pa.compute.index_in(table["lang"], pa.array(langs, pa.string()))).astype(np.int64)), np.asarray(table["n"], float))
+        of = np.array([sums.get((g, size), 0) for g in langs], float) if size else seen.sum(0)
+        got = np.log(seen + 1) - np.log(of + (kinds.get(size, 0) if size else len(words)) + 1)
+        logs[size] = got - got.mean(1, keepdims=True)
     # All languages are equally likely beforehand, so that a rare language's short texts are not lost.
-    return Model(langs, np.zeros(len(langs)), numbers.pop(0), numbers, {n: logs(t, n) for n, t in tables.items()})
+    return Model(langs, np.zeros(len(langs)), numbers.pop(0), numbers, logs)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
