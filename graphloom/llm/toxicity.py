@@ -99,27 +99,30 @@ def batches(order: np.ndarray, rows: int = 32) -> Iterator[np.ndarray]:
     return (order[lo : lo + rows] for lo in range(0, len(order), rows))
 
 
-def bags(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(units, their weights) of each text: shares of its average.  A word's units share its weight alike."""
-    out = []
-    for t in texts:
-        words = words_of(t)
-        kinds: dict[bytes, int] = {}
-        for w in words:
-            kinds[w] = kinds.get(w, 0) + 1
-        unit, owner = units(list(kinds)) if kinds else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-        own = np.fromiter(kinds.values(), float, len(kinds)) / np.maximum(1, np.bincount(owner, minlength=len(kinds)))
-        used, at = np.unique(unit, return_inverse=True)
-        out.append((used, np.bincount(at, own[owner], len(used)).astype(np.float32) / np.float32(max(SHORT, len(words)))))
-    return out
-
-
-def telling(own: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """Whether each unit's share of toxic texts differs from its share of the others by LEAST_Z standard errors; texts with equal units count once."""
-    kinds = {(u.tobytes(), float(t)): (u, t) for (u, _), t in zip(own, y, strict=True) if len(u)}
-    with_, many = np.zeros((2, 1 << BITS)), np.array([sum(t == k for _, t in kinds.values()) for k in (0, 1)], float)
-    for u, t in kinds.values():
-        with_[int(t), u] += 1
+def bag(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(units, their weights) of a text: shares of its average.  A word's units share its weight alike."""
+    words = words_of(text)
+    kinds: dict[bytes, int] = {}
+    for w in words:
+        kinds[w] = kinds.get(w, 0) + 1
+    if not kinds:
+        return np.zeros(0, np.int32), np.zeros(0)
+    unit, owner = units(list(kinds))
+    own = np.fromiter(kinds.values(), float, len(kinds)) / np.bincount(owner, minlength=len(kinds))
+    used, at = np.unique(unit, return_inverse=True)
+    return used, np.bincount(at, own[owner], len(used)) / max(SHORT, len(words))
+
+
+def telling(texts: list[bytes | None], y: np.ndarray) -> np.ndarray:
+    """Whether each unit's share of toxic texts differs from its share of the others by LEAST_Z standard errors; equal texts count once."""
+    with_, many, known = np.zeros((2, 1 << BITS)), np.zeros(2), set()
+    for text, t in zip(texts, y.astype(int), strict=True):
+        words = sorted(set(words_of(text)))
+        key = (t, hash(tuple(words)))
+        if words and key not in known:
+            known.add(key)
+            many[t] += 1
+            with_[t, np.unique(units(words)[0])] += 1
     share, both = (with_ + 0.5) / (many + 1)[:, None], (with_.sum(0) + 1) / (many.sum() + 2)
     z = (share[1] - share[0]) / np.sqrt(both * (1 - both) * (1 / np.maximum(many, 1)).sum())
     return (np.abs(z) >= LEAST_Z) & (with_.sum(0) >= LEAST_TEXTS)
@@ -145,16 +148,15 @@ def train(texts: list[bytes | None], y: np.ndarray, passes: int = 20, rate: floa
     """Fit vectors and softmax to texts of which ``y`` is 1 if toxic.
 
     Without both labels, or a unit that tells them apart, every text gets the share of toxic ones.
-    ``decay`` shrinks what a step touches.
+    ``decay`` shrinks what a step touches.  Texts are cut twice, so that only their telling units are held.
     """
     rng = np.random.default_rng(seed)
-    own = bags(texts)
-    live = telling(own, y) if 0 < y.sum() < len(y) else np.zeros(1 << BITS, bool)
+    live = telling(texts, y) if 0 < y.sum() < len(y) else np.zeros(1 << BITS, bool)
     if not live.any():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
     place = np.cumsum(live) - 1
-    own = [(place[u[live[u]]], s[live[u]]) for u, s in own]
+    own = [(place[u[live[u]]], s[live[u]]) for u, s in map(bag, texts)]
     vectors, weight = rng.normal(0, 0.1, (int(live.sum()), DIM)), rng.normal(0, 0.3, (DIM, 2))
     bias = np.log(np.array([1 - y.mean(), y.mean()]))
     seen_v, seen_w = np.full(len(vectors), 1e-6), np.full((DIM, 2), 1e-6)
