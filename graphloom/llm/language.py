@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
     Documents whose crc32 of the id modulo ``mod`` is ``held``, without an id, a text or a language, are
     not learnt from.  Words, and the n-grams of all of them, are counted on the executors.  What is among the
     ``MOST_WORDS`` most frequent words of any language, or its ``MOST_GRAMS`` n-grams of a length, comes to the driver
-    with its counts in all languages, ties by code point.  Without any such document the model knows no language.
+    with its counts in all languages (see ``frequent``).  Without any such document the model knows no language.
     """
     own = docs.where((remainder(col(id_col), mod) != held) & col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).cast("string").alias("t"), col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col).cast("string")).alias("h"))
     last = own.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
@@ -169,19 +169,31 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
         every = scratch.cut(words.select("lang", F.lit(0).alias("size"), "w", "n").unionByName(parts), "counts")
         sums = every.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect()
         kinds = {r["size"]: r.kinds for r in every.groupBy("size").agg(F.countDistinct("w").alias("kinds")).collect()}
-        top = frequent(every, [(r.lang, r["size"]) for r in sums if r.kinds > (MOST_GRAMS if r["size"] else MOST_WORDS)])
-        tables = {n: top.where(F.col("size") == n).select("lang", "w", "n").toArrow() for n in range(LONGEST + 1)}
+        top = frequent(every, sums).toArrow()
+    tables = {n: top.filter(pa.compute.equal(top["size"], n)) for n in range(LONGEST + 1)}
     return modelled(tables, {(r.lang, r["size"]): r.n for r in sums}, kinds)
 
 
-def frequent(every: DataFrame, over: list[tuple[str, int]]) -> DataFrame:
-    """Rows (lang, size, w, n) whose word or n-gram is frequent in some language; ``over`` has the languages and sizes with more than are kept."""
-    if not over:
+def frequent(every: DataFrame, sums: list) -> DataFrame:
+    """Rows (lang, size, w, n) whose word or n-gram is frequent in some language, of ``sums`` by language and size.
+
+    Frequent are all rows of a language and size, or those of the largest counts that together are no more than are kept: a
+    count that not all of its rows fit in is left out, so that no order among equals is needed.  The different
+    counts come to the driver: they are fewer than the root of twice their sum.
+    """
+    most = {(r.lang, r["size"]): MOST_GRAMS if r["size"] else MOST_WORDS for r in sums if r.kinds > (MOST_GRAMS if r["size"] else MOST_WORDS)}
+    if not most:
         return every
-    part = lambda lang, size: (F.col("lang") == F.lit(lang)) & (F.col("size") == size)
-    tops = [every.where(part(*x)).orderBy((F.col("w") == "").desc(), F.col("n").desc(), "w").limit(MOST_GRAMS if x[1] else MOST_WORDS) for x in over]
-    keys = reduce(DataFrame.unionByName, tops, every.where(~reduce(Column.__or__, [part(*x) for x in over])))
-    return every.join(keys.select("size", "w").distinct(), ["size", "w"], "left_semi")
+    least, left = {k: None for k in most}, dict(most)
+    for r in sorted(every.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.n):
+        k = (r.lang, r["size"])
+        if k in left and r.rows <= left[k]:
+            left[k], least[k] = left[k] - r.rows, r.n
+        else:
+            left.pop(k, None)
+    cut = reduce(lambda out, k: out.when((F.col("lang") == k[0]) & (F.col("size") == k[1]), F.lit(least[k]).cast("long") if least[k] is not None else F.lit(2**62)), most, F.when(F.lit(False), F.lit(0).cast("long")))
+    keys = every.where((F.col("n") >= F.coalesce(cut, F.lit(0))) | (F.col("w") == "")).select("size", "w").distinct()
+    return every.join(keys, ["size", "w"], "left_semi")
 
 
 def build(counts: list[tuple[str, str, int]]) -> Model:
