@@ -1,86 +1,156 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-Patterns are windows of a benchmark item's words.  The text is read backwards from the end of a window of
-m words, m the least pattern length of a class: a block of two words that ends no position of a pattern
-lets the search skip m - 1 words, one that stands inside a pattern lets it skip as far as that place is
-from the end; at a shift of zero the block's bucket holds the patterns to try, chosen by their first
-block and confirmed by direct comparison.
+Patterns are windows of a benchmark item's words.  A text is read from the end of a window of m words on, m
+the least pattern length of a class: a shift table, looked up by the hash of the block of two words that ends
+there, tells how many words can be skipped; at a shift of zero the hash of the window's last block (its suffix)
+selects a bucket of patterns, which are tried by their first block and confirmed by direct comparison of
+bytes.  All tables are numpy arrays, about 12 bytes a byte of benchmark text; many stretches of text are searched side by side.
 """
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, as_bytes, chunks, col, fresh
+from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, mix64
 
 #: Least lengths of the classes into which patterns shorter than the window go, so that one short item
 #: doesn't spoil the skips of the others.
 CLASSES = (1, 2, 3, 6)
-#: Benchmark text for which one search table is made and broadcast; more is searched block after block.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text for which one search table is made and broadcast; blocks that are searched in one pass over the documents.
+BLOCK_BYTES, PASS_BLOCKS = 4 << 20, 4
+#: Words of a text that are searched as one stretch, beside others.
+STRETCH = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_TABLE).split() if text else []
 
 
+class Words:
+    """Texts as one buffer of words joined by single spaces: where each word begins and ends, its hash, the block that ends at it, where each text's words begin."""
+
+    def __init__(self, texts: list[bytes | None]):
+        parts = [b" ".join(words_of(t)) for t in texts]
+        self.data = b" ".join(x for x in parts if x)
+        raw = np.frombuffer(self.data, np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        self.start = np.concatenate([[0], gaps + 1]) if len(raw) else np.zeros(0, np.int64)
+        self.end = np.concatenate([gaps, [len(raw)]]) if len(raw) else np.zeros(0, np.int64)
+        self.texts = np.concatenate([[0], np.cumsum([x.count(b" ") + 1 if x else 0 for x in parts])])
+        with np.errstate(over="ignore"):
+            if len(raw):
+                place = (np.arange(len(raw)) - np.repeat(self.start, np.diff(np.append(self.start, len(raw))))).astype(np.uint64)
+                h = mix64((raw.astype(np.uint64) + np.uint64(1)) * _ODD + place)
+                h[gaps] = 0
+                self.hash = mix64(np.add.reduceat(h, self.start))
+            else:
+                self.hash = np.zeros(0, np.uint64)
+            before = np.concatenate([[np.uint64(0)], self.hash[:-1]]) if len(self.hash) else self.hash
+            self.block = mix64(before * _ODD + self.hash)
+
+    def slice(self, at: int, n: int) -> bytes:
+        """``n`` words from the one at ``at`` on, joined by spaces."""
+        return self.data[self.start[at] : self.end[at + n - 1]]
+
+
+class Table:
+    """Shift table and suffix buckets of patterns: ``size`` words of ``own`` from those at ``first`` on, and the items of each."""
+
+    def __init__(self, own: Words, first: np.ndarray, size: np.ndarray, items: list[list[int]]):
+        self.m = int(size.min())
+        self.b = b = min(2, self.m)
+        self.keys = "hash" if b == 1 else "block"
+        keys = getattr(own, self.keys)
+        self.bits = max(8, int(4 * len(first)).bit_length())
+        self.most = self.m - b + 1
+        self.shift = np.full(1 << self.bits, self.most, np.uint16 if self.most < 65_536 else np.int64)
+        for end in range(b, self.m + 1):  # falling shifts, so that the smallest of a slot stays
+            self.shift[self.slot(keys[first + end - 1])] = self.m - end
+        last = self.slot(keys[first + self.m - 1])
+        order = np.argsort(last, kind="stable")
+        self.bucket = np.searchsorted(last[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.size, self.head = size[order].astype(np.int32), keys[first + b - 1][order]
+        self.begin, self.stop, self.data = own.start[first][order], own.end[first + size - 1][order], own.data
+        self.item_start = np.concatenate([[0], np.cumsum([len(items[i]) for i in order.tolist()])]).astype(np.int32)
+        self.items = np.array([x for i in order.tolist() for x in items[i]], np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ends(self, text: Words) -> np.ndarray:
+        """Words at which the shift is zero, found by skipping, all stretches side by side."""
+        slots = self.slot(getattr(text, self.keys))
+        lo, hi = text.texts[:-1] + self.m - 1, text.texts[1:]
+        count = np.maximum(0, -(-(hi - lo) // STRETCH))
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(lo, count) + place * STRETCH
+        stop = np.minimum(at + STRETCH, np.repeat(hi, count))
+        found = []
+        while len(at):
+            skip = self.shift[slots[at]].astype(np.int64)
+            found.append(at[skip == 0])
+            at = at + np.maximum(skip, 1)
+            live = at < stop
+            at, stop = at[live], stop[live]
+        return np.sort(np.concatenate(found)) if found else at
+
+    def find(self, text: Words) -> Iterator[tuple[int, int, int]]:
+        """(first word, words, pattern) of every occurrence."""
+        ends = self.ends(text)
+        slots = self.slot(getattr(text, self.keys)[ends])
+        upto = np.repeat(text.texts[1:], np.diff(text.texts))  # of each word, where its text ends
+        lo, n = self.bucket[slots].astype(np.int64), np.diff(self.bucket)[slots].astype(np.int64)
+        for a in range(0, len(ends), 1 << 14):  # so that few of the pairs are there at once
+            part = slice(a, a + (1 << 14))
+            times = n[part]
+            at = np.repeat(ends[part] - self.m + 1, times)
+            p = np.repeat(lo[part] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            good = (getattr(text, self.keys)[at + self.b - 1] == self.head[p]) & (at + self.size[p] <= upto[at])
+            for i, k in zip(at[good].tolist(), p[good].tolist(), strict=True):
+                w = int(self.size[k])
+                if text.slice(i, w) == self.data[self.begin[k] : self.stop[k]]:
+                    yield i, w, k
+
+
 class WuManber:
-    """Search tables of word patterns, each with the numbers of the items it stands in."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[int]]):
-        self.classes = []
-        edges = [*CLASSES, max([*map(len, patterns), CLASSES[-1]])]
-        for least, most in zip(edges, [e - 1 for e in edges[1:]] + [edges[-1]], strict=True):
-            own = {p: sorted(i) for p, i in patterns.items() if least <= len(p) <= most}
-            if own:
-                self.classes.append(self.tables(own))
-
-    @staticmethod
-    def tables(patterns: dict[tuple[bytes, ...], list[int]]) -> tuple:
-        m = min(map(len, patterns))
-        b = min(2, m)
-        shift: dict = {}
-        bucket: dict = {}
-        for p, items in patterns.items():
-            for end in range(b, m + 1):
-                block = p[end - 1] if b == 1 else p[end - 2 : end]
-                shift[block] = min(shift.get(block, m), m - end)
-            last = p[m - 1] if b == 1 else p[m - 2 : m]
-            bucket.setdefault(last, {}).setdefault(p[:b], []).append((p, items))
-        return m, b, m - b + 1, shift, bucket
-
-    def find(self, words: list[bytes]) -> list[tuple[int, int, list[int]]]:
-        """Every occurrence: (first word, number of words, items)."""
-        out, n = [], len(words)
-        for m, b, most, shift, bucket in self.classes:
-            i = m - 1
-            get = shift.get
-            while i < n:
-                block = words[i] if b == 1 else (words[i - 1], words[i])
-                skip = get(block, most)
-                if skip:
-                    i += skip
-                    continue
-                at = i - m + 1
-                for p, items in bucket[block].get(tuple(words[at : at + b]), ()):
-                    if tuple(words[at : at + len(p)]) == p:
-                        out.append((at, len(p), items))
-                i += 1
-        return out
-
-
-def windows(items: list[tuple[int, bytes | None]], window: int) -> dict[tuple[bytes, ...], set[int]]:
-    """Pattern to item numbers: runs of ``window`` words, or all words of a shorter item; none of one without words."""
-    out: dict[tuple[bytes, ...], set[int]] = {}
-    for k, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1)) if words else ():
-            out.setdefault(tuple(words[i : i + window]), set()).add(k)
-    return out
+    """Search tables of the windows of items (number, text): runs of ``window`` words, or all words of a shorter item; none of one without words."""
+
+    def __init__(self, items: list[tuple[int, bytes | None]], window: int):
+        own = Words([t for _, t in items])
+        place: dict[bytes, int] = {}
+        first, size, found = [], [], []
+        for (number, _), lo, hi in zip(items, own.texts[:-1].tolist(), own.texts[1:].tolist(), strict=True):
+            n = min(window, hi - lo)
+            for at in range(lo, hi - n + 1) if n else ():
+                k = place.setdefault(hashlib.sha256(own.slice(at, n)).digest(), len(first))
+                if k == len(first):
+                    first.append(at)
+                    size.append(n)
+                    found.append([])
+                if number not in found[k][-1:]:
+                    found[k].append(number)
+        first, size = np.array(first, np.int64), np.array(size, np.int64)
+        edges = [*CLASSES, max([window, CLASSES[-1]]) + 1]
+        self.tables = []
+        for least, beyond in zip(edges, edges[1:], strict=False):
+            at = np.flatnonzero((size >= least) & (size < beyond))
+            if len(at):
+                self.tables.append(Table(own, first[at], size[at], [sorted(set(found[i])) for i in at.tolist()]))
+
+    def search(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[int, int, list[int]]]]]:
+        """(number of words of each text; of each text every occurrence: first word, number of words, items)."""
+        words, out = Words(texts), [[] for _ in texts]
+        for table in self.tables:
+            for at, n, k in table.find(words):
+                i = int(np.searchsorted(words.texts, at, side="right")) - 1
+                out[i].append((at - int(words.texts[i]), n, table.items[table.item_start[k] : table.item_start[k + 1]].tolist()))
+        return np.diff(words.texts), out
 
 
 def covered(found: list[tuple[int, int, list[int]]]) -> list[list[int]]:
@@ -104,11 +174,9 @@ def searcher(tables) -> Callable:
     def search(texts: pa.Array) -> pa.Array:
         ids, table = tables.value
         rows = []
-        for part in chunks(texts):
-            for text in as_bytes(part):
-                words = words_of(text)
-                found = table.find(words)
-                rows.append({"n_words": len(words), "spans": covered(found), "items": sorted({ids[i] for x in found for i in x[2]})})
+        for part in chunks(texts, 1 << 20):
+            for n, found in zip(*table.search(as_bytes(part)), strict=True):
+                rows.append({"n_words": int(n), "spans": covered(found), "items": sorted({ids[i] for x in found for i in x[2]})})
         return pa.array(rows, SEARCHED)
 
     return search
@@ -156,9 +224,10 @@ def decontaminate(
     window.  Items without an id or text are left out; rows that repeat an id are parts of one item.  A
     null, empty or wordless text has no hit.  Other columns, nulls and repeated rows pass through.
 
-    Scale: one scan of the documents without a shuffle.  The benchmark is brought together in blocks of at
-    most ``block_bytes`` of text (an item longer than that is a block of its own), each broadcast as a
-    search table; with several blocks the documents pass them one after the other, carrying stretches and ids.
+    Scale: one scan of the documents without a shuffle.  The benchmark is brought together in blocks of about
+    ``block_bytes`` of text (an item longer than that is a block of its own), each broadcast as a
+    search table; beyond PASS_BLOCKS blocks what is found so far is kept by a reliable checkpoint, and the documents are
+    read from there for the next blocks, so that no worker holds more tables than that.
     """
     spark = docs.sparkSession
     rows = benchmark.select(col(item_col).cast("string").alias("i"), col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
@@ -171,11 +240,13 @@ def decontaminate(
         items = [(r.i, r.t.encode("utf-8", "surrogatepass")) for r in own.collect()]
         ids = sorted({i for i, _ in items})
         number = {x: j for j, x in enumerate(ids)}
-        table = WuManber(windows([(number[i], t) for i, t in items], window))
+        table = WuManber([(number[i], t) for i, t in items], window)
         found = searcher(spark.sparkContext.broadcast((ids, table)))(col(text_col))
         if k == 0:
             out = out.withColumn(raw, found)
         else:
             both = F.struct(F.col(f"{raw}.n_words"), F.concat(F.col(f"{raw}.spans"), F.col(f"{raw}2.spans")).alias("spans"), F.array_union(F.col(f"{raw}.items"), F.col(f"{raw}2.items")).alias("items"))
             out = out.withColumn(f"{raw}2", found).withColumn(raw, both).drop(f"{raw}2")
+        if k % PASS_BLOCKS == PASS_BLOCKS - 1 and k < n_blocks - 1:
+            out = Scratch(spark, "benchmark").keep(out)
     return out.withColumn(name, judged(F.col(raw), F.lit(ratio))).drop(raw)

@@ -33,12 +33,37 @@ def test_words(t):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), min_size=1, max_size=5), st.lists(st.sampled_from("abcd"), max_size=60), st.integers(1, 6))
-def test_wu_manber_finds_every_occurrence(items, doc, window):
-    patterns = D.windows([(k, " ".join(x).encode()) for k, x in enumerate(items)], window)
-    words = [w.encode() for w in doc]
-    want = sorted((i, len(p), sorted(ids)) for p, ids in patterns.items() for i in range(len(words) - len(p) + 1) if tuple(words[i : i + len(p)]) == p)
-    assert sorted(D.WuManber(patterns).find(words)) == want
+@given(st.lists(st.lists(st.sampled_from(["a", "bb", "c"]), max_size=9), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from(["a", "bb", "c", "dd"]), max_size=60), max_size=4), st.integers(1, 7))
+def test_wu_manber_finds_every_occurrence(items, docs, window):
+    table = D.WuManber([(k, " ".join(x).encode()) for k, x in enumerate(items)], window)
+    patterns = {}
+    for k, x in enumerate(items):
+        for i in range(max(1, len(x) - window + 1)) if x else ():
+            patterns.setdefault(tuple(x[i : i + window]), set()).add(k)
+    old = D.STRETCH
+    try:
+        for D.STRETCH in (3, old):
+            sizes, found = table.search([None, *(" ".join(x).encode() for x in docs)])
+            assert sizes.tolist() == [0, *map(len, docs)] and found[0] == []
+            for words, got in zip(docs, found[1:], strict=True):
+                assert sorted(got) == sorted((i, len(p), sorted(ids)) for p, ids in patterns.items() for i in range(len(words) - len(p) + 1) if tuple(words[i : i + len(p)]) == p)
+    finally:
+        D.STRETCH = old
+
+
+def test_wu_manber_skips_and_stays_small():
+    """Most of a clean text is passed over, and tables take some 12 bytes a byte of the benchmark."""
+    rng = random.Random(4)
+    items = [" ".join(f"item{rng.randrange(30_000)}" for _ in range(200)).encode() for _ in range(300)]
+    (table,) = D.WuManber(list(enumerate(items)), 13).tables
+    text = D.Words([" ".join(f"word{rng.randrange(30_000)}" for _ in range(50_000)).encode() + b" " + items[7]])
+    asked = []
+    whole = table.shift
+    table.shift = type("Asked", (), {"__getitem__": lambda self, i: (asked.append(len(i)), whole[i])[1]})()
+    assert len(list(table.find(text))) == 188 and sum(asked) < 0.15 * 50_000
+    table.shift = whole
+    held = sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) + len(table.data)
+    assert held < 12 * len(b" ".join(items))
 
 
 def plain_set(t, k):
