@@ -92,10 +92,13 @@ FROM docs LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP5 = f"""
-WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH l AS (SELECT * FROM (VALUES {", ".join(f"('{d}')" for d in urls.BLOCK_LIST)}) AS t(d)),
+p AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, q, v)),
 m AS (SELECT page_id, host, path, (SELECT struct_pack(k := h || q, v := v) FROM r WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, q) ORDER BY len(h) + len(q) DESC LIMIT 1) AS x FROM p)
-SELECT page_id, host, path, x.k AS rule, coalesce(x.v, 'allow') AS verdict FROM m
+SELECT page_id, host, path, x.k AS rule, 
+  coalesce(x.v, CASE WHEN EXISTS (SELECT 1 FROM l WHERE host = d OR host LIKE '%.' || d) THEN 'block' ELSE 'allow' END) AS verdict
+FROM m
 """
 
 

@@ -9,6 +9,7 @@ universe, whether it is listed.  Keys are dealt into shards by hash, each with a
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,9 @@ from .common import LOWER, UPPER, Scratch, col, fresh, mix64
 
 #: Fixed values: (host, path, verdict); a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Keys of a shard, and bytes of all cascades up to which they are broadcast; beyond that keys go to their shards.
+#: Domains of unwanted sites, with all their subdomains, for pages that no rule fits.
+BLOCK_LIST = ("ads-track.example.com", "ads-track.example.org", "adult-x.example.com", "adult-x.example.org", "casino-win.example.com", "casino-win.example.org", "cheap-pills.example.com", "cheap-pills.example.org", "free-bets.example.com", "free-bets.example.org", "spam-farm.example.com", "spam-farm.example.org")
+#: Keys of a shard, and bytes of cascades that are broadcast at once: each such group of shards answers its own rows.
 SHARD_KEYS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Bits a key and hash functions of the first level and of the later ones, which are of the keys that slipped through.
 BITS, HASHES = (8, 2), (5, 1)
@@ -104,48 +107,62 @@ def build_cascades(keys: DataFrame, shards: int) -> DataFrame:
 
 
 def member(rows: DataFrame, cascades: DataFrame, shards: int, h1: str, h2: str, name: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``rows`` with a boolean ``name``: whether the key (h1, h2) is listed, by the cascade of its shard."""
+    """``rows`` with a boolean ``name``: whether the key (h1, h2) is listed, by the cascade of its shard.
+
+    Shards that stand together in ``broadcast_bytes`` (or one alone) are a group, whose cascades are broadcast; it answers the
+    rows of its shards, so that any size is served alike, without a join or a shuffle: the rows are read once for each group.
+    """
     spark = rows.sparkSession
-    size = cascades.agg(F.coalesce(F.sum(F.octet_length("cascade")), F.lit(0)).alias("n")).first().n
-    if size <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r.shard: pickle.loads(r.cascade) for r in cascades.collect()})
-
-        @F.arrow_udf("boolean")
-        def listed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for a, b in batches:
-                x, y = np.asarray(a).astype(np.int64), np.asarray(b).astype(np.int64)
-                out, shard = np.zeros(len(x), bool), x % shards
-                for s in np.unique(shard):
-                    if (c := held.value.get(int(s))) is not None:
-                        own = shard == s
-                        out[own] = c.listed(x[own].astype(np.uint64), y[own].astype(np.uint64))
-                yield pa.array(out)
-
-        return rows.withColumn(name, listed(col(h1), col(h2)))
-    # Cascades too large to broadcast: each distinct key goes to its shard once, and its answer back.
-    keys = rows.select(col(h1).alias("h1"), col(h2).alias("h2")).distinct().withColumn("shard", F.pmod("h1", F.lit(shards)))
-
-    def answer(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c = pickle.loads(right.cascade.iloc[0]) if len(right) else Cascade([])
-        return pd.DataFrame({"h1": left.h1, "h2": left.h2, "listed": c.listed(left.h1.to_numpy().astype(np.uint64), left.h2.to_numpy().astype(np.uint64))})
-
-    said = keys.groupBy("shard").cogroup(cascades.groupBy("shard")).applyInPandas(answer, "h1 long, h2 long, listed boolean")
-    said = said.select(F.col("h1").alias("_k1"), F.col("h2").alias("_k2"), F.col("listed").alias(name))
-    return rows.join(said, (col(h1) == F.col("_k1")) & (col(h2) == F.col("_k2")), "left").drop("_k1", "_k2")
-
-
-def judge(pages: DataFrame, url_col: str = "url", rules=RULES, listed: DataFrame | None = None, shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    edges, held_bytes = [0], 0
+    for r in sorted(cascades.select("shard", F.octet_length("cascade").alias("n")).collect(), key=lambda r: r.shard):
+        if held_bytes and held_bytes + r.n > broadcast_bytes:
+            edges.append(r.shard)
+            held_bytes = 0
+        held_bytes += r.n
+    parts = []
+    for lo, hi in zip(edges, [*edges[1:], shards], strict=True):
+        own = cascades.where(F.col("shard").between(lo, hi - 1)) if len(edges) > 1 else cascades
+        asked = rows.where(F.pmod(col(h1), F.lit(shards)).between(lo, hi - 1)) if len(edges) > 1 else rows
+        parts.append(asked.withColumn(name, asker(spark.sparkContext.broadcast({r.shard: pickle.loads(r.cascade) for r in own.collect()}), shards)(col(h1), col(h2))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def asker(held, shards: int):
+    """An Arrow function that tells whether keys are listed, by broadcast cascades of their shards."""
+
+    @F.arrow_udf("boolean")
+    def listed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            x, y = np.asarray(a).astype(np.int64), np.asarray(b).astype(np.int64)
+            out, shard = np.zeros(len(x), bool), x % shards
+            for s in np.unique(shard):
+                if (c := held.value.get(int(s))) is not None:
+                    own = shard == s
+                    out[own] = c.listed(x[own].astype(np.uint64), y[own].astype(np.uint64))
+            yield pa.array(out)
+
+    return listed
+
+
+def under(host: Column, domains) -> Column:
+    """Whether a host is one of ``domains`` or a subdomain of one."""
+    names = F.split(host, r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+    return F.arrays_overlap(parents, F.array(*map(F.lit, domains)))
+
+
+def judge(pages: DataFrame, url_col: str = "url", rules=RULES, block_list=BLOCK_LIST, listed: DataFrame | None = None, shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict (columns of these names give way).
 
-    ``rule`` is the longest rule that fits, else null.  The verdict of a page comes from the cascade: its key,
-    host and path, is listed if its rule blocks it, or if no rule fits and its host is in ``listed`` (a
-    column ``host``; default: none); listed keys are blocked, all others allowed.  A url that is null or
-    has no ``://`` has an empty host and path, which no rule fits.  Nulls in other columns and repeated rows
-    pass through; an empty table gives an empty result.
+    ``rule`` is the longest rule that fits, else null, and its verdict is the page's.  The verdict of a page that no rule
+    fits comes from the cascade over all keys (host and path) of ``pages``: listed keys are blocked, all others allowed.
+    Listed is a key whose host is a domain of ``block_list`` or of ``listed`` (a column ``domain``, of any size), or
+    a subdomain of one.  A url that is null or has no ``://`` has an empty host and path, which no rule fits and no domain
+    covers.  Nulls in other columns and in ``listed``, and repeated rows pass through; an empty table gives an empty result.
 
     Scale: keys are made distinct with partial aggregation, so a host with a third of all pages costs one row a
-    task and key; shards hold about ``shard_keys`` keys whatever the input; cascades are broadcast only
-    up to ``broadcast_bytes``, beyond that distinct keys are looked up in their shards.
+    task and key; shards hold about ``shard_keys`` keys whatever the input; cascades answer in groups of
+    ``broadcast_bytes``, see ``member``.  Only distinct hosts are joined with ``listed``, when cascades are built.
     """
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     h1, h2, hit, rule = (fresh(pages.columns, x) for x in ("_url_h1", "_url_h2", "_url_listed", "_url_rule"))
@@ -155,13 +172,17 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, listed: DataFrame
     a, b = key_hashes(F.concat(F.col(host), F.lit("\n"), F.col(path)))
     rows = rows.withColumns({h1: a, h2: b, rule: fitting_rule(F.col(host), F.col(path), rules)})
     with Scratch(pages.sparkSession, "urls") as scratch:
-        keys = rows.groupBy(F.col(h1).alias("h1"), F.col(h2).alias("h2")).agg(F.first(host).alias("host"), F.first(F.col(rule)).alias("rule"))
+        keys = rows.groupBy(F.col(h1).alias("h1"), F.col(h2).alias("h2")).agg(F.first(host).alias("host"))
+        named = under(F.col("host"), block_list) if block_list else F.lit(False)
         if listed is not None:
-            hosts = listed.select(F.col("host").alias("_host")).distinct().withColumn("_named", F.lit(True))
+            names = F.split("host", r"\.")
+            parents = rows.select(F.col(host).alias("host")).distinct().select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))).alias("_parent"))
+            hosts = parents.join(listed.select(F.col("domain").alias("_parent")).distinct(), "_parent", "left_semi").select(F.col("host").alias("_host")).distinct().withColumn("_named", F.lit(True))
             keys = keys.join(hosts, F.col("host") == F.col("_host"), "left")
-        named = F.coalesce(F.col("_named"), F.lit(False)) if listed is not None else F.lit(False)
-        keys = scratch.cut(keys.select("h1", "h2", F.when(F.col("rule").isNull(), named).otherwise(F.col("rule.verdict") == "block").alias("listed")), "keys")
+            named = named | F.coalesce(F.col("_named"), F.lit(False))
+        keys = scratch.cut(keys.select("h1", "h2", named.alias("listed")), "keys")
         shards = max(1, -(-keys.count() // shard_keys))
         cascades = scratch.keep(build_cascades(keys, shards))
     rows = member(rows, cascades, shards, h1, h2, hit, broadcast_bytes)
-    return rows.select(*[col(c) for c in keep], F.col(host).alias("host"), F.col(path).alias("path"), F.col(f"{rule}.rule").alias("rule"), F.when(F.coalesce(F.col(hit), F.lit(False)), "block").otherwise("allow").alias("verdict"))
+    verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(hit), "block").otherwise("allow"))
+    return rows.select(*[col(c) for c in keep], F.col(host).alias("host"), F.col(path).alias("path"), F.col(f"{rule}.rule").alias("rule"), verdict.alias("verdict"))

@@ -155,11 +155,12 @@ def test_urls(spark, bound):
     cases = {
         "http://A.Example.NET/en/x?q": ("a.example.net", "/en/x", "example.net/en/", "allow"), "https://example.net/de/": ("example.net", "/de/", "net/", "block"), "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"),
         "x://m.example.com/de/1#y": ("m.example.com", "/de/1", "example.com/de/", "block"), "http://net": ("net", "", None, "allow"), "http://b.org/fr/://z": ("b.org", "/fr/://z", "org/fr/", "allow"), "no host": ("", "", None, "allow"),
-        "http://evil.test/a": ("evil.test", "/a", None, "block"), None: ("", "", None, "allow"), "": ("", "", None, "allow"),
+        "http://evil.test/a": ("evil.test", "/a", None, "block"), "http://x.evil.test": ("x.evil.test", "", None, "block"), "http://notevil.test/a": ("notevil.test", "/a", None, "allow"),
+        "http://m.Cheap-Pills.example.com/q": ("m.cheap-pills.example.com", "/q", None, "block"), "http://cheap-pills.example.org/fr/": ("cheap-pills.example.org", "/fr/", "org/fr/", "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"),
     }
     rows = [(i, u, "old") for i, u in enumerate([*cases, *cases])]
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
-    listed = spark.createDataFrame([("evil.test",), ("evil.test",)], "host string")
+    listed = spark.createDataFrame([("evil.test",), ("evil.test",), (None,)], "domain string")
     got = urls.judge(pages, listed=listed, shard_keys=3, broadcast_bytes=bound).collect()
     assert len(got) == len(rows)
     assert all((r.host, r.path, r.rule, r.verdict) == cases[r.url] for r in got)
