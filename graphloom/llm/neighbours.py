@@ -20,14 +20,20 @@ from ..operators.components import components
 
 #: Links of a node above the ground layer, on it; beam while building, first beam of queries, widest beam.
 M, M0, BUILD_BEAM, FIRST_BEAM, LAST_BEAM = 12, 24, 48, 24, 384
-#: Shards at least, vectors of a shard at most, queries of a group, vectors of a packed block.
-SHARDS, SHARD_ROWS, GROUP_ROWS, BLOCK = 8, 1_000_000, 1_000_000, 2_048
-#: The audit: probes of a shard with few links and with many, cosines to find them, and the share of its true links that a probe has to find on average.
-AUDIT, AUDIT_CELLS, RECALL = 256, 1 << 28, 0.995
+#: Shards at least; bytes of double-precision vectors of a shard, of a group of queries and of a packed block of queries, at most.
+SHARDS, SHARD_BYTES, GROUP_BYTES, BLOCK_BYTES = 8, 64 << 20, 64 << 20, 1 << 20
+#: The audit: probes of a shard with few links and with many, cosines to find them, vectors of all shards among them, the bytes these may take, and the share of its true links that a probe has to find on average.
+AUDIT, AUDIT_CELLS, VISITORS, VISITOR_BYTES, RECALL = 256, 1 << 28, 4_096, 16 << 20, 0.995
 #: What the searches of a shard give; see ``counted``.
 SAID = "class string, home long, size long, shard long, whole boolean, n long, to array<string>, pairs array<struct<class:string,n:long>>"
 
 
+def units(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square overflows or vanishes."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest of each row, in falling order."""
     if sims.shape[1] > k:
@@ -171,14 +177,18 @@ class Graph:
 
 
 class Shard:
-    """A shard's graph, its vectors in double precision, counts and ids, its beam (0: brute force), and its own components."""
+    """A shard's graph, its vectors in double precision, counts and ids, its beam (0: brute force), and its own components.
+
+    ``visitors`` are (ids, unit vectors) of members of any shard, by which the search for others' queries is audited.
+    """
 
-    def __init__(self, ids: list[str], counts: np.ndarray, vectors: np.ndarray, least: float):
+    def __init__(self, ids: list[str], counts: np.ndarray, vectors: np.ndarray, least: float, visitors: tuple[list[str], np.ndarray] | None = None):
         order = np.argsort(np.array(ids, dtype=object), kind="stable")
-        self.ids, self.counts, self.raw = [ids[i] for i in order], counts[order], vectors[order]
-        self.unit = self.raw / np.linalg.norm(self.raw, axis=1, keepdims=True)
+        self.ids, self.counts, self.unit = [ids[i] for i in order], counts[order], units(vectors[order])
         self.graph, self.least = Graph(self.unit), least
-        self.width, self.recall = self.audited()
+        probes = self.probes() + self.foreign(visitors)
+        self.n_probes = len(probes)
+        self.width, self.recall = self.audited(probes)
         self.label = np.arange(len(self.ids))
         for q, found in self.links(self.unit):
             roots = {self.root(q), *(self.root(int(r)) for r in np.unique(self.label[found]))}
@@ -192,8 +202,8 @@ class Shard:
             i = int(self.label[i])
         return i
 
-    def probes(self) -> list[tuple[int, np.ndarray]]:
-        """(member, its partners by brute force, itself left out), of members in an order by hash that have a partner.
+    def probes(self) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(vector, its place, its partners by brute force, itself left out), of members in an order by hash that have a partner.
 
         AUDIT members with fewer partners than the first beam holds and AUDIT with more are looked for, among AUDIT
         members at least and, beyond that, as many as AUDIT_CELLS cosines allow.
@@ -211,23 +221,35 @@ class Shard:
                 partners = np.flatnonzero(row)
                 held = few if len(partners) < FIRST_BEAM else many
                 if len(partners) and len(held) < AUDIT:
-                    held.append((i, partners))
+                    held.append((self.unit[i], i, partners))
+        return few + many
+
+    def foreign(self, visitors: tuple[list[str], np.ndarray] | None) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(vector, -1, its partners by brute force) of visitors that are no members and have a partner: AUDIT with few and with many."""
+        if visitors is None:
+            return []
+        own, few, many = set(self.ids), [], []
+        at = [i for i, x in enumerate(visitors[0]) if x not in own]
+        for i, partners in zip(at, self.scanned(visitors[1][at]), strict=True):
+            held = few if len(partners) < FIRST_BEAM else many
+            if len(partners) and len(held) < AUDIT:
+                held.append((visitors[1][i], -1, partners))
         return few + many
 
-    def audited(self) -> tuple[int, float]:
+    def audited(self, probes: list[tuple[np.ndarray, int, np.ndarray]]) -> tuple[int, float]:
         """The first beam, from FIRST_BEAM on and doubling, that passes the audit, and its recall; 0 and 1, for brute force, if LAST_BEAM doesn't pass.
 
         Recall is the mean over probes of the share of a probe's own partners that its search finds, so that a
-        large group's many links don't outweigh a small group's few.  Probes with few partners and with many
-        are averaged apart, and the lower average counts.
+        large group's many links don't outweigh a small group's few.  Probes with few partners and with many, and
+        those that are members and those that are not, are averaged apart, and the lowest average counts.
         """
-        probes = self.probes()
-        few = np.array([len(x) < FIRST_BEAM for _, x in probes], bool)
-        q = self.unit[[i for i, _ in probes]]
+        few = np.array([len(x) < FIRST_BEAM for _, _, x in probes], bool)
+        own = np.array([i >= 0 for _, i, _ in probes], bool)
+        q = np.stack([v for v, _, _ in probes]) if probes else self.unit[:0]
         width = FIRST_BEAM
         while True:
-            share = np.array([np.isin(x, got).mean() for (_, x), (_, got) in zip(probes, self.links(q, width), strict=True)])
-            recall = min((float(share[x].mean()) for x in (few, ~few) if x.any()), default=1.0)
+            share = np.array([np.isin(x, got).mean() for (_, _, x), (_, got) in zip(probes, self.links(q, width), strict=True)])
+            recall = min((float(share[x].mean()) for x in (few & own, ~few & own, few & ~own, ~few & ~own) if x.any()), default=1.0)
             if recall >= RECALL:
                 return width, recall
             if width >= LAST_BEAM:
@@ -292,9 +314,10 @@ def valid(v: Column) -> Column:
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = SHARDS, shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS
+    vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = SHARDS, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES
 ) -> DataFrame:
-    """One row per input row: vec_id, n_links, component_id, kept, and the recall of the audits.
+    """One row per input row: vec_id, n_links, component_id, kept; and audit_recall, the lowest of any shard, and
+    audit_probes, the vectors with links that all audits together asked (0: there were none, and the recall says nothing).
 
     Two vectors link at a cosine of ``least`` or more; n_links counts the other rows linked directly, rows
     with the same vector included; component_id is the smallest id reachable.  Vectors that are null, empty,
@@ -302,8 +325,8 @@ def near_duplicates(
     is their own id.  Vectors of different lengths don't link.  Rows that repeat an id are rows of their own.
 
     Scale: rows with the same vector are one class with a count.  Classes are dealt into ``shards`` shards by
-    hash, more once a shard would exceed ``shard_rows``; every class queries every shard, in groups of
-    ``group_rows``, so a task holds one shard and streams packed queries.  Of the links that a scan finds in a
+    hash, more once a shard would exceed ``shard_bytes``; every class queries every shard, in groups of
+    ``group_bytes``, so a task holds one shard and some packed queries, whatever the dimension.  Of the links that a scan finds in a
     shard only their number, one edge for each of the shard's components and the sums of all scans for each
     member leave the task; of those that a beam finds also the pairs, fewer than the beam is wide.
     """
@@ -313,24 +336,27 @@ def near_duplicates(
     rows = rows.withColumn("class", F.when(F.col("v").isNotNull(), F.md5(F.to_json(F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))))))
     with Scratch(spark, "near") as scratch:
         classes = scratch.cut(rows.where("v is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("v").alias("v")), "classes")
-        sizes = {r.d: r.n for r in classes.groupBy(F.size("v").alias("d")).count().withColumnRenamed("count", "n").collect()}
-        n = max(sizes.values(), default=0)
-        shards, groups = max(shards, -(-n // shard_rows)), max(1, -(-n // group_rows))
+        held = max((8 * r.d * r.n for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()), default=0)
+        shards, groups = max(shards, -(-held // shard_bytes)), max(1, -(-held // group_bytes))
+        longest = classes.agg(F.max(F.size("v")).alias("d")).first().d or 1
+        some = classes.select("class", "v").orderBy(F.xxhash64(F.lit("visitor"), "class"), "class").limit(max(1, min(VISITORS, VISITOR_BYTES // (8 * longest)))).toPandas()
+        visitors = spark.sparkContext.broadcast({d: (own["class"].tolist(), units(np.stack(own["v"].to_numpy()))) for d, own in some.groupby(some["v"].map(len))})
         keyed = classes.withColumn("d", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)))
 
         def build(key, part: pd.DataFrame) -> pd.DataFrame:
-            made = Shard(part["class"].tolist(), part["n"].to_numpy(), np.stack(part["v"].to_numpy()), least)
+            made = Shard(part["class"].tolist(), part["n"].to_numpy(), np.stack(part["v"].to_numpy()), least, visitors.value.get(int(key[0])))
             data = pickle.dumps(made, protocol=5)
             pieces = [data[i : i + (8 << 20)] for i in range(0, len(data), 8 << 20)]
-            return pd.DataFrame({"d": int(key[0]), "shard": int(key[1]), "piece": range(len(pieces)), "data": pieces, "recall": made.recall})
+            return pd.DataFrame({"d": int(key[0]), "shard": int(key[1]), "piece": range(len(pieces)), "data": pieces, "recall": made.recall, "probes": made.n_probes})
 
-        index = scratch.cut(keyed.groupBy("d", "shard").applyInPandas(build, "d long, shard long, piece long, data binary, recall double"), "index")
+        index = scratch.cut(keyed.groupBy("d", "shard").applyInPandas(build, "d long, shard long, piece long, data binary, recall double, probes long"), "index")
 
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for d, part in batch.groupby("d"):
-                    for lo in range(0, len(part), BLOCK):
-                        own = part.iloc[lo : lo + BLOCK]
+                    size = max(1, BLOCK_BYTES // (8 * int(d)))
+                    for lo in range(0, len(part), size):
+                        own = part.iloc[lo : lo + size]
                         homes, sizes = (own[x].to_numpy(np.int64).tobytes() for x in ("shard", "n"))
                         yield pd.DataFrame({"d": [int(d)], "ids": ["".join(own["class"])], "homes": [homes], "sizes": [sizes], "data": [np.stack(own["v"].to_numpy()).tobytes()]})
 
@@ -347,7 +373,7 @@ def near_duplicates(
                     names = [ids[i : i + 32] for i in range(0, len(ids), 32)]
                     homes, many = np.frombuffer(homes, np.int64).tolist(), np.frombuffer(many, np.int64).tolist()
                     q = np.frombuffer(data, float).reshape(len(names), -1)
-                    for k, found, whole in shard.searched(q / np.linalg.norm(q, axis=1, keepdims=True)):
+                    for k, found, whole in shard.searched(units(q)):
                         to = [shard.ids[j] for j in np.unique(shard.label[found])]
                         found = found[found != place.get(names[k], -1)]
                         if whole:
@@ -368,12 +394,13 @@ def near_duplicates(
         found = counted(said, scratch)
         info = own.join(found, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
         info = info.withColumn("component", F.coalesce("component", "class"))
-        low = info.groupBy("component").agg(F.min("least").alias("component_id"))
-        info = info.join(low, "component").select(F.concat(F.lit("c"), "class").alias("_class"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-        recall = index.agg(F.min("recall").alias("r")).first().r
+        # A key of its own makes both sides of the join exchange, so that adaptive execution splits a large component.
+        low = info.groupBy("component").agg(F.min("least").alias("component_id")).select(F.concat(F.lit("c"), "component").alias("_component"), "component_id")
+        info = info.withColumn("_component", F.concat(F.lit("c"), "component")).join(low, "_component").select(F.concat(F.lit("c"), "class").alias("_class"), (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+        audit = index.where("piece = 0").agg(F.min("recall").alias("recall"), F.coalesce(F.sum("probes"), F.lit(0)).alias("probes")).first()
         slim = rows.select("vec_id", F.concat(F.lit("c"), "class").alias("_class")).join(info, "_class", "left")
         return scratch.keep(
             slim.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
             .withColumn("kept", F.col("vec_id") == F.col("component_id"))
-            .withColumn("audit_recall", F.lit(recall).cast("double"))
+            .withColumns({"audit_recall": F.lit(audit.recall).cast("double"), "audit_probes": F.lit(audit.probes).cast("long")})
         )

@@ -59,7 +59,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept", "audit_recall", "audit_probes")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,10 +183,34 @@ def test_audit_sees_small_groups_beside_a_large_one(monkeypatch):
     monkeypatch.setattr(N.Shard, "links", links)
     s = N.Shard([f"{i:032d}" for i in range(len(v))], np.ones(len(v), int), v, 0.95)
     assert s.width == 96 and s.recall == 1
-    assert all(i not in x and len(x) for i, x in s.probes()) and {len(x) < 24 for _, x in s.probes()} == {True, False}
+    assert all(i not in x and len(x) for _, i, x in s.probes()) and {len(x) < 24 for _, _, x in s.probes()} == {True, False}
+    assert s.n_probes == len(s.probes())
     assert N.Shard(["a", "b"], np.ones(2, int), np.eye(2), 0.95).recall == 1
 
 
+def test_audit_asks_for_other_shards(monkeypatch):
+    """Members find all of their partners with the first beam, visitors only with a wider one."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(200, 16))
+    visitors = ([f"x{i}" for i in range(200)], N.units(v + rng.normal(0, 0.01, v.shape)))
+
+    def links(self, q, width=None):
+        for k, row in enumerate(q @ self.unit.T):
+            yield k, np.flatnonzero(row >= self.least if (width or self.width) >= 48 else row >= 1 - 1e-12)
+
+    monkeypatch.setattr(N.Shard, "links", links)
+    ids = [f"{i:032d}" for i in range(200)]
+    assert N.Shard(ids, np.ones(200, int), v, 0.95).width == 24
+    s = N.Shard(ids, np.ones(200, int), v, 0.95, visitors)
+    assert s.width == 48 and s.recall == 1 and s.n_probes == 200
+    assert N.Shard(ids, np.ones(200, int), v, 0.95, (ids, N.units(v))).n_probes == 0
+
+
+def test_units_of_huge_and_tiny_vectors():
+    v = np.array([[3e200, 4e200], [3e-200, 4e-200], [3e-320, 0.0], [0.6, 0.8]])
+    assert np.allclose(N.units(v), [[0.6, 0.8], [0.6, 0.8], [1, 0], [0.6, 0.8]])
+
+
 def test_shard_that_no_beam_serves_is_scanned(monkeypatch):
     rng = np.random.default_rng(8)
     v = np.repeat(rng.normal(size=(150, 16)), 2, 0) + rng.normal(0, 0.01, (300, 16))

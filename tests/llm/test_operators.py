@@ -218,12 +218,19 @@ def test_near_duplicates(spark):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     want = Counter((i, n[k], min(v[j][0] for j in good if find(j) == find(k)) if k in up else i) for k, (i, _) in enumerate(v))
-    out = neighbours.near_duplicates(df, shards=3, group_rows=150)
+    out = neighbours.near_duplicates(df, shards=3, group_bytes=150 * 64)
+    assert out.select("audit_recall", "audit_probes").distinct().count() == 1 and out.first().audit_probes > 0 and out.first().audit_recall >= 0.995
     got = Counter((r.vec_id, r.n_links, r.component_id) for r in out.collect())
     assert got == want
     assert neighbours.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_of_any_length_link(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [1.0, -1.0]), (6, [float("inf"), 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=2).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (3, 1, False), 5: (0, 5, True), 6: (0, 6, True)}
+
+
 def test_links_count_for_both_ends(spark):
     """a (2 rows) and b, c, d: a's beam found b, b's found nothing; c's scan found a and d, a's and d's beams missed c or found it too."""
     from graphloom.llm.common import Scratch
