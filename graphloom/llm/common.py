@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, free_shuffles, shared_dir  # noqa: F401
@@ -85,3 +85,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+class KeyFilter:
+    """A bitmap of ``keys``' hashes, of eight bits a key up to ``most_bytes``: what it doesn't hold is no key; some that it holds are none either."""
+
+    def __init__(self, keys: DataFrame, key: Column, most_bytes: int = 16 << 20):
+        n = keys.count()
+        self.bits = 1 << min(int(most_bytes * 8).bit_length() - 1, max(10, int(8 * n).bit_length()))
+        place = self.place(key)
+        packed = keys.where(place.isNotNull()).select(F.bitmap_bucket_number(place + 1).alias("b"), F.bitmap_bit_position(place + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+        self.found = keys.sparkSession.sparkContext.broadcast({r.b: bytes(r.m) for r in packed.collect()})
+
+    def place(self, key: Column) -> Column:
+        """The bit of a key; null for a null key."""
+        return F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(self.bits)))
+
+    def has(self, place: np.ndarray) -> np.ndarray:
+        """Whether the bits at ``place`` are set; not at negative places."""
+        return bits_at(self.found.value, place)
+
+    def column(self, key: Column) -> Column:
+        """Whether the filter holds a key; false for null."""
+        held = self.found
+
+        @F.arrow_udf("boolean")
+        def has(place: pa.Array) -> pa.Array:
+            return pa.array(bits_at(held.value, np.asarray(place.fill_null(-1))))
+
+        return has(self.place(key))
+
+
+def bits_at(table: dict[int, bytes], place: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(place), bool)
+    bucket = place // 32_768 + 1
+    for b in np.unique(bucket[place >= 0]).tolist():
+        if b in table:
+            own = np.flatnonzero((bucket == b) & (place >= 0))
+            bit = place[own] % 32_768
+            out[own] = ((np.frombuffer(table[b], np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+    return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, chunks, col, free_shuffles, fresh, mix64
+from .common import KeyFilter, Scratch, as_bytes, bits_at, chunks, col, free_shuffles, fresh, mix64
 from ..operators.components import components
 
 #: Words whose frequency makes the order of tokens, all others being rare; the least count within a block of words to be counted.
@@ -395,32 +395,22 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
         parts = components(edges, checkpoint="jaccard-parts")
         info = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
         info = info.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        low = info.groupBy("component").agg(F.min("least").alias("component_id"))
-        info = info.join(low, "component").select(F.hex("key").alias("set_key"), "component_id")
-        # Joined by another form of the key: both sides exchange, and adaptive execution splits a text that many documents have.
+        low = info.groupBy("component").agg(F.min("least").alias("component_id")).select(F.hex("component").alias("_component"), "component_id")
+        info = info.withColumn("_component", F.hex("component")).join(low, "_component").select(F.hex("key").alias("set_key"), "component_id")
+        # Joined by another form of the key, here as above: both sides exchange, and adaptive execution splits a text that many documents have.
         out = rows.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.hex("key").alias("set_key")).join(info, "set_key", "left")
         return scratch.keep(out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_key", "digest"))
 
 
 def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: int, num: int, den: int, cluster_tokens: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes which links connect."""
-    n = members.count()
-    bits = 1 << min(int(FILTER_BYTES * 8).bit_length() - 1, max(10, int(8 * n).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    packed = members.where("doc_id is not null").select(F.bitmap_bucket_number(place + 1).alias("b"), F.bitmap_bit_position(place + 1).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
-    found = {r.b: bytes(r.m) for r in packed.collect()}  # at most FILTER_BYTES
+    named = KeyFilter(members.where("doc_id is not null"), F.col("doc_id"), FILTER_BYTES)
     nulls = members.where("doc_id is null").limit(1).count() > 0
-    held = spark.sparkContext.broadcast(found)
+    held = named.found
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {b: np.frombuffer(m, np.uint8) for b, m in held.value.items()}
         for batch in batches:
-            at = np.asarray(batch["place"].fill_null(-1))
-            keep = np.asarray(batch["doc_id"].is_null()) & nulls
-            for b, m in table.items():
-                own = np.flatnonzero((at // 32_768 + 1 == b) & (at >= 0))
-                bit = at[own] % 32_768
-                keep[own] |= ((m[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+            keep = bits_at(held.value, np.asarray(batch["place"].fill_null(-1))) | (np.asarray(batch["doc_id"].is_null()) & nulls)
             batch = batch.filter(pa.array(keep))
             ids, done = batch["doc_id"], 0
             for part in chunks(batch["text"]):
@@ -433,7 +423,7 @@ def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: i
     packs = max(1, -(-int(total) // cluster_tokens))
     big = scratch.cut(sizes.where(F.col("total") > cluster_tokens).select("cluster"), "large")
     any_big = not big.isEmpty()
-    made = texts.withColumn("place", place).mapInArrow(third, "id long, k binary, tokens binary").where("k is not null")
+    made = texts.withColumn("place", named.place(F.col("doc_id"))).mapInArrow(third, "id long, k binary, tokens binary").where("k is not null")
     # Rows that repeat an id and a text give a class twice; matching takes the first.
     full = made.join(members, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "key", "n", "tokens")
     if any_big:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, col
+from .common import KeyFilter, Scratch, col
 
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
@@ -133,21 +133,26 @@ def read_record(bundle: bytes, frame_at: int, frame_bytes: int, record_at: int)
 
 
 def decisions(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
-    """``pages`` with sha1 (hex), refers_to: of payloads of ``least_bytes`` at least, the smallest id with the same payload, if another's.
+    """(page_id, url, html, refers_to) of ``pages``: of payloads of ``least_bytes`` at least, the smallest id with the same payload, if another's.
 
     Payloads are told apart by SHA-1 and length.  A null id is never referred to, and its record is a
     response unless another record has its payload.  Rows that repeat an id and payload are all alike.
+
+    Scale: payloads are counted by digest and length.  A filter of at most 16 MB holds the digests that several pages
+    have; pages that it doesn't hold pass without a shuffle, only the others are joined with the first page of their payload.
     """
     html = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = pages.select(col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    slim = rows.where(F.octet_length("html") >= least_bytes)
-    firsts = slim.groupBy("sha1", F.octet_length("html").alias("n")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    # A key of its own makes both sides of the join exchange, so that adaptive execution splits a payload that many pages have.
-    firsts = firsts.select(F.concat(F.col("sha1"), F.lit("-"), F.col("n")).alias("_payload"), "first")
-    rows = rows.withColumn("_payload", F.concat(F.col("sha1"), F.lit("-"), F.octet_length("html")))
-    rows = rows.join(firsts, "_payload", "left").drop("_payload")
+    rows = pages.select(col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumn("_payload", F.concat(F.sha1(F.encode("html", "UTF-8")), F.lit("-"), F.octet_length("html")))
+    counted = rows.where(F.octet_length("html") >= least_bytes).groupBy("_payload").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts = Scratch(pages.sparkSession, "payloads").keep(counted.select("_payload", "first"))
+    shared = KeyFilter(firsts, F.col("_payload"))
+    rows = rows.withColumn("_shared", shared.column(F.col("_payload")))
+    # Another form of the key makes both sides of the join exchange, so that adaptive execution splits a payload that many pages have.
+    joined = rows.where("_shared").join(firsts.select(F.concat(F.lit("p"), "_payload").alias("_key"), "first"), F.concat(F.lit("p"), "_payload") == F.col("_key"), "left")
     other = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("first") != F.col("page_id")))
-    return rows.withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
+    own = ["page_id", "url", "html"]
+    return joined.select(*own, F.when(other, F.col("first")).alias("refers_to")).unionByName(rows.where("not _shared").select(*own, F.lit(None).cast("long").alias("refers_to")))
 
 
 def store(path: str, name: str, data: bytes) -> None:
@@ -223,18 +228,22 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
     """Write ``pages`` (page_id, url, html) as bundles below ``path`` and return (index, records read back).
 
-    ``path`` defaults to the shared folder.  A null html is an empty payload, a null url leaves the header
+    Without a ``path`` the archive goes to the shared folder and is deleted after it was read back; index and records
+    are kept by reliable checkpoints.  A null html is an empty payload, a null url leaves the header
     out, a null page_id leaves the record's id empty; repeated rows give as many records; an empty table
     gives no bundle.  Other columns are not archived.
     """
     spark = pages.sparkSession
-    at = path or f"{Scratch(spark, 'warc').path}"
+    own = Scratch(spark, "warc")
+    at = path or own.path
     index = write_bundles(decisions(pages, least_bytes), f"{at}/bundles")
     index.write.parquet(f"{at}/index")
     index = spark.read.schema(index.schema).parquet(f"{at}/index")
     if index.isEmpty():
-        return index, spark.createDataFrame([], READ)
-    records = read_bundles(spark, f"{at}/bundles")
-    named = index.select("bundle").distinct()
-    return index, records.join(named, "bundle", "left_semi")
-
+        records = spark.createDataFrame([], READ)
+    else:
+        records = read_bundles(spark, f"{at}/bundles").join(index.select("bundle").distinct(), "bundle", "left_semi")
+    if path is None:
+        index, records = own.keep(index), own.keep(records)
+        own.drop()
+    return index, records

@@ -131,6 +131,34 @@ def test_warc(spark):
     assert warc.archive(pages.where("false"))[1].count() == 0
 
 
+def test_archive_in_a_folder(spark, tmp_path):
+    """An archive with a path stays, and any record is read by its index entry alone; one without leaves nothing behind."""
+    import glob
+
+    from graphloom.session import shared_dir
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i // 2} " * 500) for i in range(200)], "page_id long, url string, html string")
+    index, records = warc.archive(pages, str(tmp_path / "kept"))
+    for r in index.where("page_id % 50 = 0").collect():
+        with open(tmp_path / "kept" / "bundles" / r.bundle, "rb") as f:
+            head, block = warc.read_record(f.read(), r.frame_at, r.frame_bytes, r.record_at)
+        assert head["warc-type"] == "response" and block.decode() == f"page {r.page_id // 2} " * 500
+    assert records.where("record_type = 'revisit' and refers_to = page_id - 1 and page_id % 2 = 1").count() == 100
+    assert sorted(map(str, warc.archive(pages)[1].drop("bundle", "frame").collect())) == sorted(map(str, records.drop("bundle", "frame").collect()))
+    assert not glob.glob(shared_dir(spark).removeprefix("file://") + "/warc-*")
+
+
+def test_key_filter_holds_all_keys(spark):
+    from graphloom.llm.common import KeyFilter
+
+    keys = spark.range(0, 3_000, 3).selectExpr("cast(id as string) as k").unionByName(spark.createDataFrame([(None,)], "k string"))
+    f = KeyFilter(keys, keys["k"])
+    rows = spark.range(9_000).selectExpr("id", "cast(id as string) as k").unionByName(spark.createDataFrame([(-1, None)], "id long, k string"))
+    got = {r.id for r in rows.withColumn("has", f.column(rows["k"])).where("has").collect()}
+    assert set(range(0, 3_000, 3)) <= got and -1 not in got and len(got) < 3_500
+    assert not KeyFilter(keys.where("false"), keys["k"]).has(np.array([0, -1])).any()
+
+
 def test_licenses(docs, none):
     got = {(r.doc_id, r.license.n_words, r.license.n_base, r.license.first_word, r.license.last_word, r.license.base_labels, r.license.labels, r.license.score) for r in licenses.scan(docs).collect()}
     for d, t in TEXTS:
