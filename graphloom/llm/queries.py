@@ -104,16 +104,15 @@ FROM m
 
 def _op4() -> str:
     sets = licenses.template_words(licenses.TEMPLATES)
-    templates = ", ".join(f"('{label}', {words!r}, {licenses.needed(len(words), licenses.THRESHOLD)})" for label, words in sorted(sets.items()))
+    templates = ", ".join(f"('{label}', {words!r}, {licenses.needed(len(words), licenses.THRESHOLD)}, {licenses.block_words(licenses.TEMPLATES[label])})" for label, words in sorted(sets.items()))
     phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in sorted(licenses.PHRASES.items()))
-    line = _WORDS.format("line")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
-t AS (SELECT * FROM (VALUES {templates}) AS t(label, words, k)),
+t AS (SELECT * FROM (VALUES {templates}) AS t(label, words, k, n)),
 f AS (SELECT * FROM (VALUES {phrases}) AS t(label, words)),
 base AS (SELECT rid, label, i - 1 AS place FROM d, f, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] = f.words[1] AND w[i:i + len(f.words) - 1] = f.words),
-lines AS (SELECT rid, list_distinct({line}) AS b FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
-met AS (SELECT rid, label, len(list_intersect(b, words)) / CAST(len(words) AS DOUBLE) AS c FROM lines, t WHERE len(list_intersect(b, words)) >= k),
+starts AS (SELECT rid, label, words, k, w[i:i + n - 1] AS b FROM d, t, unnest(range(1, len(w) + 1)) AS u(i) WHERE list_contains(words, w[i])),
+met AS (SELECT rid, label, len(list_intersect(b, words)) / CAST(len(words) AS DOUBLE) AS c FROM starts WHERE len(list_intersect(b, words)) >= k),
 own AS (SELECT rid, max(c) AS c FROM met GROUP BY rid),
 b AS (SELECT rid, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY rid),
 every AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM met) GROUP BY rid)

@@ -165,19 +165,29 @@ def test_licenses(docs, none):
         w = WORD.findall(low(t))
         at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         labels, best = {x for _, x in at}, 0.0
-        for line in (t or "").split("\n"):
-            b = set(WORD.findall(low(line)))
-            for label, words in licenses.template_words(licenses.TEMPLATES).items():
-                c = len(b & set(words)) / len(words)
+        for i in range(len(w)):
+            for label, template in licenses.TEMPLATES.items():
+                words = set(template.split())
+                c = len(words & set(w[i : i + -(-3 * len(template.split()) // 2)])) / len(words)
                 if c >= licenses.THRESHOLD:
                     labels.add(label)
                     best = max(best, c)
         want = (d, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), 1.0 if at else best)
         assert want in got, want
     assert licenses.scan(none).count() == 0
+    assert licenses.scan(docs, phrases={}, templates={}).where("license.labels <> '' or license.score > 0").count() == 0
     assert licenses.scan(docs.withColumnRenamed("size", "license")).columns[-1] == "license_1"
 
 
+def test_wrapped_notices(spark):
+    """Notices over several lines, with words added or missing, and their words scattered over a long text."""
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"
+    far = " ".join(w + " x" * 30 for w in licenses.TEMPLATES["bsd"].split())
+    rows = [(1, f"/*\n * {bsd} provided that"), (2, bsd.replace("or without", "")), (3, far), (4, "This work is licensed under\na Creative Commons Attribution\n4.0 International License"), (5, "x " * 5_000 + bsd), (6, None)]
+    got = {r.doc_id: (r.license.labels, sorted({(m.template, m.at) for m in r.license.matches})[:1], round(r.license.score, 3)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("bsd", [("bsd", 0)], 1.0), 2: ("bsd", [("bsd", 0)], 0.846), 3: ("", [], 0.0), 4: ("cc-by-4.0", [("cc-by-4.0", 0)], 0.867), 5: ("bsd", [("bsd", 5_000)], 1.0), 6: ("", [], 0.0)}
+
+
 @pytest.mark.parametrize("bound", [1 << 24, 0])
 def test_urls(spark, bound):
     cases = {
