@@ -140,7 +140,7 @@ def test_language_scores_against_a_plain_version():
     langs, scores = m.predict([t.encode() for t in texts], L.Seen())
     for t, g, s in zip(texts, langs, scores, strict=True):
         want = score(t)
-        assert g == want[0] and abs(s - want[1]) < 1e-9, t
+        assert g == want[0] and abs(s - want[1]) < 1e-5, t
 
 
 def test_forgotten_words_score_the_same(monkeypatch):

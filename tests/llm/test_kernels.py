@@ -224,7 +224,7 @@ def test_shard_that_no_beam_serves_is_scanned(monkeypatch):
 
 def test_language_backs_off():
     counts = [(g, w, n) for g, ws in {"en": "the thing with whale", "de": "der ding mit schwan", "fr": "le truc avec eau"}.items() for w in ws.split() for n in [5]]
-    m = L.build(counts + [("en", "", 9), ("de", "", 9), ("fr", "", 9)])
+    m = L.build(counts)
     langs, score = m.predict([b"the thing", b"schwarm", "eaux".encode(), b"123 !!", None, b"", "ГГ".encode()], L.Seen())
     assert langs[:3] == ["en", "de", "fr"] and langs[3:6] == ["und"] * 3 and (score[:3] > 0.3).all() and langs[6] != "und"
     assert L.build([]).predict([b"x"], L.Seen())[0] == ["und"]
@@ -263,7 +263,7 @@ def test_the_middle_of_a_long_word_counts():
     n = T.GRAMS[-1]
     assert {word[i : i + n] for i in range(1_001 - n)} <= {p[i : i + n] for p in T.pieces(word) for i in range(len(p) - n + 1)} and max(map(len, T.pieces(word))) == T.PIECE
 
-    model = L.build([("en", "thethingwith", 9), ("de", "derdingmitschwan", 9), ("en", "", 9), ("de", "", 9)])
+    model = L.build([("en", "thethingwith", 9), ("de", "derdingmitschwan", 9)])
     text = ("dermit" * 5 + "thething" * 40 + "dermit" * 5).encode()
     assert model.predict([text], L.Seen())[0] == ["en"]
     assert "".join([L.pieces(text.decode())[0], *(p[4:] for p in L.pieces(text.decode())[1:])]) == text.decode()

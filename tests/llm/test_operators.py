@@ -284,12 +284,13 @@ def test_links_count_for_both_ends(spark):
     assert got == {"a": 3, "b": 2, "c": 3, "d": 2, "e": 1}
 
 
-def test_a_rare_language_keeps_its_words(spark, monkeypatch):
-    """As many words a language are kept as the most frequent language alone fills, and n-grams of words that are cut count."""
-    monkeypatch.setattr(language, "MOST_WORDS", 21)
+def test_a_rare_language_keeps_its_words(spark):
+    """All words and n-grams of the sampled rows count; an id that many rows have is no more than its different texts."""
     rows = [(i, " ".join(f"en{chr(97 + k)}" for k in range(20)), "en") for i in range(60)] + [(100 + i, "zorro zyx", "es") for i in range(8)]
-    rows += [(200 + i, " ".join(f"en{chr(97 + k)}q{chr(97 + i)}" for k in range(20)), "en") for i in range(8)]
-    m = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert "zorro" in m.words and "zyx" in m.words and len([w for w in m.words if w.startswith("en")]) == 20
-    assert "q" in m.grams[1]
-    assert m.predict([b"zorro"], language.Seen())[0] == ["es"]
+    rows += [(200 + i, " ".join(f"en{chr(97 + k)}q{chr(97 + i)}" for k in range(20)), "en") for i in range(8)] + [(300, "again and again", "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language.fit(df)
+    assert len(m.keys[0]) <= 20 + 2 + 160 + 2 and len(m.keys[0]) >= 120
+    assert m.predict([b"zorro", b"zyx", b"xenax zorrito"], language.Seen())[0] == ["es"] * 3
+    few = language.fit(df, rows=10)
+    assert len(few.keys[0]) < len(m.keys[0]) and language.fit(df.where("false")).langs == []
