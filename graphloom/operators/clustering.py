@@ -47,8 +47,8 @@ def speaker_listener(edges: DataFrame, t: int, threshold: float, memory: int | N
     """(id, labels): overlapping communities; the labels that a node remembers ``threshold`` times at least, ascending.
 
     In each of t - 1 passes every neighbour speaks one remembered label, chosen by a hash; the listener
-    remembers the most frequent one, or with ``best`` off one of them by hash.  A memory of ``memory`` slots
-    forgets the oldest.
+    remembers the most frequent one, or with ``best`` off what one speaker, chosen by a hash, said, so that a label is as
+    likely as it is frequent.  A memory of ``memory`` slots forgets the oldest.  Labels have the type of the ids.
     """
     memory = memory or t
     least = threshold * memory if threshold < 1 else threshold
@@ -56,17 +56,17 @@ def speaker_listener(edges: DataFrame, t: int, threshold: float, memory: int | N
     hops = edges.select("src", "dst").distinct()
 
     def step(now: DataFrame, k: int) -> DataFrame:
-        spoken = hops.join(now.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.element_at("memory", 1 + F.floor(uniform(seed + k, "src", "dst") * F.size("memory")).cast("int")).alias("label"))
+        spoken = hops.join(now.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), F.element_at("memory", 1 + F.floor(uniform(seed + k, "src", "dst") * F.size("memory")).cast("int")).alias("label"), F.col("dst").alias("speaker"))
         if best:
             heard = mode(spoken, ["id"], "label", seed + 7_919 * (k + 1))
         else:
-            heard = spoken.groupBy("id").agg(F.max(F.struct(uniform(seed + 7_919 * (k + 1), "id", "label").alias("u"), "label")).alias("b")).select("id", F.col("b.label").alias("label"))
-        full = F.concat("memory", F.when(F.col("label").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("label")))
+            heard = spoken.groupBy("id").agg(F.max(F.struct(uniform(seed + 7_919 * (k + 1), "id", "speaker").alias("u"), "speaker", "label")).alias("b")).select("id", F.col("b.label").alias("label"))
+        full = F.concat("memory", F.when(F.col("label").isNull(), F.slice("memory", 1, 0)).otherwise(F.array("label")))
         return now.join(heard, "id", "left").select("id", F.when(F.size(full) > memory, F.slice(full, F.size(full) - memory + 1, memory)).otherwise(full).alias("memory"))
 
-    last = iterate(nodes.select("id", F.array(F.col("id").cast("bigint")).alias("memory")), step, max(0, t - 1))
+    last = iterate(nodes.select("id", F.array("id").alias("memory")), step, max(0, t - 1))
     kept = last.select("id", F.explode("memory").alias("label")).groupBy("id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return last.select("id").join(kept.groupBy("id").agg(F.array_sort(F.collect_list("label")).alias("labels")), "id", "left").select("id", F.coalesce("labels", F.array().cast("array<bigint>")).alias("labels"))
+    return last.select("id").join(kept.groupBy("id").agg(F.array_sort(F.collect_list("label")).alias("labels")), "id", "left").select("id", F.coalesce("labels", F.array().cast(f"array<{dict(nodes.dtypes)['id']}>")).alias("labels"))
 
 
 def hops_from(edges: DataFrame, landmarks: DataFrame, most: int = 254) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.loops import iterate
+from ..session import Scratch
 from .graphs import deduplicated, nodes_of, normalized
 
 
@@ -22,10 +23,10 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, eps: floa
     hops = edges.select("src", "dst", "p").repartition("src").cache()
 
     def step(now: DataFrame, _: int) -> DataFrame:
-        dead = now.where("not live").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("m")).first().m
+        dead = now.where("not live").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("_m"))  # one row
         flow = hops.join(now.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("f"))
-        y = F.lit(dead / n) + F.coalesce("f", F.lit(0.0)) * damping + F.lit((1 - damping) / n)
-        return now.select("id", "live").join(flow, "id", "left").select("id", "live", (y / F.lit(1 + dead * (1 - damping))).alias("score"))
+        y = F.col("_m") / n + F.coalesce("f", F.lit(0.0)) * damping + F.lit((1 - damping) / n)
+        return now.select("id", "live").join(flow, "id", "left").crossJoin(F.broadcast(dead)).select("id", "live", (y / (1 + F.col("_m") * (1 - damping))).alias("score"))
 
     def settled(a: DataFrame, b: DataFrame) -> bool:
         return a.select("id", F.col("score").alias("_o")).join(b, "id").agg(F.sqrt(F.sum(F.pow(F.col("score") - F.col("_o"), 2))).alias("d")).first().d < eps
@@ -57,6 +58,14 @@ def luce(edges: DataFrame, norms: DataFrame, passes: int, eps: float = 1e-8) ->
 
 
 def dense_rank_labels(parts: DataFrame) -> DataFrame:
-    """(id, label): components numbered 1, 2, ... by their smallest node."""
-    heads = parts.select("component").distinct().withColumn("label", F.row_number().over(Window.orderBy("component")))
-    return parts.join(heads, "component").select(F.col("node").alias("id"), F.col("label").cast("bigint").alias("label"))
+    """(id, label): components numbered 1, 2, ... by their smallest node: within ranges of nodes, and by the number of components before each range."""
+    with Scratch(parts.sparkSession, "labels") as scratch:
+        heads = scratch.cut(parts.select("component").distinct().repartitionByRange("component").withColumn("_part", F.spark_partition_id()), "heads")
+        before, sizes = 0, {r["_part"]: r.n for r in heads.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        offsets = []
+        for part in sorted(sizes):
+            offsets.append((part, before))
+            before += sizes[part]
+        known = F.broadcast(parts.sparkSession.createDataFrame(offsets, "_part int, _before long"))  # a row a task
+        heads = heads.join(known, "_part").select("component", (F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("component"))).alias("label"))
+        return scratch.keep(parts.join(heads, "component").select(F.col("node").alias("id"), F.col("label").cast("bigint").alias("label")))

@@ -7,7 +7,7 @@ no task holds all features.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import cos, pi
 
 import numpy as np
@@ -51,16 +51,17 @@ class Loss:
             k = max(1, on)
             return total / k, gt / k, gh / k, gu / k
         if self.kind == "contrastive":
-            dp, a = euclid(t, h)
-            terms = [(max(0.0, dp - self.gamma), a, h, None)] + [(max(0.0, self.other - d), -b, x, i) for i, x in enumerate(u) for d, b in [euclid(t, x)]]
+            # Of unit vectors: the reconstruction as near the node as ``gamma``, negatives no nearer to it than ``other``; terms above 0 are averaged.
+            cp, at, ah = cosine(t, h)
+            terms = [(self.gamma - cp, -at, -ah, None, None)] + [(c - self.other, None, bh, bu, i) for i, x in enumerate(u) for c, bh, bu in [cosine(h, x)]]
             on = [x for x in terms if x[0] > 0]
             k = max(1, len(on))
-            for _, g, _, i in on:
-                gt += g / k
+            for _, dt, dh, du, i in on:
+                gh += dh / k
                 if i is None:
-                    gh -= g / k
+                    gt += dt / k
                 else:
-                    gu[i] -= g / k
+                    gu[i] += du / k
             return sum(x[0] for x in on) / k, gt, gh, gu
         if self.kind == "starspace":
             cp, at, ah = cosine(t, h)
@@ -75,27 +76,21 @@ class Loss:
                     gu[i] += bu
             k = max(1, on)
             return total / k, gt / k, gh / k, gu / k
-        if self.kind in ("rank", "rankspace"):
-            value = 0.0
-            for at_h in ([True] if self.kind == "rank" else [True, False]):
-                q, own = (h, t) if at_h else (t, h)
-                s = np.append(u @ q, own @ q) if len(u) else np.array([own @ q])
-                p = np.exp(s - s.max())
-                p /= p.sum()
-                if p[-1] >= self.gamma:
-                    continue
-                value -= float(np.log(max(p[-1], 1e-30)))
-                g = p.copy()
-                g[-1] -= 1
-                gq = (u.T @ g[:-1] if len(u) else 0) + own * g[-1]
-                if at_h:
-                    gh += gq
-                    gt += q * g[-1]
-                else:
-                    gt += gq
-                    gh += q * g[-1]
-                gu += np.outer(g[:-1], q) if len(u) else 0
-            return value, gt, gh, gu
+        if self.kind == "rankspace":
+            both = [replace(self, kind=k).value_and_gradients(t, h, u) for k in ("starspace", "rank")]
+            return tuple(x + y for x, y in zip(*both, strict=True))
+        if self.kind == "rank":
+            s = np.append(u @ h, t @ h) if len(u) else np.array([t @ h])
+            p = np.exp(s - s.max())
+            p /= p.sum()
+            if p[-1] >= self.gamma:
+                return 0.0, gt, gh, gu
+            g = p.copy()
+            g[-1] -= 1
+            gh += (u.T @ g[:-1] if len(u) else 0) + t * g[-1]
+            gt += h * g[-1]
+            gu += np.outer(g[:-1], h) if len(u) else 0
+            return -float(np.log(max(p[-1], 1e-30))), gt, gh, gu
         raise ValueError(f"unknown loss {self.kind}")
 
 

@@ -157,10 +157,47 @@ def test_smci_prefers_the_rewarded_way(spark):
         b.add_edge(("n", str(x)), ("n", str(y)), 1, api.UNDIRECTED)
     s = api.Smci(b.build_graph())
     s.add_reward(("n", "0"), ("n", "3"), 2)
-    got = as_dict(s.optimize(1, 300, 0.1, 0.9, 0.0, 0.2, 6).named().where("from_name = '1'"), "to_name", "weight")
+    got = as_dict(s.optimize(1, 300, 0.1, 0.9, 0.0, 0.2, 5).named().where("from_name = '1'"), "to_name", "weight")
     assert got["2"] > got["5"] and sum(got.values()) == pytest.approx(1.0)
 
 
+def test_smci_rewards_only_ends(make, spark):
+    """A walk that passes its target and goes on earns nothing; each reward has walks of its own."""
+    e = graphs.normalized(make([(0, 1, 1), (0, 3, 1), (1, 2, 1), (3, 2, 1)], False))
+    run = lambda rewards, steps: {(r.src, r.dst): r.p for r in policy.smci(e, spark.createDataFrame(rewards, "src long, dst long, reward double"), 1, 40, 0.0, 1.0, explore=0.0, restart=steps).collect()}
+    assert run([(0, 1, 5.0)], 2)[0, 1] == pytest.approx(0.5)
+    assert run([(0, 1, 5.0)], 1)[0, 1] > 0.95
+    both = run([(0, 1, 5.0), (0, 3, 5.0)], 1)
+    assert 0.05 < both[0, 1] < 0.95
+
+
+def test_walks_choose_by_weight_and_end(make, spark):
+    """A hub with 60 edges of which one has half of the weight; a dead end leads home; no walk is cut short."""
+    e = graphs.normalized(make([(0, i, 59.0 if i == 1 else 1.0) for i in range(1, 61)], False))
+    root = spark.createDataFrame([(0,)], "id long")
+    first = lambda **how: as_dict(walks.walks(e, root, 2_000, 1, **how).where("step = 1").groupBy("node").count(), "node", "count")
+    got = first()
+    assert 900 < got[1] < 1_100 and len(got) > 50 and sum(got.values()) == 2_000
+    assert max(first(weighted=False).values()) < 80 and 480 < first(greedy=0.5)[1] < 620
+    rows = walks.walks(e, root, 60, 0.1)
+    ends = rows.groupBy("walk").agg(F.max("step").alias("n"))
+    assert ends.count() == 60 and 6 < ends.agg(F.avg("n")).first()[0] < 15 and rows.where("step % 2 = 0 and node <> 0").isEmpty()
+
+
+def test_losses_by_their_formulas():
+    """Values worked out by hand."""
+    t, h, u = np.array([3.0, 4.0]), np.array([0.0, 2.0]), np.array([[5.0, 0.0], [0.0, -1.0], [1.0, 1.0]])
+    c = 2**-0.5  # cosines of h with t: 0.8; with u: 0, -1, c
+    value = lambda *how: training.Loss(*how).value_and_gradients(t, h, u)[0]
+    assert value("contrastive", 1.0, 0.5, 3) == pytest.approx((0.2 + c - 0.5) / 2)
+    assert value("contrastive", 0.7, 0.0, 3) == pytest.approx(c)
+    star = (0.5 - 0.8 + c) / 1
+    rank = -np.log(np.exp(8) / (np.exp(8) + 1 + np.exp(-2) + np.exp(2)))
+    assert value("starspace", 0.5, 0.0, 3) == pytest.approx(star) and value("rank", 2.0, 0.0, 3) == pytest.approx(rank)
+    assert value("rankspace", 0.5, 0.0, 3) == pytest.approx(star)  # the target has more than half of the softmax
+    assert value("rankspace", 1.0, 0.0, 3) == pytest.approx((0.2 + 1 - 0.8 + c) / 2 + rank)
+
+
 def test_distances(spark):
     d = lambda k, a, b: spark.range(1).select(vectors.distance(k, F.array(*map(F.lit, a)), F.array(*map(F.lit, b)))).first()[0]
     a, b = [1.0, 2.0, 1.0], [3.0, 2.0, 4.0]
@@ -178,7 +215,7 @@ def test_attention():
     assert training.attended(full[:1], 1, 1) == pytest.approx([1, 1])
 
 
-@pytest.mark.parametrize("loss", [training.Loss("margin", 5.0, 0, 2), training.Loss("contrastive", 0.1, 3.0, 2), training.Loss("starspace", 1.5, 0, 2), training.Loss("rank", 2.0, 0, 2), training.Loss("rankspace", 2.0, 0, 2)])
+@pytest.mark.parametrize("loss", [training.Loss("margin", 5.0, 0, 2), training.Loss("contrastive", 1.0, -0.9, 2), training.Loss("starspace", 1.5, 0, 2), training.Loss("rank", 2.0, 0, 2), training.Loss("rankspace", 2.0, 0, 2)])
 def test_gradients(loss):
     rng = np.random.default_rng(3)
     x = [rng.normal(size=4), rng.normal(size=4), rng.normal(size=(2, 4))]
@@ -263,10 +300,26 @@ def test_overlapping_labels(make):
     e = graphs.normalized(graphs.undirected(make([(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1)], False)))
     got = as_dict(clustering.speaker_listener(e, 10, 2), "id", "labels")
     assert all(set(got[i]) <= {0, 1, 2} for i in range(3)) and all(set(got[i]) <= {3, 4, 5} for i in range(3, 6))
+    named = e.select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"))
+    assert set(as_dict(clustering.speaker_listener(named, 5, 1, best=False), "id", "labels")["n4"]) <= {"n3", "n4", "n5"}
     lpa = as_dict(clustering.label_propagation(e, 1, 5), "id", "label")
     assert {lpa[i] for i in range(3)} <= {0, 1, 2}
 
 
+def test_a_frequent_label_is_heard_more_often(make, spark):
+    """Of 10 speakers 9 say the same: about 9 of 10 listeners hear it."""
+    first = make([(100 + i, s, 1) for i in range(200) for s in range(10)] + [(s, 50 if s else 60, 1) for s in range(10)], False)
+    got = as_dict(clustering.speaker_listener(first, 3, 1, memory=1, best=False), "id", "labels")
+    heard = [got[100 + i][0] for i in range(200)]
+    assert 160 <= heard.count(50) <= 196 and set(heard) == {50, 60}
+
+
+def test_components_are_numbered_in_order(spark):
+    rows = [(i, i - i % 3) for i in range(300)]
+    got = as_dict(ranking.dense_rank_labels(spark.createDataFrame(rows, "node long, component long")), "id", "label")
+    assert got == {i: 1 + i // 3 for i in range(300)}
+
+
 def test_files(spark, tmp_path):
     g = shop(spark)
     g.save(str(tmp_path / "g"), "gzip")
