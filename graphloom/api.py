@@ -174,6 +174,33 @@ class NodeEmbeddings:
         last = {n: list(map(float, v)) + [0.0] * (dims - len(v)) for n, v in given}
         return cls.named(spark.createDataFrame([(*n, v) for n, v in last.items()], "node_type string, node_name string, vector array<double>"), distance)
 
+    @classmethod
+    def zeros(cls, graph: Graph, dims: int, distance: str = "cosine") -> NodeEmbeddings:
+        """A vector of zeros for every node of a graph."""
+        return cls(graph.nodes.select("id", "node_type", "node_name", F.array_repeat(F.lit(0.0), dims).alias("vector")), distance)
+
+    @classmethod
+    def built(cls, given: DataFrame, distance: str = "cosine") -> NodeEmbeddings:
+        """From (node_type, node_name, vector, seq): the vector of the largest ``seq`` of each node; an error if their dimensions differ."""
+        sizes = given.agg(F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
+        if sizes.lo != sizes.hi:
+            raise ValueError(f"embeddings have {sizes.lo} to {sizes.hi} dimensions")
+        return cls.named(given.groupBy("node_type", "node_name").agg(F.max_by("vector", "seq").alias("vector")), distance)
+
+    def set_embedding(self, node: tuple[str, str], vector: list[float]) -> NodeEmbeddings:
+        """With another vector of a known node."""
+        if len(vector) != len(self.get_embedding(node)):
+            raise ValueError("another number of dimensions")
+        own = (F.col("node_type") == node[0]) & (F.col("node_name") == node[1])
+        return replace(self, rows=self.rows.withColumn("vector", F.when(own, F.array(*(F.lit(float(x)) for x in vector))).otherwise(F.col("vector"))))
+
+    def by_id(self, id_: int) -> tuple[tuple[str, str], list[float]]:
+        """(name, vector) of the node with an id."""
+        got = self.rows.where(F.col("id") == F.lit(id_)).first()
+        if got is None:
+            raise KeyError(f"no node {id_}")
+        return (got.node_type, got.node_name), list(got.vector)
+
     @classmethod
     def of(cls, graph: Graph, vectors_: DataFrame, distance: str) -> NodeEmbeddings:
         return cls(vectors_.join(graph.nodes, "id").select("id", "node_type", "node_name", "vector"), distance)
@@ -203,6 +230,24 @@ class NodeEmbeddings:
         return self.rows.sparkSession.range(1).select(vectors.distance(self.distance, F.array(*map(F.lit, a)), F.array(*map(F.lit, b))).alias("d")).first().d
 
 
+class NodeEmbeddingsBuilder:
+    """Vectors given one after the other; the last of a node stays."""
+
+    def __init__(self, spark: SparkSession, distance: str = "cosine"):
+        self.spark, self.distance, self.given = spark, distance, []
+
+    def add_embedding(self, node: tuple[str, str], vector: list[float]) -> None:
+        if self.given and len(vector) != len(self.given[0][2]):
+            raise ValueError("another number of dimensions")
+        self.given.append((*node, list(map(float, vector)), len(self.given)))
+
+    def build(self) -> NodeEmbeddings | None:
+        """None if nothing was given."""
+        if not self.given:
+            return None
+        return NodeEmbeddings.built(self.spark.createDataFrame(self.given, "node_type string, node_name string, vector array<double>, seq long"), self.distance)
+
+
 # Algorithms, each with the settings it is made with
 
 
@@ -442,6 +487,17 @@ class FeatureAggregator:
     d_k: int = 1
     window: int | None = None
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As a folder: the settings, and the features' shares (feat, p) of a weighted one."""
+        tables.save_aggregator(spark, f"{path}/settings", self.kind, alpha=self.alpha, heads=self.heads, d_k=self.d_k, window=self.window)
+        if self.weights is not None:
+            self.weights.select("feat", "p").write.mode("overwrite").parquet(f"{path}/weights")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureAggregator:
+        got = tables.load_aggregator(spark, f"{path}/settings")
+        return cls(weights=spark.read.parquet(f"{path}/weights") if got["kind"] == "weighted" else None, **got)
+
 
 @dataclass(frozen=True)
 class NodeEmbedder:

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from .functions import chance, vectors
-from .operators import clustering, embedding, features, graphs, nearest, policy, ranking, walks
+from .operators import clustering, embedding, evaluation, features, graphs, nearest, policy, ranking, walks
 from .plans.loops import unrolled
 from .session import Scratch
 from .sources import tables
@@ -143,8 +144,9 @@ def s11_embedding_scan(spark, d):
 @query("WITH x AS (SELECT label, embedding, vec_id FROM embeddings) SELECT label, max(vec_id) AS vec_id, round(list_sum(list_transform(max_by(embedding, vec_id), lambda x: x::DOUBLE)), 6) AS total FROM x GROUP BY label")
 def s14_embeddings_builder(spark, d):
     """The last vector set for a key stays."""
-    last = read(spark, d, "embeddings").groupBy("label").agg(F.max("vec_id").alias("vec_id"), F.max_by("embedding", "vec_id").alias("v"))
-    return last.select("label", "vec_id", F.round(vectors.total(vectors.doubles(F.col("v"))), 6).alias("total"))
+    given = read(spark, d, "embeddings").select(F.lit("label").alias("node_type"), F.col("label").cast("string").alias("node_name"), vectors.doubles(F.col("embedding")).alias("vector"), F.col("vec_id").alias("seq"))
+    built = api.NodeEmbeddings.built(given, "cosine").rows.join(given, ["node_type", "node_name", "vector"]).groupBy("node_name", "vector").agg(F.max("seq").alias("vec_id"))
+    return built.select(F.col("node_name").cast("int").alias("label"), "vec_id", F.round(vectors.total(F.col("vector")), 6).alias("total"))
 
 
 @query("SELECT 'part' AS node_type, 'p' || p_partkey AS node_name, p_retailprice AS reward FROM part")
@@ -668,17 +670,20 @@ def e15_rank_learning(spark, d):
 def a12_recall_at_k(spark, d):
     """Of the ten nearest of each query, the share of its own type."""
     v = stored_vectors(spark, d)
-    near = nearest.nearest_each(v, v.where("id % 50 = 0"), 11).where("query <> id")
-    from pyspark.sql import Window
+    near = nearest.nearest_each(v, v.where("id % 50 = 0"), 11)
+    return evaluation.recall_of_kind(near, v.select("id", F.col("node_type").alias("kind")), 10).select(F.round("recall", 9).alias("recall"))
 
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where("r <= 10")
-    kind = v.select(F.col("id").alias("query"), F.col("node_type").alias("t"))
-    return near.join(v.select("id", "node_type"), "id").join(kind, "query").agg(F.round(F.avg((F.col("t") == F.col("node_type")).cast("double")), 9).alias("recall"))
+
+@query(f"WITH {VEC}, q AS (SELECT id AS query, node_type AS t, vector AS b FROM v WHERE id % 50 = 0), x AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY {_DISTANCES['cosine']}, id) AS rank FROM v, q WHERE id <> query), best AS (SELECT query, min(rank) AS best FROM (SELECT DISTINCT id AS query, id // 50 * 50 + 1 AS id FROM v WHERE id % 50 = 0) t LEFT JOIN x USING (query, id) GROUP BY query) SELECT k, round(avg(CASE WHEN best <= k THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS hit_rate FROM best, (VALUES (5), (200)) AS t(k) GROUP BY k")
+def x7_hit_rates(spark, d):
+    """Whether the vector that follows each query's is among its five, or two hundred, nearest."""
+    v = stored_vectors(spark, d)
+    near = nearest.nearest_each(v, v.where("id % 50 = 0"), 201)
+    truth = v.where("id % 50 = 0").select(F.col("id").alias("query"), (F.col("id") + 1).alias("id"))
+    return evaluation.hit_rates(near, truth, (5, 200)).withColumn("hit_rate", F.round("hit_rate", 9))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), unnest(range(1, len(w))) AS t(i)")
+@query("SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(i - 1 AS INTEGER) AS pos, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), (VALUES (1), (2), (3)) AS k(n), unnest(range(1, len(w) - n + 2)) AS t(i)")
 def x4_ngrams(spark, d):
-    """Two-word grams, as an interactive query is cut into."""
-    w = F.split("text", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    return read(spark, d, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 1).select("doc_id", F.posexplode(grams).alias("pos", "gram"))
+    """One to three words, as an interactive query is cut into."""
+    return read(spark, d, "documents").select("doc_id", F.explode(evaluation.ngrams(F.col("text"))).alias("g")).select("doc_id", "g.n", "g.pos", "g.gram")

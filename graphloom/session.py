@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,11 +35,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of its own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         at = context.getCheckpointDir()
     return at.rstrip("/")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom import api
 from graphloom.functions import vectors
-from graphloom.operators import clustering, embedding, features, graphs, nearest, policy, ranking, training, walks
+from graphloom.operators import clustering, embedding, evaluation, features, graphs, nearest, policy, ranking, training, walks
 
 
 @pytest.fixture(scope="module")
@@ -366,3 +366,55 @@ def test_queries_over_all_of_the_geography(spark):
     assert {r.kind: r["count"] for r in got.groupBy((F.col("id") % 4).alias("kind")).count().collect()} == dict(enumerate(n.values()))
     roots = {r.kind: r.n for r in queries.QUERIES["e6_feature_ppr"](spark, d).groupBy(F.substring("root", 1, 1).alias("kind")).agg(F.countDistinct("root").alias("n")).collect()}
     assert roots == {t[0]: k for t, k in n.items()}
+
+
+def test_embeddings_are_built_and_set(spark):
+    b = api.NodeEmbeddingsBuilder(spark)
+    assert b.build() is None
+    for n, v in ((("a", "x"), [1, 0]), (("a", "y"), [0, 1]), (("a", "x"), [2, 2])):
+        b.add_embedding(n, v)
+    with pytest.raises(ValueError):
+        b.add_embedding(("a", "z"), [1, 2, 3])
+    e = b.build()
+    assert e.get_embedding(("a", "x")) == [2, 2] and e.rows.count() == 2
+    e = e.set_embedding(("a", "y"), [5, 6])
+    assert e.get_embedding(("a", "y")) == [5, 6] and e.get_embedding(("a", "x")) == [2, 2]
+    at = e.rows.where("node_name = 'y'").first().id
+    assert e.by_id(at) == (("a", "y"), [5, 6])
+    for call in (lambda: e.by_id(at + 1), lambda: e.set_embedding(("a", "q"), [1, 1])):
+        with pytest.raises(KeyError):
+            call()
+    zeros = api.NodeEmbeddings.zeros(shop(spark), 3)
+    assert {tuple(r.vector) for r in zeros.rows.collect()} == {(0, 0, 0)} and zeros.rows.count() == shop(spark).nodes.count()
+
+
+def test_aggregators_are_saved(spark, tmp_path):
+    shares = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "feat string, p double")
+    for k, a in enumerate((api.FeatureAggregator(), api.FeatureAggregator("attention", heads=2, d_k=3, window=4), api.FeatureAggregator("weighted", 0.5, shares))):
+        a.save(spark, str(tmp_path / str(k)))
+        b = api.FeatureAggregator.load(spark, str(tmp_path / str(k)))
+        assert (a.kind, a.alpha, a.heads, a.d_k, a.window) == (b.kind, b.alpha, b.heads, b.d_k, b.window)
+        assert (a.weights is None) == (b.weights is None)
+    assert as_dict(b.weights, "feat", "p") == {"a": 0.75, "b": 0.25}
+
+
+def test_measures(spark):
+    answers = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.1), (1, 3, 0.1), (1, 4, 0.3), (2, 5, 0.5), (2, 6, 0.6)], "query long, id long, distance double")
+    truth = spark.createDataFrame([(1, 3), (1, 4), (2, 6), (3, 1)], "query long, id long")
+    assert evaluation.recall_at_k(answers, truth, 2).first().recall == pytest.approx(2 / 4)
+    assert as_dict(evaluation.hit_rates(answers, truth, (1, 2)), "k", "hit_rate") == pytest.approx({1: 0, 2: 2 / 3})
+    grams = spark.createDataFrame([("a b c",), ("x",), (None,)], "t string").select(evaluation.ngrams(F.col("t")).alias("g")).collect()
+    assert [x.gram for x in grams[0].g] == ["a", "b", "c", "a b", "b c", "a b c"] and [x.gram for x in grams[1].g] == ["x"] and grams[2].g is None
+    v = spark.createDataFrame([("a b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("z", [9.0, 9.0])], "name string, vector array<double>")
+    assert evaluation.answer("a b c", v) == [0.5, 0.5] and evaluation.answer("q", v) is None
+
+
+def test_attention_weights(spark):
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(4, 2 * 2 * 3 + 2))
+    bags = spark.createDataFrame([(1, ["a", "b", "c", "d"], vecs.tolist())], "node long, feats array<string>, vecs array<array<double>>")
+    for window in (None, 1):
+        got = {(r.head, r.feat, r.other): r.weight for r in evaluation.attention_weights(bags, 2, 3, window).collect()}
+        for h in range(2):
+            want = training.attention(vecs[:, 3 * h : 3 * h + 3], vecs[:, 6 + 3 * h : 9 + 3 * h], np.eye(4), window)
+            assert [[got[h, a, b] for b in "abcd"] for a in "abcd"] == pytest.approx(want)
