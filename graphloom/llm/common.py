@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Iterable
 
@@ -65,6 +68,14 @@ def chunks(texts: pa.Array, most: int = 4 << 20) -> Iterable[pa.Array]:
             yield texts.slice(a, b - a)
 
 
+def trim() -> None:
+    """Give back memory that a finished task no longer needs: Python workers live on, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc keeps, and trims, what was freed
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _SQUASH = re.compile(rb"[A-Za-z]")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, mix64
+from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, mix64, trim
 
 #: Least lengths of the classes into which patterns shorter than the window go, so that one short item
 #: doesn't spoil the skips of the others.
@@ -165,42 +165,41 @@ def covered(found: list[tuple[int, int, list[int]]]) -> list[list[int]]:
 
 
 SEARCHED = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+_LONG, _TEXT = T.LongType(), T.StringType()
+VERDICT = [("n_words", _LONG), ("n_hit", _LONG), ("n_items", _LONG), ("items_sha256", _TEXT), ("contaminated", T.BooleanType()), ("spans", T.ArrayType(T.ArrayType(_LONG))), ("items", T.ArrayType(_TEXT))]
+JUDGED = pa.struct([SEARCHED[0], pa.field("n_hit", pa.int64()), pa.field("n_items", pa.int64()), pa.field("items_sha256", pa.string()), pa.field("contaminated", pa.bool_()), SEARCHED[1], SEARCHED[2]])
 
 
-def searcher(tables) -> Callable:
-    """An Arrow function from texts to (number of words, hit stretches, item ids found)."""
+def verdict(n_words: int, spans: list[list[int]], items: list[str], ratio: int) -> dict:
+    """From the number of words, merged hit stretches and the sorted ids of the items found."""
+    hit = sum(b - a for a, b in spans)
+    sha = hashlib.sha256(",".join(items).encode()).hexdigest()
+    return {"n_words": n_words, "n_hit": hit, "n_items": len(items), "items_sha256": sha, "contaminated": hit > 0 and ratio * hit >= n_words, "spans": spans, "items": items}
 
-    @F.arrow_udf("struct<n_words:bigint,spans:array<array<bigint>>,items:array<string>>")
-    def search(texts: pa.Array) -> pa.Array:
-        ids, table = tables.value
-        rows = []
-        for part in chunks(texts, 1 << 20):
-            for n, found in zip(*table.search(as_bytes(part)), strict=True):
-                rows.append({"n_words": int(n), "spans": covered(found), "items": sorted({ids[i] for x in found for i in x[2]})})
-        return pa.array(rows, SEARCHED)
 
-    return search
+def searcher(tables, ratio: int | None = None) -> Callable:
+    """An Arrow function from texts to (number of words, hit stretches, item ids found), or with ``ratio`` to the verdict on that."""
 
+    @F.arrow_udf("struct<n_words:bigint,spans:array<array<bigint>>,items:array<string>>" if ratio is None else T.StructType([T.StructField(*x) for x in VERDICT]))
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids, table = tables.value
+        for texts in batches:
+            rows = []
+            for part in chunks(texts, 1 << 20):
+                for n, found in zip(*table.search(as_bytes(part)), strict=True):
+                    spans, items = covered(found), sorted({ids[i] for x in found for i in x[2]})
+                    rows.append({"n_words": int(n), "spans": spans, "items": items} if ratio is None else verdict(int(n), spans, items, ratio))
+            yield pa.array(rows, SEARCHED if ratio is None else JUDGED)
+        trim()
 
-_LONG, _TEXT = T.LongType(), T.StringType()
-VERDICT = [("n_words", _LONG), ("n_hit", _LONG), ("n_items", _LONG), ("items_sha256", _TEXT), ("contaminated", T.BooleanType()), ("spans", T.ArrayType(T.ArrayType(_LONG))), ("items", T.ArrayType(_TEXT))]
+    return search
 
 
 @F.arrow_udf(T.StructType([T.StructField(*x) for x in VERDICT]))
 def judged(found: pa.Array, ratio: pa.Array) -> pa.Array:
     """The verdict from (number of words, hit stretches of any block, item ids)."""
-    rows = []
-    for x, r in zip(found.to_pylist(), ratio.to_pylist(), strict=True):
-        spans = covered([(a, b - a, []) for a, b in x["spans"] or []])
-        items = sorted(set(x["items"] or []))
-        hit = sum(b - a for a, b in spans)
-        rows.append(
-            {
-                "n_words": x["n_words"], "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(),
-                "contaminated": hit > 0 and r * hit >= x["n_words"], "spans": spans, "items": items,
-            }
-        )
-    return pa.array(rows, pa.struct([*SEARCHED][:1] + [pa.field("n_hit", pa.int64()), pa.field("n_items", pa.int64()), pa.field("items_sha256", pa.string()), pa.field("contaminated", pa.bool_()), *[*SEARCHED][1:]]))
+    rows = [verdict(x["n_words"], covered([(a, b - a, []) for a, b in x["spans"] or []]), sorted(set(x["items"] or [])), r) for x, r in zip(found.to_pylist(), ratio.to_pylist(), strict=True)]
+    return pa.array(rows, JUDGED)
 
 
 def decontaminate(
@@ -241,6 +240,8 @@ def decontaminate(
         ids = sorted({i for i, _ in items})
         number = {x: j for j, x in enumerate(ids)}
         table = WuManber([(number[i], t) for i, t in items], window)
+        if n_blocks == 1:
+            return docs.withColumn(name, searcher(spark.sparkContext.broadcast((ids, table)), ratio)(col(text_col)))
         found = searcher(spark.sparkContext.broadcast((ids, table)))(col(text_col))
         if k == 0:
             out = out.withColumn(raw, found)

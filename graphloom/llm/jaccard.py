@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Scratch, as_bytes, bits_at, chunks, col, free_shuffles, fresh, mix64
+from .common import KeyFilter, Scratch, as_bytes, bits_at, chunks, col, free_shuffles, fresh, mix64, trim
 from ..operators.components import components
 
 #: Words whose frequency makes the order of tokens, all others being rare; the least count within a block of words to be counted.
@@ -340,6 +340,7 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
                                     yield common()
                                     size = 0
             yield common()
+            trim()
 
         seen = scratch.cut(marked.mapInArrow(first, "doc_id long, digest string, n long, key binary, word long, count long"), "seen")
         rows = seen.where("n is not null").select("doc_id", "digest", "n", "key")
@@ -354,6 +355,7 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
                     for h, cut in words_in(as_bytes(part)):
                         sets = [(s, w) for s, w in shingles(h, cut, k, weights_of(h, *held_common.value)) if len(s)]
                         yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s, _ in sets], pa.binary()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array([prefix(s, w, num, den).tobytes() for s, w in sets], pa.binary())], ["key", "n", "prefix"])
+            trim()
 
         classes = scratch.cut(texts.mapInArrow(second, "key binary, n long, prefix binary").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
 
@@ -417,6 +419,7 @@ def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: i
                 sets = shingle_sets(as_bytes(part), k)
                 yield pa.RecordBatch.from_arrays([ids.slice(done, len(part)), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "k", "tokens"])
                 done += len(part)
+        trim()
 
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     total = sizes.where(F.col("total") <= cluster_tokens).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t

@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, has_letter, mix64, remainder
+from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, has_letter, mix64, remainder, trim
 
 #: Bound of the sample: documents learnt from; all their words and n-grams are kept.  The longest n-gram.
 SAMPLE_ROWS, LONGEST = 20_000, 5
@@ -213,6 +213,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
                     yield out()
         if counts:
             yield out()
+        trim()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,6 +222,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", mod: int = 4, held: int = 2, ro
                 at = np.flatnonzero(langs == lang)
                 for size, h, c in gram_counts([words[i] for i in at.tolist()], n[at]):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64)), pa.array(c)], ["lang", "size", "h", "n"])
+        trim()
 
     with Scratch(docs.sparkSession, "lang") as scratch:
         words = scratch.cut(own.select("lang", "t").mapInArrow(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), "words")
@@ -273,5 +275,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str =
                 langs += g
                 scores += s.tolist()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
+        del seen
+        trim()
 
     return docs.withColumn(fresh(docs.columns, name), lang(col(text_col).cast("string")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, mix64
+from .common import WORD_TABLE, Scratch, as_bytes, chunks, col, fresh, mix64, trim
 from .sampling import labelled
 
 BITS, DIM, GRAMS = 18, 8, (3, 4, 5, 6)
@@ -211,5 +211,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "to
         for texts in batches:
             parts = [held.value.score(as_bytes(x), known) for x in chunks(texts)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        known.clear()
+        trim()
 
     return docs.withColumn(fresh(docs.columns, name), toxic(col(text_col).cast("string")))
