@@ -41,3 +41,22 @@ def test_stages(spark, tmp_path):
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in mixed) == sorted(kept)
     assert abs(sum(r.taken for r in mixed) - 1.5 * sum(r["size"] for r in mixed)) <= 3
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, a column named like a stage's mark; and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, language string"
+    text = " ".join(f"the{i}ing" for i in range(40))
+    rows = [(1, text, "en", "a", 0, "x"), (1, text, "en", "a", 0, "x"), (None, text, "en", None, 0, None), (2, None, "en", "a", 0, "x"), (3, "", None, "b", None, None), (4, "the1ing " * 50_000, "en", "b", 0, "x"), (5, "z" * 20_000, "en", "b", 0, "x"), (6, "12 34", "de", "b", 0, "x")]
+    spark.createDataFrame([(1, 1, 0), (4, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (given, kept) in enumerate(((rows, [None, 1, 4, 5]), ([], []))):
+        docs = spark.createDataFrame(given, schema)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.schema(docs.schema).parquet(f"{tmp_path}/{k}-{name}")
+            assert docs.columns == columns, name
+        assert sorted((r.doc_id for r in docs.collect()), key=str) == sorted(kept, key=str)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(kept)
