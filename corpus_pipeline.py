@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``.  Models are fitted on the documents a stage is given and on ``labels``.
+``documents``.  Models are fitted on the documents a stage is given and on ``labels``.  Null ids, null texts,
+repeated rows, other columns and empty tables pass through, but for what a stage says it drops.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those that are null, empty or without a letter go."""
+    """Documents with a language: those that are null, empty or without a letter go, and all if no language is given to learn from."""
     ship(spark)
     found = language.identify(docs, language.fit(docs))
     mark = found.columns[-1]
@@ -25,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below one half."""
+    """Documents whose toxicity is below one half; without labels of both kinds all score the share of toxic labels."""
     ship(spark)
     found = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     mark = found.columns[-1]
@@ -33,13 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of their five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 of their five-word shingles; rows without an id or words stay."""
     ship(spark)
     return jaccard.keep_one(docs, 5, 80, 100)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no twentieth lies inside 13-word windows of benchmark items."""
+    """Documents of which no twentieth lies inside 13-word windows of benchmark items; those without words stay."""
     ship(spark)
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     mark = found.columns[-1]
