@@ -17,8 +17,8 @@ HASHES = 3
 
 
 def top_terms(terms: DataFrame, most: int, least: float) -> DataFrame:
-    """(node, feat, w): each node's largest weights, ties by feature, those above ``least``."""
-    w = Window.partitionBy("node").orderBy(F.desc("w"), "feat")
+    """(node, feat, w): each node's largest weights, ties (to 12 digits) by feature, those above ``least``."""
+    w = Window.partitionBy("node").orderBy(F.round("w", 12).desc(), "feat")
     return terms.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= most) & (F.col("w") > least)).select("node", "feat", "w")
 
 

@@ -408,9 +408,9 @@ def _reweigh(s: str) -> str:
 FROM (SELECT root, node, mass, d, avg(d) OVER r AS mu, stddev_pop(d) OVER r AS sd, count(d) OVER r AS c FROM (SELECT root, node, mass, {_ACT_DISTANCE} AS d FROM ({s}) x LEFT JOIN nv ON nv.id = node) y WINDOW r AS (PARTITION BY root)) z"""
 
 
-@query(f"WITH {ACT}, {_ACT_VECTORS}, m AS (SELECT src AS root, dst AS node, p AS mass FROM e WHERE src LIKE 't%') SELECT root, node, round(mass, 9) AS mass FROM ({_reweigh('SELECT * FROM m')})")
+@query(f"WITH {ACT}, {_ACT_VECTORS}, m AS (SELECT src AS root, dst AS node, p AS mass FROM e) SELECT root, node, round(mass, 9) AS mass FROM ({_reweigh('SELECT * FROM m')})")
 def w4_reweighted(spark, d):
-    m = activity(spark, d).where(F.col("src").startswith("t")).select(F.col("src").alias("root"), F.col("dst").alias("node"), F.col("p").alias("mass"))
+    m = activity(spark, d).select(F.col("src").alias("root"), F.col("dst").alias("node"), F.col("p").alias("mass"))
     return walks.reweighted(m, activity_vectors(spark, d), _CONTEXT, 0.5).withColumn("mass", F.round("mass", 9))
 
 
@@ -506,7 +506,7 @@ def e1_landmarks(spark, d):
 
 
 _UNIT = "SELECT node, feat, w / sqrt(sum(w * w) OVER (PARTITION BY node)) AS w FROM ({0}) u"
-_TOP = "SELECT node, feat, w FROM ({0}) t WHERE w > 1e-5 QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, feat) <= 8"
+_TOP = "SELECT node, feat, w FROM ({0}) t WHERE w > 1e-5 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(w, 12) DESC, feat) <= 8"
 
 
 def _click_step(s: str, k: int) -> str:
@@ -515,13 +515,13 @@ def _click_step(s: str, k: int) -> str:
     return f"SELECT node, feat, w FROM {s} WHERE NOT ({mine.replace('src', 'node')}) UNION ALL ({_TOP.format(_UNIT.format(got))})"
 
 
-_CLICK = f"{BOTH}, {FEAT}, f1 AS (SELECT DISTINCT node, feat FROM f WHERE pos = 0)"
+_CLICK = f"{BOTH}, {FEAT}, f1 AS (SELECT DISTINCT node, feat FROM f)"
 _CLICK_START = _TOP.format(_UNIT.format("SELECT node, feat, 1 / sqrt(count(*) OVER (PARTITION BY node)) AS w FROM f1"))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     e = purchases(spark, d)
-    return embedding.click_terms(e, part_features(spark, d).where("pos = 0"), graphs.nodes_of(e).where("id % 2 = 0"), 2, 8)
+    return embedding.click_terms(e, part_features(spark, d), graphs.nodes_of(e).where("id % 2 = 0"), 2, 8)
 
 
 @query(unrolled(_CLICK_START, _click_step, 2, "SELECT node, feat, round(w, 9) AS w FROM {s}", _CLICK))
