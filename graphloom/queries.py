@@ -365,31 +365,65 @@ def v6_feature_hash(spark, d):
 # Walks and ranks
 
 
-def _walk_sql(edges: str, start: str, steps: int, alpha: float | None, beta: float) -> str:
+_ROOTS = "SELECT DISTINCT src AS id FROM e"
+
+
+def _walk_sql(edges: str, start: str, steps: int, alpha: float | None, beta: float, last: str | None = None) -> str:
     def step(s: str, k: int) -> str:
         stay = 1.0 if k == steps - 1 else (alpha or 0.0)
         on = f"SELECT root, coalesce(dst, root) AS node, sum(mass * coalesce(p, 1.0)) AS m FROM (SELECT * FROM {s} WHERE mass > 0) x LEFT JOIN e ON e.src = x.node GROUP BY ALL"
         return f"SELECT root, node, sum(mass) AS mass, sum(done) AS done FROM (SELECT root, node, 0.0::DOUBLE AS mass, done FROM {s} UNION ALL SELECT root, node, m * (1 - {stay}::DOUBLE), m * {stay}::DOUBLE FROM ({on}) y) z GROUP BY ALL"
 
-    last = f"SELECT root, node AS id, round(done / pow((SELECT greatest(count(*), 1) FROM e WHERE src = node), {beta}), 9) AS score FROM {{s}} WHERE done > 0"
+    last = last or f"SELECT root, node AS id, round(done / pow((SELECT greatest(count(*), 1) FROM e WHERE src = node), {beta}), 9) AS score FROM {{s}} WHERE done > 0"
     return unrolled(f"SELECT id AS root, id AS node, 1.0::DOUBLE AS mass, 0.0::DOUBLE AS done FROM ({start})", step, steps, last, edges)
 
 
-@query(_walk_sql(BOTH, "SELECT c_custkey * 2 AS id FROM customer WHERE c_custkey IN (1, 2, 3)", 3, 0.3, 0.5))
+@query(_walk_sql(ACT, _ROOTS, 3, 0.3, 0.5))
 def w2_walk_expectation(spark, d):
-    """Ends of restarting walks from three customers, exactly."""
-    e = purchases(spark, d)
-    return walks.expected_walk(e, spark.createDataFrame([(2,), (4,), (6,)], "id long").join(graphs.nodes_of(e), "id", "left_semi"), 0.3, 0.5, 3).withColumn("score", F.round("score", 9))
+    """Ends of restarting walks from every node, exactly."""
+    e = activity(spark, d)
+    return walks.expected_walk(e, graphs.nodes_of(e), 0.3, 0.5, 3).withColumn("score", F.round("score", 9))
 
 
-@query()
+_LINES = """c AS MATERIALIZED (SELECT src, dst, coalesce(lag(cdf) OVER w, 0) AS lo, cdf AS hi, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY src) AS deg
+FROM (SELECT src, dst, CASE WHEN lead(dst) OVER v IS NULL THEN 1.0::DOUBLE ELSE sum(p) OVER (v ROWS UNBOUNDED PRECEDING) END AS cdf FROM e WINDOW v AS (PARTITION BY src ORDER BY dst)) x WINDOW w AS (PARTITION BY src ORDER BY dst))"""
+
+
+def _walk_step(weighted: bool = True, greedy: float | None = None) -> Callable[[str, int], str]:
+    """A step of all walks (root, home, walk, node, path) as ``walks.walks`` draws it, for a number of steps."""
+
+    def step(s: str, k: int) -> str:
+        draw = lambda i: chance.uniform_sql(chance.SEED + 3 * k + i, "root", "walk")
+        even = f"{draw(1)} < {greedy}" if greedy is not None else str(not weighted)
+        at = "c.src = y.node AND CASE WHEN y.even THEN c.i = floor(y.u * c.deg) ELSE y.u >= c.lo AND y.u < c.hi END"
+        return f"SELECT root, home, walk, coalesce(dst, home) AS node, list_append(path, coalesce(dst, home)) AS path FROM (SELECT *, {draw(0)} AS u, {even} AS even FROM {s}) y LEFT JOIN c ON {at}"
+
+    return step
+
+
+def _walks_sql(count: int, steps: int, last: str, weighted: bool = True) -> str:
+    return unrolled(f"SELECT id AS root, id AS home, walk, id AS node, [id] AS path FROM ({_ROOTS}), range({count}) AS t(walk)", _walk_step(weighted), steps, last, f"{ACT}, {_LINES}")
+
+
+_ENDS = "SELECT root, id, round(n / 50.0::DOUBLE / sqrt((SELECT count(*) FROM e WHERE src = id)), 9) AS score FROM (SELECT root, node AS id, count(*) AS n FROM {s} GROUP BY ALL) x"
+
+
+@query(_walks_sql(50, 3, _ENDS))
 def w2_walk_sampled(spark, d):
-    return walks.sampled_walk(activity(spark, d), spark.createDataFrame([("u1",), ("u2",)], "id string"), 200, 3, 0.5)
+    e = activity(spark, d)
+    return walks.sampled_walk(e, graphs.nodes_of(e), 50, 3, 0.5).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(_walks_sql(50, 3, _ENDS, False))
+def w1_walk_unweighted(spark, d):
+    e = activity(spark, d)
+    return walks.sampled_walk(e, graphs.nodes_of(e), 50, 3, 0.5, False).withColumn("score", F.round("score", 9))
+
+
+@query(_walks_sql(20, 4, "SELECT root, walk, array_to_string(path, ' ') AS path FROM {s}"))
 def w3_random_paths(spark, d):
-    return walks.paths(walks.walks(activity(spark, d), spark.createDataFrame([("u1",)], "id string"), 20, 4))
+    e = activity(spark, d)
+    return walks.paths(walks.walks(e, graphs.nodes_of(e), 20, 4)).withColumn("path", F.array_join("path", " "))
 
 
 _CONTEXT = [1.0, 0.0, 0.5, -0.5]
@@ -420,11 +454,10 @@ def _guided_step(s: str, _: int) -> str:
     return f"SELECT root, node, mass / sum(mass) OVER (PARTITION BY root) AS mass FROM ({_reweigh(back)}) w"
 
 
-@query(unrolled("SELECT id AS root, id AS node, 1.0::DOUBLE AS mass FROM nv WHERE id IN ('u1', 'u2')", _guided_step, 3, "SELECT root, node AS id, round(mass / sqrt((SELECT count(*) FROM e WHERE src = node)), 9) AS score FROM {s}", f"{ACT}, {_ACT_VECTORS}"))
+@query(unrolled("SELECT id AS root, id AS node, 1.0::DOUBLE AS mass FROM nv", _guided_step, 3, "SELECT root, node AS id, round(mass / sqrt((SELECT count(*) FROM e WHERE src = node)), 9) AS score FROM {s}", f"{ACT}, {_ACT_VECTORS}"))
 def w5_guided_walk(spark, d):
     e = activity(spark, d)
-    roots = spark.createDataFrame([("u1",), ("u2",)], "id string").join(graphs.nodes_of(e), "id", "left_semi")
-    return walks.guided_walk(e, roots, activity_vectors(spark, d), _CONTEXT, 0.2, 0.5, 0.5, 3).withColumn("score", F.round("score", 9))
+    return walks.guided_walk(e, graphs.nodes_of(e), activity_vectors(spark, d), _CONTEXT, 0.2, 0.5, 0.5, 3).withColumn("score", F.round("score", 9))
 
 
 def _push_step(s: str, _: int) -> str:
@@ -433,11 +466,10 @@ SELECT root, node, CASE WHEN r > 1e-3 * n THEN pi + 0.2 * r ELSE pi END AS pi, C
 UNION ALL SELECT root, dst, 0.0::DOUBLE, p * 0.8 * r / 2 FROM {s} JOIN dg ON id = node JOIN e ON src = node WHERE r > 1e-3 * n) x GROUP BY ALL"""
 
 
-@query(unrolled("SELECT id AS root, id AS node, 0.0::DOUBLE AS pi, 1.0::DOUBLE AS r FROM dg WHERE id IN ('u1', 'u2')", _push_step, 4, "SELECT root, node AS id, round(pi, 9) AS score FROM {s} WHERE pi > 0", f"{ACT}, dg AS (SELECT src AS id, count(*)::DOUBLE AS n FROM e GROUP BY src)"))
+@query(unrolled("SELECT id AS root, id AS node, 0.0::DOUBLE AS pi, 1.0::DOUBLE AS r FROM dg", _push_step, 4, "SELECT root, node AS id, round(pi, 9) AS score FROM {s} WHERE pi > 0", f"{ACT}, dg AS (SELECT src AS id, count(*)::DOUBLE AS n FROM e GROUP BY src)"))
 def w6_sparse_ppr(spark, d):
     e = activity(spark, d)
-    roots = spark.createDataFrame([("u1",), ("u2",)], "id string").join(graphs.nodes_of(e), "id", "left_semi")
-    return walks.sparse_ppr(e, roots, 0.2, 1e-3, 4).withColumn("score", F.round("score", 9))
+    return walks.sparse_ppr(e, graphs.nodes_of(e), 0.2, 1e-3, 4).withColumn("score", F.round("score", 9))
 
 
 def _rank_sql(edges: str, before: str, steps: int, damping: float, last: str) -> str:
@@ -488,12 +520,22 @@ def c2_label_propagation(spark, d):
     return clustering.label_propagation(activity(spark, d), 1, 3)
 
 
-@query()
+_TIES = """k0 AS (SELECT c_custkey * 4 AS src, c_nationkey::BIGINT * 4 + 2 AS dst FROM customer UNION ALL SELECT s_suppkey * 4 + 1, s_nationkey::BIGINT * 4 + 2 FROM supplier UNION ALL SELECT n_nationkey::BIGINT * 4 + 2, n_regionkey::BIGINT * 4 + 3 FROM nation),
+h AS MATERIALIZED (SELECT src, dst FROM k0 UNION SELECT dst, src FROM k0)"""
+
+
+def _speak_step(s: str, k: int) -> str:
+    said = f"SELECT src AS id, memory[1 + floor({chance.uniform_sql(chance.SEED + k, 'src', 'dst')} * len(memory))::BIGINT] AS label FROM h JOIN {s} ON id = dst"
+    heard = f"SELECT id, label FROM (SELECT id, label, count(*) AS n FROM ({said}) a GROUP BY ALL) b QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, {chance.uniform_sql(chance.SEED + 7_919 * (k + 1), 'id', 'label')} DESC, label DESC) = 1"
+    return f"SELECT id, list_append(memory, label) AS memory FROM {s} JOIN ({heard}) c USING (id)"
+
+
+@query(unrolled("SELECT DISTINCT src AS id, [src] AS memory FROM h", _speak_step, 7, "SELECT id, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT label FROM (SELECT unnest(memory) AS label) a GROUP BY label HAVING count(*) >= 2) b), '') AS labels FROM {s}", _TIES))
 def c3_speaker_listener(spark, d):
     """Over customers, suppliers, nations and regions: ids are 4 * key + 0, 1, 2 and 3."""
     tie = lambda t, a, x, b, y: read(spark, d, t).select((F.col(a).cast("bigint") * 4 + x).alias("src"), (F.col(b).cast("bigint") * 4 + y).alias("dst"), F.lit(1.0).alias("weight"))
     e = tie("customer", "c_custkey", 0, "c_nationkey", 2).unionByName(tie("supplier", "s_suppkey", 1, "s_nationkey", 2)).unionByName(tie("nation", "n_nationkey", 2, "n_regionkey", 3))
-    return clustering.speaker_listener(graphs.normalized(graphs.undirected(e)), 8, 2)
+    return clustering.speaker_listener(graphs.normalized(graphs.undirected(e)), 8, 2).withColumn("labels", F.array_join(F.col("labels").cast("array<string>"), ","))
 
 
 # Embeddings
@@ -537,24 +579,31 @@ def e4_click_vectors(spark, d):
     return flat(embedding.hashed_vectors(_terms(spark, d), "node", "feat", "w", 16), "node").where("x <> 0")
 
 
-_ROOTS = "SELECT DISTINCT src AS id FROM e"
 _IHASH = chance.hashed_sql("id", "k", 16)
 
 
-@query(_walk_sql(ACT, _ROOTS, 2, None, 0.0).replace("SELECT root, node AS id, round(done / pow((SELECT greatest(count(*), 1) FROM e WHERE src = node), 0.0), 9) AS score FROM s2 WHERE done > 0", f"SELECT root, CAST(pos AS INTEGER) AS pos, round(x, 9) + 0.0 AS x FROM (SELECT root, {_IHASH[0]} AS pos, sum({_IHASH[1]} * greatest(0, ln(done * (SELECT count(DISTINCT src) FROM e)))) AS x FROM (SELECT root, node AS id, done FROM s2 WHERE done > 0) h, unnest(range(3)) AS t(k) GROUP BY ALL) WHERE round(x, 9) <> 0"))
+def _hash_sums(key: str, sums: str) -> str:
+    """(key, pos, x): the sums of hashed weights that are not 0."""
+    return f"SELECT {key}, CAST(pos AS INTEGER) AS pos, round(x, 9) + 0.0 AS x FROM ({sums}) WHERE round(x, 9) <> 0"
+
+
+@query(_walk_sql(ACT, _ROOTS, 2, None, 0.0, _hash_sums("root", f"SELECT root, {_IHASH[0]} AS pos, sum({_IHASH[1]} * greatest(0, ln(done * (SELECT count(DISTINCT src) FROM e)))) AS x FROM (SELECT root, node AS id, done FROM {{s}} WHERE done > 0) h, unnest(range(3)) AS t(k) GROUP BY ALL")))
 def e5_instant_embeddings(spark, d):
     e = activity(spark, d)
     nodes = graphs.nodes_of(e)
     return flat(embedding.rank_vectors(walks.expected_walk(e, nodes, 2, 0.0), nodes.count(), 16), "root").where("x <> 0")
 
 
-@query()
+_SEGMENTS = f"SELECT root, {_HASH[0]} AS pos, sum({_HASH[1]} * greatest(0, ln(score * (SELECT count(DISTINCT src) FROM e)))) AS x FROM (SELECT root, c_mktsegment AS feat, sum(done) AS score FROM {{s}} JOIN customer ON node = 'c' || c_custkey WHERE done > 0 GROUP BY ALL HAVING sum(done) > 1e-5) h, unnest(range(3)) AS t(k) GROUP BY ALL"
+
+
+@query(_walk_sql(GEO, _ROOTS, 2, 0.5, 0.0, _hash_sums("root", _SEGMENTS)))
 def e6_feature_ppr(spark, d):
     """Of every node, from the market segments of the customers that a walk of one or two steps reaches."""
     e = geography(spark, d)
     nodes = graphs.nodes_of(e)
     segments = read(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.lit(0).alias("pos"), F.col("c_mktsegment").alias("feat"))
-    return flat(embedding.feature_rank_vectors(walks.expected_walk(e, nodes, 0.5, 0.0, 2), segments, nodes.count(), 16), "root")
+    return flat(embedding.feature_rank_vectors(walks.expected_walk(e, nodes, 0.5, 0.0, 2), segments, nodes.count(), 16), "root").where("x <> 0")
 
 
 @query(f"WITH {ACT}, {_ACT_VECTORS}, s AS (SELECT src AS id, i, sum(p * vector[i]) AS x, count(*) AS n FROM e JOIN nv ON nv.id = dst, unnest(range(1, 5)) AS t(i) GROUP BY ALL) SELECT id, CAST(i - 1 AS INTEGER) AS pos, round((1 - a) * x + a * vector[i], 9) + 0.0 AS x FROM (SELECT s.id AS id, i, x, vector, least(1, 1 / ln(n + 1.0::DOUBLE)) AS a FROM s JOIN nv USING (id))")
@@ -635,10 +684,18 @@ def r2_policy_improvement(spark, d):
     return policy.improve(e, policy.evaluate(e, part_rewards(spark, d), 0.9, 3), 0.5).withColumn("p", F.round("p", 9))
 
 
-@query()
+_SMCI = """SELECT src, dst, round(0.5 * p + 0.5 * exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY src), 9) AS p FROM (SELECT *, max(x) OVER (PARTITION BY src) AS m FROM (
+SELECT e.src, e.dst, e.p, coalesce(b.value, 0) - coalesce(a.value, 0) AS x FROM e LEFT JOIN vals a ON a.id = e.src LEFT JOIN vals b ON b.id = e.dst) y) z"""
+_SMCI_VALUES = """vals AS MATERIALIZED (SELECT id, sum(g) / (count(*) + 1) AS value FROM (SELECT x.id AS id, CASE WHEN node = aim THEN reward ELSE 0 END * pow(0.9::DOUBLE, 4 - seen) AS g
+FROM (SELECT root, walk, path[i] AS id, min(i - 1) AS seen FROM s4, unnest(range(1, 6)) AS t(i) GROUP BY ALL) x JOIN s4 USING (root, walk) JOIN aims USING (root)) v GROUP BY id)"""
+
+
+@query(unrolled("SELECT root, home, walk, home AS node, [home] AS path FROM aims, range(20) AS t(walk)", _walk_step(greedy=0.2), 4, ", " + _SMCI_VALUES + " " + _SMCI, f"{ACT}, {_LINES}, aims AS MATERIALIZED (SELECT src || ':' || dst || ':' || weight || ':1' AS root, src AS home, dst AS aim, weight AS reward FROM a0)"))
 def r3_sampled_improvement(spark, d):
-    rewards = spark.createDataFrame([("u1", "u2", 2.0), ("u3", "u4", 1.0)], "src string, dst string, reward double")
-    return policy.smci(activity(spark, d), rewards, 1, 50, 0.5, 0.9, explore=0.2, restart=4)
+    """A walk from a user that ends at an event type earns what the user has of it."""
+    e = activity(spark, d)
+    rewards = e.where(F.col("src").startswith("u")).select("src", "dst", F.col("weight").alias("reward"))
+    return policy.smci(e, rewards, 1, 20, 0.5, 0.9, explore=0.2, restart=4).withColumn("p", F.round("p", 9))
 
 
 # Training
