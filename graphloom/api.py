@@ -450,9 +450,14 @@ class EmbeddingPropagator:
     noise: float = 0.0
     valid_pct: float = 0.1
     seed: int = SEED
-
-    def learn_features(self, graph: Graph, fs: FeatureSet, feature_embeddings: DataFrame | None = None) -> DataFrame:
-        return training.propagate_embeddings(graph.edges, fs.filled().rows, self.dims, self.passes, self.alpha, self.loss, self.batch_size, self.max_neighbours, self.weighting, self.noise, self.valid_pct, feature_embeddings, self.seed)[0]
+    hard_negs: int = 0
+    attention: training.Attention | None = None
+    updates: int = 1
+
+    def learn_features(self, graph: Graph, fs: FeatureSet, feature_embeddings: DataFrame | None = None, watch=None) -> DataFrame:
+        """(feat, vector); ``watch`` is called after each pass with its number, its loss and the loss of the nodes held out."""
+        how = (self.dims, self.passes, self.alpha, self.loss, self.batch_size, self.max_neighbours, self.weighting, self.noise, self.valid_pct, feature_embeddings, self.seed, self.attention or training.Averaged(), self.hard_negs, self.updates)
+        return training.propagate_embeddings(graph.edges, fs.filled().rows, *how, watch)[0]
 
 
 @dataclass(frozen=True)

@@ -7,37 +7,43 @@ no task holds all features.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
-from math import cos, pi
+from math import cos, exp, log, pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import SEED, uniform
 from ..plans.loops import iterate
 from .embedding import random_vectors
 from .graphs import degrees
+from .walks import walk_ends
 
 
 @dataclass(frozen=True)
 class Loss:
-    """margin, contrastive, starspace, rank or rankspace, with its margins, temperature and number of negatives; ppr is not built."""
+    """margin, contrastive, starspace, rank, rankspace or ppr, with its margins, temperature and number of negatives.
+
+    ppr is the margin loss with positives from walks that end with chance ``restart`` a step, in place of neighbours.
+    """
 
     kind: str = "margin"
     gamma: float = 1.0
     other: float = 0.0
     negatives: int = 1
+    restart: float = 0.25
 
     def __post_init__(self) -> None:
-        if self.kind not in ("margin", "contrastive", "starspace", "rank", "rankspace"):
+        if self.kind not in ("margin", "contrastive", "starspace", "rank", "rankspace", "ppr"):
             raise ValueError(f"no loss {self.kind!r}")
 
     def value_and_gradients(self, t: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Of the reconstruction ``t``, the node's own ``h`` and negatives ``u``: (loss, d/dt, d/dh, d/du)."""
         gt, gh, gu = np.zeros_like(t), np.zeros_like(h), np.zeros_like(u)
-        if self.kind == "margin":
+        if self.kind in ("margin", "ppr"):
             dp, a = euclid(t, h)
             total, on = 0.0, 0
             for i in range(len(u)):
@@ -109,31 +115,116 @@ def cosine(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]
     return c, b / (na * nb) - c * a / na**2, a / (na * nb) - c * b / nb**2
 
 
-def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, window: int | None = None) -> np.ndarray:
-    """Weights of rows over columns: softmax of q k / sqrt(d), within ``window`` positions if given, times v."""
-    s = q @ k.T / np.sqrt(q.shape[1])
+def masked(n: int, window: int | None = None, chosen: int | None = None, rng: np.random.Generator | None = None) -> np.ndarray | None:
+    """Which features each of ``n`` looks at: those within ``window`` places, or ``chosen`` ones drawn for it; None is all."""
     if window is not None:
-        i = np.arange(len(q))
-        s = np.where(np.abs(i[:, None] - i[None, :]) <= window, s, -np.inf)
+        i = np.arange(n)
+        return np.abs(i[:, None] - i[None, :]) <= window
+    if chosen is not None and chosen < n:
+        order = np.argsort((rng or np.random.default_rng(SEED)).random((n, n)), axis=1)
+        return np.argsort(order, axis=1) < max(1, chosen)
+    return None
+
+
+def attention_shares(q: np.ndarray, k: np.ndarray, mask: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+    """Softmax of q k / sqrt(d) by row, of the places in ``mask`` only; products count ``times`` as often."""
+    s = q @ k.T / np.sqrt(q.shape[1])
+    if times is not None:
+        s = s * times
+    if mask is not None:
+        s = np.where(mask, s, -np.inf)
     e = np.exp(s - s.max(1, keepdims=True))
-    return (e / e.sum(1, keepdims=True)) @ v
+    return e / e.sum(1, keepdims=True)
+
+
+def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, window: int | None = None) -> np.ndarray:
+    """Weights of rows over columns: softmax of q k / sqrt(d), within ``window`` positions if given, times v."""
+    return attention_shares(q, k, masked(len(q), window)) @ v
+
+
+@dataclass(frozen=True)
+class Attention:
+    """How a node's vector comes of its features' [Q1..Qh, K1..Kh, V1..Vh]: heads, width of Q and K, and what a feature looks at."""
+
+    heads: int = 1
+    d_k: int = 1
+    window: int | None = None
+    chosen: int | None = None
+
+    def width(self, dims: int) -> int:
+        return self.heads * (2 * self.d_k + dims)
+
+    def build(self, vectors: np.ndarray, names: list | None = None, rng: np.random.Generator | None = None) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        """(a node's vector, the gradient by each row of ``vectors`` given that by the vector).
+
+        Attention of each head, rows averaged, heads averaged; one feature alone gives its first head's value.  With all
+        features in sight, a product of two that occur a and b times in the bag counts a * b times.
+        """
+        n, h, w = len(vectors), self.heads, self.d_k
+        d = vectors.shape[1] // h - 2 * w
+        at = lambda head, part: slice(head * w + part * h * w, (head + 1) * w + part * h * w) if part < 2 else slice(2 * h * w + head * d, 2 * h * w + (head + 1) * d)
+        if n == 1:
+
+            def alone(g: np.ndarray) -> np.ndarray:
+                out = np.zeros_like(vectors)
+                out[0, at(0, 2)] = g
+                return out
+
+            return vectors[0, at(0, 2)].copy(), alone
+        mask = masked(n, self.window, self.chosen, rng)
+        times = None
+        if names is not None and self.window is None and self.chosen is None and len(set(names)) < n:
+            c = np.array([names.count(x) for x in names], float)
+            times = np.outer(c, c)
+        heads = [[vectors[:, at(i, part)] for part in range(3)] for i in range(h)]
+        shares = [attention_shares(q, k, mask, times) for q, k, _ in heads]
+
+        def back(g: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(vectors)
+            each = np.tile(g / (n * h), (n, 1))
+            for i, ((q, k, v), a) in enumerate(zip(heads, shares, strict=True)):
+                by_share = each @ v.T
+                by_score = a * (by_share - (a * by_share).sum(1, keepdims=True)) / np.sqrt(w)
+                if times is not None:
+                    by_score = by_score * times
+                out[:, at(i, 0)] += by_score @ k
+                out[:, at(i, 1)] += by_score.T @ q
+                out[:, at(i, 2)] += a.T @ each
+            return out
+
+        return np.mean([(a @ v).sum(0) / n for a, (_, _, v) in zip(shares, heads, strict=True)], axis=0), back
+
+    def around(self, bags: list[tuple[list, np.ndarray]], rng: np.random.Generator | None = None) -> tuple[np.ndarray, Callable[[np.ndarray], list[np.ndarray]]]:
+        """Of several nodes: the average of their vectors."""
+        built = [self.build(v, names, rng) for names, v in bags]
+        return np.mean([x for x, _ in built], axis=0), lambda g: [back(g / len(built)) for _, back in built]
+
+
+@dataclass(frozen=True)
+class Averaged:
+    """A node's vector is the mean of its features' ones; several nodes' is the mean over all of their features."""
+
+    def width(self, dims: int) -> int:
+        return dims
+
+    def build(self, vectors: np.ndarray, names: list | None = None, rng: np.random.Generator | None = None) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        return vectors.mean(0), lambda g: np.tile(g / len(vectors), (len(vectors), 1))
+
+    def around(self, bags: list[tuple[list, np.ndarray]], rng: np.random.Generator | None = None) -> tuple[np.ndarray, Callable[[np.ndarray], list[np.ndarray]]]:
+        n = sum(len(v) for _, v in bags)
+        return np.concatenate([v for _, v in bags]).mean(0), lambda g: [np.tile(g / n, (len(v), 1)) for _, v in bags]
 
 
 def attended(vectors: np.ndarray, heads: int, d_k: int, window: int | None = None) -> np.ndarray:
     """A node's vector from its features' [Q1..Qh, K1..Kh, V1..Vh]: attention of each head, heads averaged, rows averaged."""
-    n = len(vectors)
-    d = vectors.shape[1] // heads - 2 * d_k
-    q, k, v = np.split(vectors, [heads * d_k, 2 * heads * d_k], axis=1)
-    if n == 1:
-        return v[0, :d]
-    part = lambda x, h, w: x[:, h * w : (h + 1) * w]
-    return np.mean([attention(part(q, h, d_k), part(k, h, d_k), part(v, h, d), window).sum(0) / n for h in range(heads)], axis=0)
+    return Attention(heads, d_k, window).build(vectors)[0]
 
 
-def cosine_rate(step: int, steps: int, rate: float, low: float = 0.0, warm: float = 0.2) -> float:
-    """A linear rise over the share ``warm`` of the steps, then half a cosine down to ``low``."""
-    up = max(1, int(warm * steps))
-    return rate * (step + 1) / up if step < up else low + (rate - low) * 0.5 * (1 + cos(pi * (step - up) / max(1, steps - up)))
+def cosine_rate(step: int, steps: int, rate: float, low: float | None = None, warm: float = 0.2) -> float:
+    """A linear rise from ``low`` (default: a hundredth) over the share ``warm`` of the steps, then along half a cosine of all steps."""
+    low, t, up = rate / 100 if low is None else low, step + 1, int(warm * steps)
+    share = t / up if t <= up else 0.5 * (1 + cos(pi * t / max(1, steps)))
+    return low + (rate - low) * share
 
 
 def exponential_rate(step: int, rate: float, decay: float, low: float = 0.0) -> float:
@@ -168,81 +259,117 @@ def bags(features: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def propagate_embeddings(
     edges: DataFrame, features: DataFrame, dims: int = 100, passes: int = 100, alpha: float = 0.1, loss: Loss = Loss(), batch: int = 50, max_neighbours: int = 10, weighting: tuple[str, float] | None = None,
-    noise: float = 0.0, valid: float = 0.1, vectors: DataFrame | None = None, seed: int = SEED,
+    noise: float = 0.0, valid: float = 0.1, vectors: DataFrame | None = None, seed: int = SEED, model: Averaged | Attention = Averaged(), hard: int = 0, updates: int = 1,
+    watch: Callable[[int, float, float | None], None] | None = None,
 ) -> tuple[DataFrame, list[float]]:
-    """(feature vectors (feat, vector), training loss of each pass) by embedding propagation.
+    """(feature vectors (feat, vector), training loss of each step) by embedding propagation.
 
-    A node's own vector h is the mean of its features' vectors; ~h is the mean of its neighbours' ones; the
-    loss compares them with those of negative nodes, drawn by hash from other nodes.  Losses and gradients that
-    are not finite are dropped.  ``weighting``: ("log", _) over ln(1 + degree) or ("exponential", w) over degree ** w.
+    A node's own vector h is built of its features' vectors by ``model``; ~h is built of its neighbours (``max_neighbours``
+    by hash), or for the loss ppr of the ends of walks; the loss compares them with those of negative nodes: ``hard`` of
+    them from the ends of its walks that are no neighbours, the others drawn by hash from the nodes of its task, which
+    are dealt anew each pass.  Losses and gradients that are not finite are dropped.
+    ``weighting``: ("log", _) over ln(1 + degree) or ("exponential", w) over degree ** w.  ``noise`` falls to 1e-9 at the end.
     ``vectors`` to start from are used as they are; features without one begin at pseudo-random unit vectors.
+    A pass over the nodes is ``updates`` steps, each with a share of them, one state and one Adam step.
+    A share ``valid`` of the nodes is never learnt from; ``watch`` is told the pass, its loss and the loss of these (None without any).
+    Walks are drawn once, eight for each hard negative or positive that is asked for, and each pass takes some of them.
     """
     spark = edges.sparkSession
     feats = features.select(F.col("feat").alias("id")).distinct()
-    begin = random_vectors(feats, dims, seed).withColumnRenamed("id", "feat")
+    width = model.width(dims)
+    begin = random_vectors(feats, width, seed).withColumnRenamed("id", "feat")
     if vectors is not None:
         begin = begin.join(vectors.select("feat", F.col("vector").alias("_w")), "feat", "left").select("feat", F.coalesce("_w", "vector").alias("vector"))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    n_nodes = features.select("node").distinct().count()
-    parts = max(1, n_nodes // max(1, batch * 32))
-    near = edges.withColumn("_u", uniform(seed, "src", "dst")).groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("_u", "dst"))), 1, max_neighbours).alias("near"))
-    near = near.select(F.col("src").alias("node"), F.transform("near", lambda e: e["dst"]).alias("near"))
+    zero = F.array_repeat(F.lit(0.0), width)
+    nodes = features.select("node").distinct()
+    parts = max(1, nodes.count() // max(1, batch * 32))
     deg = degrees(edges).withColumnRenamed("id", "node")
+    roots = nodes.select(F.col("node").alias("id")).join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    by_chance = lambda rows, most, s, *keys: rows.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(uniform(s, *keys), *keys))).where(F.col("_r") <= most).select("node", "_n")
+    steps = passes * updates
+    decay = exp((log(1e-9) - log(noise)) / max(1, steps)) if noise > 0 else 1.0
     losses: list[float] = []
+    if spark.sparkContext.getCheckpointDir() is None:
+        from ..session import shared_dir
+
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    far = met = None
+    if hard:
+        held = nodes.where(uniform(seed, "node") < valid)
+        ends = walk_ends(edges, roots, 8 * hard, 0.25, 10, seed + 1).where("node <> root").select(F.col("root").alias("node"), F.col("node").alias("_n")).distinct()
+        far = ends.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("_n")), ["node", "_n"], "left_anti").join(held.withColumnRenamed("node", "_n"), "_n", "left_anti").checkpoint()
+    if loss.kind == "ppr":
+        met = walk_ends(edges, roots, 8 * loss.negatives, loss.restart, 10, seed + 2).select(F.col("root").alias("node"), "walk", F.when(F.col("node") == F.col("root"), F.col("first")).otherwise(F.col("node")).alias("_n")).checkpoint()
+    near = by_chance(edges.select(F.col("src").alias("node"), F.col("dst").alias("_n")), max_neighbours, seed, "node", "_n")
 
     def step(now: DataFrame, k: int) -> DataFrame:
-        rate = cosine_rate(k, passes, alpha)
-        owned = bags(features, now).join(near, "node").join(deg, "node").where(uniform(seed, "node") >= valid)
-        owned = owned.withColumn("part", F.floor(uniform(seed + 17 * k, "node") * parts).cast("int"))
-        others = bags(features, now).select(F.col("node").alias("_n"), F.col("feats").alias("_f"), F.col("vecs").alias("_v"))
-        asked = owned.select("part", F.explode("near").alias("_n"), F.col("node").alias("of"))
-        around = asked.join(others, "_n").select("part", F.col("of").alias("node"), F.lit(1).alias("role"), F.col("_f").alias("feats"), F.col("_v").alias("vecs"), F.lit(0).cast("long").alias("degree"))
-        selves = owned.select("part", "node", F.lit(0).alias("role"), "feats", "vecs", F.col("degree").cast("long"))
+        turn, part_of = divmod(k, updates)
+        rate = cosine_rate(k, steps, alpha)
+        spread = exponential_rate(k, noise, decay)
+        every = bags(features, now)
+        owned = every.join(roots.withColumnRenamed("id", "node"), "node", "left_semi").join(deg, "node").withColumn("held", uniform(seed, "node") < valid)
+        if updates > 1:
+            owned = owned.where("held" if part_of == updates - 1 else "false").unionByName(owned.where(~F.col("held") & (F.floor(uniform(seed + 31 * turn, "node") * updates) == part_of)))
+        owned = owned.withColumn("part", F.floor(uniform(seed + 17 * turn + 1, "node") * parts).cast("int"))
+        others = every.select(F.col("node").alias("_n"), F.col("feats").alias("_f"), F.col("vecs").alias("_v"))
+        asked = (near if met is None else by_chance(met, loss.negatives, seed + 13 * turn, "node", "walk")).withColumn("role", F.lit(1))
+        if far is not None:
+            asked = asked.unionByName(by_chance(far, min(hard, loss.negatives), seed + 11 * turn, "node", "_n").withColumn("role", F.lit(2)))
+        shown = owned.select("part", "held", "node").join(asked, "node").join(others, "_n")
+        shown = shown.select("part", "held", "node", "role", F.col("_n").cast("string").alias("other"), F.col("_f").alias("feats"), F.col("_v").alias("vecs"), F.lit(0).cast("long").alias("degree"))
+        selves = owned.select("part", "held", "node", F.lit(0).alias("role"), F.lit("").alias("other"), "feats", "vecs", F.col("degree").cast("long"))
 
         def gradients(key, rows: pd.DataFrame) -> pd.DataFrame:
-            rng = np.random.default_rng([seed, k, int(key[0])])
-            rows = rows.sort_values(["node", "role"])
-            own = rows[rows.role == 0].set_index("node")
-            bag = {n: (list(f), np.array(list(map(list, v)), float)) for n, f, v in zip(own.index, own.feats, own.vecs, strict=True)}
+            learn = not key[1]
+            rng = np.random.default_rng([seed, k, int(key[0]), int(learn)])
+            rows = rows.sort_values(["node", "role", "other"])
+            bag_of = lambda f, v: (list(f), np.array(list(map(list, v)), float))
+            own = rows[rows.role == 0]
+            degree = dict(zip(own.node, own.degree, strict=True))
+            bag = {n: bag_of(f, v) for n, f, v in zip(own.node, own.feats, own.vecs, strict=True)}
             names, sums, total, count = list(bag), {}, 0.0, 0
 
-            def add(feats, g) -> None:
-                for f in feats:
-                    sums[f] = sums[f] + g / len(feats) if f in sums else g / len(feats)
+            def add(feats: list, grads: np.ndarray) -> None:
+                for f, g in zip(feats, grads, strict=True):
+                    sums[f] = sums[f] + g if f in sums else g
 
-            for node, near_rows in rows[rows.role == 1].groupby("node"):
-                if node not in bag:
+            for node, given in rows[rows.role > 0].groupby("node"):
+                met_bags, hard_bags = ([bag_of(f, v) for f, v in zip(x.feats, x.vecs, strict=True)] for x in (given[given.role == 1], given[given.role == 2]))
+                if node not in bag or not met_bags:
                     continue
                 feats, vecs = bag[node]
-                around_f = [f for x in near_rows.feats for f in x]
-                around_v = np.array([list(v) for x in near_rows.vecs for v in x], float)
-                picks = [names[i] for i in rng.integers(0, len(names), 4 * loss.negatives) if names[i] != node][: loss.negatives]
-                u = np.array([bag[p][1].mean(0) for p in picks]).reshape(-1, dims)
-                value, gt, gh, gu = loss.value_and_gradients(around_v.mean(0), vecs.mean(0), u)
-                d = max(1.0, float(own.loc[node, "degree"]))
+                picks = [names[i] for i in rng.integers(0, len(names), 4 * loss.negatives) if names[i] != node]
+                against = (hard_bags + [bag[p] for p in picks])[: loss.negatives]
+                t, back_t = model.around(met_bags, rng)
+                h, back_h = model.build(vecs, feats, rng)
+                built = [model.build(v, f, rng) for f, v in against]
+                u = np.array([x for x, _ in built]).reshape(-1, dims)
+                value, gt, gh, gu = loss.value_and_gradients(t, h, u)
+                d = max(1.0, float(degree[node]))
                 scale = 1.0 if weighting is None else 1 / max(1e-9, np.log1p(d)) if weighting[0] == "log" else d ** -weighting[1]
                 if not np.isfinite(value):
                     continue
                 total, count = total + value * scale, count + 1
-                add(around_f, gt * scale)
-                add(feats, gh * scale)
-                for p, g in zip(picks, gu, strict=True):
-                    add(bag[p][0], g * scale)
-            if noise:
-                sums = {f: g + rng.normal(0, noise, dims) for f, g in sums.items()}
-            out = [(f, g.tolist(), None, None) for f, g in sums.items() if np.isfinite(g).all()] + [(None, None, float(total), int(count))]
-            return pd.DataFrame(out, columns=["feat", "g", "loss", "n"])
-
-        got = selves.unionByName(around).groupBy("part").applyInPandas(gradients, "feat string, g array<double>, loss double, n long").checkpoint()
-        said = got.where("feat is null").agg(F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
-        losses.append((said.l or 0.0) / max(1, said.n or 0))
+                if not learn:
+                    continue
+                for (f, _), g in zip(met_bags, back_t(gt * scale), strict=True):
+                    add(f, g)
+                add(feats, back_h(gh * scale))
+                for (f, _), (_, back), g in zip(against, built, gu, strict=True):
+                    add(f, back(g * scale))
+            if spread > 0:
+                sums = {f: g + rng.normal(0, spread, width) for f, g in sums.items()}
+            out = [(f, g.tolist(), None, None, False) for f, g in sums.items() if np.isfinite(g).all()] + [(None, None, float(total), int(count), not learn)]
+            return pd.DataFrame(out, columns=["feat", "g", "loss", "n", "held"])
+
+        got = selves.unionByName(shown).groupBy("part", "held").applyInPandas(gradients, "feat string, g array<double>, loss double, n long, held boolean").checkpoint()
+        said = {r.held: r.l / max(1, r.n) for r in got.where("feat is null").groupBy("held").agg(F.sum("loss").alias("l"), F.sum("n").alias("n")).collect()}  # two rows at most
+        losses.append(said.get(False, 0.0))
+        if watch is not None and part_of == updates - 1:
+            watch(turn, float(np.mean(losses[-updates:])), said.get(True))
         return adam(now, summed(got.where("feat is not null").select("feat", "g")), k + 1, rate)
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        from ..session import shared_dir
-
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    end = iterate(begin.select(F.col("feat").cast("string").alias("feat"), "vector", zero.alias("m"), zero.alias("v")), step, passes)
+    end = iterate(begin.select(F.col("feat").cast("string").alias("feat"), "vector", zero.alias("m"), zero.alias("v")), step, steps)
     return end.select("feat", "vector"), losses
 
 
@@ -272,8 +399,6 @@ def rank_features(walk_scores: DataFrame, features: DataFrame, dims: int = 32, p
     ``walk_scores`` (root, id, score): the ``k`` best of each root other than itself are its list, scores to
     the power ``compression`` normalised as target; ``negatives`` nodes by hash follow with target 0.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("root").orderBy(F.desc("score"), "id")
     lists = walk_scores.where("root <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("s", F.pow("score", F.lit(compression)))
     lists = lists.join(lists.groupBy("root").agg(F.sum("s").alias("_t")), "root").select("root", "id", "rank", (F.col("s") / F.col("_t")).alias("target"))

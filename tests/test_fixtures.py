@@ -247,6 +247,72 @@ def test_training_lowers_the_loss(make, spark):
     assert np.isfinite(losses).all() and losses[-1] < losses[0]
 
 
+@pytest.mark.parametrize("model", [training.Averaged(), training.Attention(2, 3), training.Attention(1, 2, window=1), training.Attention(1, 2, chosen=2)])
+def test_models_and_their_gradients(model):
+    """Of one node and of several, against slopes; a feature that occurs twice is in the bag twice."""
+    rng = np.random.default_rng(4)
+    names, x, g = ["a", "b", "a", "c"], rng.normal(size=(4, model.width(3))), rng.normal(size=3)
+    other = rng.normal(size=(2, model.width(3)))
+    draw = lambda: np.random.default_rng(9)
+    one = lambda v: model.build(v, names, draw())
+    many = lambda v: model.around([(names, v), (["d", "e"], other)], draw())
+    for f, grads in ((one, one(x)[1](g)), (many, many(x)[1](g)[0])):
+        for at in np.ndindex(x.shape):
+            e = np.zeros_like(x)
+            e[at] = 1e-6
+            assert ((f(x + e)[0] - f(x - e)[0]) @ g) / 2e-6 == pytest.approx(grads[at], abs=1e-6)
+    assert model.build(x[:1], names[:1])[1](g).shape == (1, model.width(3))
+
+
+def test_rates():
+    rates = [training.cosine_rate(k, 100, 1.0) for k in range(100)]
+    assert rates[0] == pytest.approx(0.01 + 0.99 / 20) and rates[19] == 1.0 and rates[-1] == pytest.approx(0.01)
+    assert rates[49] == pytest.approx(0.01 + 0.99 * 0.5)
+    assert training.exponential_rate(3, 2.0, 0.5) == 0.25 and training.exponential_rate(9, 2.0, 0.5, 0.1) == 0.1
+
+
+def test_walk_ends_are_two_steps_away_at_least(make, spark):
+    e = graphs.normalized(graphs.undirected(make([(i, i + 1, 1) for i in range(6)], False)))
+    got = walks.walk_ends(e, spark.createDataFrame([(0,), (3,)], "id long"), 40, 1.0).collect()
+    assert len(got) == 80 and {(r.root, r.first) for r in got} == {(0, 1), (3, 2), (3, 4)}
+    assert {r.node for r in got if r.root == 0 and r.node != 0} <= {1, 2, 3} and any(r.node == 2 for r in got)
+
+
+@pytest.mark.parametrize("how", [{"loss": training.Loss("ppr", 1.0, 0, 2)}, {"hard": 2, "loss": training.Loss("margin", 1.0, 0, 3)}, {"model": training.Attention(1, 2), "updates": 2, "noise": 0.01}])
+def test_training_with_walks_and_attention(make, spark, how):
+    e = graphs.normalized(graphs.undirected(make([(i, (i + 1) % 12, 1) for i in range(12)] + [(i, (i + 2) % 12, 1) for i in range(12)], False)))
+    f = spark.createDataFrame([(i, j, f"f{(i + j) % 12}") for i in range(12) for j in range(2)], "node long, pos int, feat string")
+    seen = []
+    got, losses = training.propagate_embeddings(e, f, 4, 2, 0.1, **{"valid": 0.3, "watch": lambda *x: seen.append(x), **how})
+    assert [x[0] for x in seen] == [0, 1] and all(np.isfinite(x[2]) for x in seen)
+    assert np.isfinite(losses).all() and len(losses) == 2 * how.get("updates", 1)
+    assert got.count() == 12 and {len(r.vector) for r in got.collect()} == {how.get("model", training.Averaged()).width(4)}
+
+
+def test_a_step_of_training_is_the_plain_one(make, spark):
+    """One Adam step of the margin loss without negatives in reach of chance: each node's only other node is its negative."""
+    e = graphs.normalized(make([(0, 1, 1), (1, 0, 1)]))
+    f = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "node long, pos int, feat string")
+    start = {"a": [1.0, 0.0], "b": [0.0, 2.0], "c": [3.0, 1.0]}
+    given = spark.createDataFrame(list(start.items()), "feat string, vector array<double>")
+    loss = training.Loss("starspace", 5.0, 0, 1)
+    got, losses = training.propagate_embeddings(e, f, 2, 1, 0.1, loss, valid=0.0, vectors=given)
+    v = {k: np.array(x) for k, x in start.items()}
+    h = {0: (v["a"] + v["b"]) / 2, 1: v["c"]}
+    g, total = {k: np.zeros(2) for k in v}, 0.0
+    for node, other in ((0, 1), (1, 0)):
+        value, gt, gh, gu = loss.value_and_gradients(h[other], h[node], np.array([h[other]]))
+        total += value
+        for n, d in ((other, gt), (node, gh), (other, gu[0])):
+            for k in ("a", "b") if n == 0 else ("c",):
+                g[k] += d / (2 if n == 0 else 1)
+    rate = training.cosine_rate(0, 1, 0.1)
+    want = {k: v[k] - rate * g[k] / (np.abs(g[k]) + 1e-8) for k in v}
+    assert losses[0] == pytest.approx(total / 2)
+    for r in got.collect():
+        assert r.vector == pytest.approx(want[r.feat], abs=1e-6)
+
+
 def test_features(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (3, 0, "c")], "node long, pos int, feat string")
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "feat string, vector array<double>")
@@ -351,10 +417,9 @@ def test_builders(spark):
     assert [tuple(r.x) for r in ns.collect()] == [("color", "red"), ("feat", "plain")]
 
 
-def test_losses_that_are_not_built_are_rejected():
-    for kind in ("ppr", "other"):
-        with pytest.raises(ValueError):
-            training.Loss(kind)
+def test_unknown_losses_are_rejected():
+    with pytest.raises(ValueError):
+        training.Loss("other")
 
 
 def test_queries_over_all_of_the_geography(spark):
