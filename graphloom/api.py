@@ -7,6 +7,7 @@ ids that are hashes of (type, name), so naming needs no global order; ``nodes``
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import vectors
 from .functions.chance import SEED
 from .operators import clustering, embedding, features, graphs, nearest, policy, ranking, training, walks
+from .session import Scratch
 from .sources import tables
 
 DIRECTED, UNDIRECTED = "directed", "undirected"
@@ -552,13 +554,28 @@ class EmbeddingAligner:
     alpha: float = 0.1
     error: float = 0.01
     max_iters: int = 10
+    random_nodes: int = 0
+    seed: int = SEED
 
-    def bulk_align(self, original: NodeEmbeddings, translated: NodeEmbeddings, queries: DataFrame) -> DataFrame:
-        """(id, vector) of ``queries`` (id, vector) in the translated space."""
-        near = nearest.nearest_each(original.rows, queries, self.num_nodes, "euclidean")
+    def bulk_align(self, original: NodeEmbeddings, translated: NodeEmbeddings, queries: DataFrame, ann: EmbAnn | None = None) -> DataFrame:
+        """(id, vector) of ``queries`` (id, vector) in the translated space.
+
+        Anchors are the nearest originals, exactly or by ``ann``, and ``random_nodes`` others, drawn by hash for each query.
+        """
+        if ann is None:
+            near = nearest.nearest_each(original.rows, queries, self.num_nodes, "euclidean")
+        else:
+            near = nearest.by_euclid(ann.find(queries, self.num_nodes), original.rows, queries)
+        if self.random_nodes:
+            near = nearest.with_others(near, original.rows, queries, self.random_nodes, self.seed)
         anchors = near.join(translated.rows.select("id", "vector"), "id").select(F.col("query").alias("id"), "rank", "distance", "vector")
         return embedding.align(queries, anchors, self.alpha, self.error, self.max_iters)
 
+    def align(self, original: NodeEmbeddings, translated: NodeEmbeddings, query: list[float], ann: EmbAnn | None = None) -> list[float]:
+        """One vector, placed in the translated space."""
+        asked = original.rows.sparkSession.createDataFrame([(-1, list(map(float, query)))], "id long, vector array<double>")
+        return list(self.bulk_align(original, translated, asked, ann).first().vector)
+
 
 @dataclass(frozen=True)
 class FeaturePropagator:
@@ -572,6 +589,8 @@ class FeaturePropagator:
 
 @dataclass(frozen=True)
 class EmbAnn:
+    """A forest over ``embeddings``, kept at ``path`` as Parquet if one is given (built there by the first call), else in the shared folder."""
+
     embeddings: NodeEmbeddings
     n_trees: int
     max_nodes_per_leaf: int
@@ -579,12 +598,39 @@ class EmbAnn:
     num_sampled_nodes_split_test: int = 30
     types: list[str] | str | None = None
     seed: int = SEED + 10
+    path: str | None = None
 
-    def find(self, queries: DataFrame, k: int, min_search_size: int | None = None) -> DataFrame:
+    @cached_property
+    def rows(self) -> DataFrame:
         rows = self.embeddings.rows
-        if self.types is not None:
-            rows = rows.where(F.col("node_type").isin([self.types] if isinstance(self.types, str) else list(self.types)))
-        return nearest.forest_neighbours(rows, queries, k, self.n_trees, self.max_nodes_per_leaf, self.test_hp_per_split, self.num_sampled_nodes_split_test, min_search_size, self.seed)
+        return rows if self.types is None else rows.where(F.col("node_type").isin([self.types] if isinstance(self.types, str) else list(self.types)))
+
+    @cached_property
+    def trees(self) -> DataFrame:
+        """The built forest; every later call reads it."""
+        spark = self.rows.sparkSession
+        built = lambda: nearest.forest(self.rows, self.n_trees, self.max_nodes_per_leaf, self.test_hp_per_split, self.num_sampled_nodes_split_test, self.seed)
+        if self.path is None:
+            with Scratch(spark, "forest") as scratch:
+                return scratch.keep(built())
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            built().write.mode("overwrite").parquet(self.path)
+        return spark.read.parquet(self.path)
+
+    def find(self, queries: DataFrame, k: int, min_search_size: int | None = None) -> DataFrame:
+        return nearest.find_in_forest(self.trees, self.rows, queries, k, min_search_size or self.n_trees * k)
+
+    def find_leaf_indices(self, queries: DataFrame) -> DataFrame:
+        """(query, shard, tree, leaf)."""
+        return nearest.leaves_of(self.trees, queries).drop("path")
+
+    def find_leaf_paths(self, queries: DataFrame) -> DataFrame:
+        """(query, shard, tree, path)."""
+        return nearest.leaves_of(self.trees, queries).drop("leaf")
+
+    def depth(self) -> DataFrame:
+        return nearest.depths(self.trees)
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chance import SEED, uniform
 from ..functions.vectors import distance
+from ..session import Scratch
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, kind: str = "cosine", types: list[str] | str | None = None) -> DataFrame:
@@ -122,34 +123,114 @@ class Tree:
         return np.concatenate(got) if got else np.zeros(0, np.int64)
 
 
-def forest_neighbours(vectors: DataFrame, queries: DataFrame, k: int, trees: int = 8, leaf: int = 64, tests: int = 5, sample: int = 30, least: int | None = None, seed: int = SEED, shard_rows: int = 200_000) -> DataFrame:
-    """(query, id, distance): approximate nearest by cosine from hyperplane trees over shards of the vectors.
+#: Queries that are sent to the tasks at a time.
+ASKED = 2_000
+
+FOREST = "shard int, tree int, at int, normal array<double>, bias double, above int, below int, leaf int, members array<{0}>"
+
 
-    Vectors are dealt by hash into shards of about ``shard_rows``; a task builds one tree of one shard and
-    answers the queries, which are a stated, broadcast set; answers are merged and ids taken once.
+def forest(vectors: DataFrame, trees: int = 8, leaf: int = 64, tests: int = 5, sample: int = 30, seed: int = SEED, shard_rows: int = 200_000) -> DataFrame:
+    """The nodes of all trees, root first: (shard, tree, at, normal, bias, above, below, leaf, members); write it to ask it often.
+
+    Vectors are dealt by hash into shards of about ``shard_rows``; a task builds one tree of one shard.  Leaves
+    are numbered within a tree and have the ids of their ``members``; the others have a plane and two children.
     """
     n = max(1, -(-vectors.count() // shard_rows))
-    asked = queries.select("id", "vector").toPandas()
-    held = vectors.sparkSession.sparkContext.broadcast((asked["id"].tolist(), np.stack(asked["vector"].to_numpy()) if len(asked) else np.zeros((0, 0))))
-    least = least or trees * k
-    rows = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).alias("shard")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    rows = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
 
     def one(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        v, ids = np.stack(part["vector"].to_numpy()), part["id"].to_numpy()
-        tree, out = Tree(v, leaf, tests, sample, seed + int(key[1])), []
-        length = np.linalg.norm(v, axis=1)
-        for name, q in zip(*held.value, strict=True):
-            own = tree.find(q, max(least, k))
-            scale = length[own] * np.linalg.norm(q)
-            d = np.where(scale > 0, 1 - (v[own] @ q) / np.where(scale > 0, scale, 1), np.inf)
-            best = np.lexsort([ids[own], d])[:k]
-            out += [(name, ids[own][i], float(d[i])) for i in best]
-        return pd.DataFrame(out, columns=["query", "id", "distance"])
+        ids = part["id"].to_numpy()
+        tree = Tree(np.stack(part["vector"].to_numpy()), leaf, tests, sample, seed + int(key[1]))
+        out = [(int(key[0]), int(key[1]), at, None if x.normal is None else x.normal.tolist(), x.bias, x.above, x.below, x.leaf, ids[x.members].tolist()) for at, x in enumerate(tree.nodes)]
+        return pd.DataFrame(out, columns=["shard", "tree", "at", "normal", "bias", "above", "below", "leaf", "members"])
+
+    return rows.groupBy("shard", "tree").applyInPandas(one, FOREST.format(dict(vectors.dtypes)["id"]))
+
+
+def planted(rows: pd.DataFrame) -> Tree:
+    """A tree again from its nodes."""
+    tree = Tree.__new__(Tree)
+    rows = rows.sort_values("at")
+    tree.nodes = [Node(None if n is None else np.array(n, float), b, up, down, np.array(m, object), leaf) for n, b, up, down, leaf, m in zip(rows.normal, rows.bias, rows.above, rows.below, rows.leaf, rows.members, strict=True)]
+    return tree
+
+
+def ask_forest(trees: DataFrame, queries: DataFrame, answer, schema: str) -> DataFrame:
+    """``answer`` (tree, query id, query vector) -> rows of ``schema`` for every tree and query (id, vector).
+
+    Queries are a stated set; they go to the tasks in blocks of about ``ASKED``, each a part of the plan.
+    """
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def asking(held):
+        def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+            tree = planted(rows)
+            return pd.DataFrame([(int(key[0]), int(key[1]), name, *x) for name, q in zip(*held.value, strict=True) for x in answer(tree, q)], columns=["shard", "tree", "query", *names])
+
+        return one
+
+    blocks, out = max(1, -(-queries.count() // ASKED)), None
+    for b in range(blocks):
+        own = queries.select("id", "vector") if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector")
+        asked = own.toPandas()
+        held = trees.sparkSession.sparkContext.broadcast((asked["id"].tolist(), [np.array(list(v), float) for v in asked["vector"]]))
+        got = trees.groupBy("shard", "tree").applyInPandas(asking(held), f"shard int, tree int, query {dict(queries.dtypes)['id']}, {schema}")
+        out = got if out is None else out.unionByName(got)
+    return out
+
 
+def find_in_forest(trees: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, least: int) -> DataFrame:
+    """(query, id, distance, rank): of the members that each tree finds, ``least`` a tree, the nearest by cosine, each id once."""
     kind = dict(vectors.dtypes)["id"]
-    found = rows.groupBy("shard", "tree").applyInPandas(one, f"query {dict(queries.dtypes)['id']}, id {kind}, distance double")
-    return best_of(found.groupBy("query", "id").agg(F.min("distance").alias("distance")), k)
+    found = ask_forest(trees, queries, lambda tree, q: [(x,) for x in tree.find(q, max(least, k))], f"id {kind}").select("query", "id").distinct()
+    pairs = found.join(vectors.select("id", "vector"), "id").join(queries.select(F.col("id").alias("query"), F.col("vector").alias("_q")), "query")
+    return best_of(pairs.select("query", "id", distance("cosine", F.col("vector"), F.col("_q")).alias("distance")), k)
+
+
+def leaves_of(trees: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, shard, tree, leaf, path): the leaf of each query and the nodes on the way to it, without the root."""
+
+    def way(tree: Tree, q: np.ndarray) -> list[tuple[int, list[int]]]:
+        path = tree.path(q)
+        return [(tree.nodes[([0] + path)[-1]].leaf, path)]
+
+    return ask_forest(trees, queries, way, "leaf int, path array<int>").select("query", "shard", "tree", "leaf", "path")
+
+
+def depths(trees: DataFrame) -> DataFrame:
+    """(shard, tree, depth): a tree of one leaf has depth 1."""
+
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [int(key[0])], "tree": [int(key[1])], "depth": [planted(rows).depth()]})
+
+    return trees.groupBy("shard", "tree").applyInPandas(one, "shard int, tree int, depth int")
+
+
+def forest_neighbours(vectors: DataFrame, queries: DataFrame, k: int, trees: int = 8, leaf: int = 64, tests: int = 5, sample: int = 30, least: int | None = None, seed: int = SEED, shard_rows: int = 200_000) -> DataFrame:
+    """(query, id, distance, rank): approximate nearest by cosine from a forest that is built for this once."""
+    with Scratch(vectors.sparkSession, "forest") as scratch:
+        kept = scratch.cut(forest(vectors, trees, leaf, tests, sample, seed, shard_rows), "trees")
+        return scratch.keep(find_in_forest(kept, vectors, queries, k, least or trees * k))
+
+
+def by_euclid(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id, distance, rank) of pairs, by Euclidean distance."""
+    rows = pairs.select("query", "id").join(vectors.select("id", "vector"), "id").join(queries.select(F.col("id").alias("query"), F.col("vector").alias("_q")), "query")
+    return best_of(rows.select("query", "id", distance("euclidean", F.col("vector"), F.col("_q")).alias("distance")), 2**31 - 1)
+
+
+def with_others(near: DataFrame, vectors: DataFrame, queries: DataFrame, n: int, seed: int = SEED) -> DataFrame:
+    """``near`` (query, id, distance, rank) and up to ``n`` other vectors of each query, ranked after its own.
+
+    The others come from a pool of 64 n vectors, drawn by hash, of which each query takes those of its smallest hashes.
+    """
+    pool = vectors.select("id").withColumn("_u", uniform(seed, "id")).orderBy("_u", "id").limit(64 * n).select("id")
+    pairs = queries.select(F.col("id").alias("query")).join(F.broadcast(pool), how="cross").join(near.select("query", "id"), ["query", "id"], "left_anti")
+    drawn = best_of(pairs.withColumn("distance", uniform(seed + 1, "query", "id")), n).select("query", "id", F.col("rank").alias("_r"))
+    last = near.groupBy("query").agg(F.max("rank").alias("_m"))
+    far = by_euclid(drawn, vectors, queries).drop("rank").join(drawn, ["query", "id"]).join(last, "query", "left")
+    return near.select("query", "id", "distance", "rank").unionByName(far.select("query", "id", "distance", (F.coalesce("_m", F.lit(0)) + F.col("_r")).alias("rank")))
 
 
 def climb(edges: DataFrame, vectors: DataFrame, query: list[float], k: int, starts: int = 16, beam: int = 32, most: int = 30, kind: str = "cosine", seed: int = SEED) -> DataFrame:

@@ -354,6 +354,40 @@ def test_forest(spark):
     assert tree.nodes[tree.path(v[0])[-1]].leaf == tree.leaf(v[0]) and 0 in tree.nodes[tree.path(v[0])[-1]].members
 
 
+def test_a_kept_forest(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, "v", str(i), x.tolist()) for i, x in enumerate(v)], "id long, node_type string, node_name string, vector array<double>")
+    ann = api.EmbAnn(api.NodeEmbeddings(rows), 3, 30, path=str(tmp_path / "forest"))
+    asked = rows.where("id % 50 = 0").select("id", "vector")
+    first = {(r.query, r.id) for r in ann.find(asked, 4, 300).collect()}
+    assert first == {(r.query, r.id) for r in nearest.nearest_each(rows, asked, 4).collect()}
+    again = api.EmbAnn(api.NodeEmbeddings(rows), 3, 30, path=str(tmp_path / "forest"))
+    assert first == {(r.query, r.id) for r in again.find(asked, 4, 300).collect()}
+    nodes = {(r.tree, r.at): r for r in again.trees.collect()}
+    assert sorted(x for (t, _), r in nodes.items() if t == 0 for x in r.members) == list(range(300))
+    paths = again.find_leaf_paths(asked).collect()
+    leaves = {(r.query, r.tree): r.leaf for r in again.find_leaf_indices(asked).collect()}
+    deep = {r.tree: r.depth for r in again.depth().collect()}
+    assert len(paths) == 3 * 6 and set(deep) == {0, 1, 2} and min(deep.values()) >= 4
+    for r in paths:
+        end = nodes[r.tree, r.path[-1]]
+        assert r.query in end.members and end.leaf == leaves[r.query, r.tree] and len(r.path) < deep[r.tree]
+    assert api.EmbAnn(api.NodeEmbeddings(rows), 2, 1_000).depth().select("depth").distinct().collect()[0].depth == 1
+
+
+def test_alignment_by_a_forest_and_others(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(80, 3))
+    make_ = lambda x: api.NodeEmbeddings(spark.createDataFrame([(i, "v", str(i), y.tolist()) for i, y in enumerate(x)], "id long, node_type string, node_name string, vector array<double>"), "euclidean")
+    a, b = make_(v), make_(v + [5.0, 0.0, 0.0])
+    aligner = api.EmbeddingAligner(6, 0.05, 1e-7, 2_000, random_nodes=4)
+    assert aligner.align(a, b, [0.2, 0.1, 0.0]) == pytest.approx([5.2, 0.1, 0.0], abs=0.05)
+    ann = api.EmbAnn(a, 2, 20)
+    got = aligner.bulk_align(a, b, a.rows.where("id % 50 = 0").select("id", "vector"), ann).collect()
+    assert {r.id for r in got} == {0, 50} and all(np.linalg.norm(np.array(r.vector) - v[r.id] - [5, 0, 0]) < 0.1 for r in got)
+
+
 def test_climb(make, spark):
     n = 100
     e = graphs.normalized(graphs.undirected(make([(i, i + 1, 1) for i in range(n - 1)], False)))
