@@ -121,11 +121,28 @@ def s4_edge_deduplication(spark, d):
     return round_trip(spark, rows, lambda at: tables.read_edges(spark, at, weighted=False, deduplicate=True), None)
 
 
-@query(f"WITH {ONCE} SELECT src, dst, round(p, 9) AS p FROM d")
+def shop(spark: SparkSession, d: str) -> api.Graph:
+    """Customers and the parts that they bought, named."""
+    rows = purchases_once(spark, d).select(F.lit("customer").alias("from_type"), F.concat(F.lit("c"), (F.col("src") / 2).cast("bigint").cast("string")).alias("from_name"), F.lit("part").alias("to_type"), F.concat(F.lit("p"), ((F.col("dst") - 1) / 2).cast("bigint").cast("string")).alias("to_name"), "weight")
+    return api.Graph.from_rows(rows)
+
+
+@query(f"WITH {ONCE} SELECT 'customer' AS from_type, 'c' || src // 2 AS from_name, 'part' AS to_type, 'p' || (dst - 1) // 2 AS to_name, round(p, 9) AS weight FROM d")
 def s5_graph_sink(spark, d):
-    once = purchases_once(spark, d)
+    """A named graph saved and read again: weights are transition probabilities then."""
     with Scratch(spark, "graph") as scratch:
-        return scratch.keep(scratch.cut(once.select("src", "dst", F.round("p", 9).alias("p")), "edges"))
+        shop(spark, d).save(f"{scratch.path}/edges", "gzip")
+        return scratch.keep(tables.read_edges(spark, f"{scratch.path}/edges").withColumn("weight", F.round("weight", 9)))
+
+
+@query("SELECT 'nation' AS from_type, n_name AS from_name, 'region' AS to_type, r_name AS to_name, 1.0::DOUBLE AS weight FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'region', r_name, 'nation', n_name, 1.0::DOUBLE / count(*) OVER (PARTITION BY r_name) FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s3_adhoc_graph(spark, d):
+    """Edges given one by one to a builder: the 25 nations and their regions."""
+    rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    builder = api.GraphBuilder(spark)
+    for r in rows.collect():  # 25 rows at every scale
+        builder.add_edge(("nation", r.n_name), ("region", r.r_name), 1.0, api.UNDIRECTED)
+    return builder.build_graph().named()
 
 
 @query("SELECT 'part' AS node_type, 'p' || p_partkey AS node_name, CAST(i - 1 AS INTEGER) AS pos, w[i] AS name FROM (SELECT p_partkey, string_split(p_type || ' ' || p_brand, ' ') AS w FROM part), unnest(range(1, len(w) + 1)) AS t(i)")
@@ -160,9 +177,57 @@ def s18_vocabulary(spark, d):
     return graphs.nodes_of(geography(spark, d))
 
 
+@query("WITH n AS (SELECT event_type || '=' || user_id AS name FROM events) SELECT DISTINCT split_part(name, '=', 1) AS ns, split_part(name, '=', 2) AS name, name AS whole FROM n")
+def s10_namespaces(spark, d):
+    rows = read(spark, d, "events").select(F.concat_ws("=", "event_type", F.col("user_id").cast("string")).alias("whole")).distinct()
+    return rows.select(graphs.namespace("prefix", F.col("whole"), F.lit("event")).alias("x"), "whole").select("x.ns", "x.name", "whole")
+
+
+@query("SELECT 'part' AS node_type, 'p' || p_partkey AS node_name, CAST(i - 1 AS INTEGER) AS pos, 'feat:' || w[i] AS feat FROM (SELECT p_partkey, string_split(p_type || ' ' || p_brand, ' ') AS w FROM part), unnest(range(1, len(w) + 1)) AS t(i)")
+def s8_features_of_a_file(spark, d):
+    rows = read(spark, d, "part").select(F.lit("part"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.concat_ws(" ", "p_type", "p_brand"))
+    with Scratch(spark, "features") as scratch:
+        tables.write_tsv(rows, f"{scratch.path}/rows", "gzip")
+        fs = api.FeatureSet.from_file(spark, f"{scratch.path}/rows")
+        return scratch.keep(fs.rows.join(fs.nodes, F.col("node") == F.col("id")).select("node_type", "node_name", "pos", "feat"))
+
+
+@query(f"WITH {ONCE} SELECT 'customer' AS node_type, 'c' || src // 2 AS node_name, 1::BIGINT AS own FROM (SELECT DISTINCT src FROM d) UNION ALL SELECT 'part', 'p' || (dst - 1) // 2, 1 FROM (SELECT DISTINCT dst FROM d)")
+def s9_features_of_a_graph(spark, d):
+    """Every node of a graph without features has one, of its own."""
+    fs = api.FeatureSet.from_graph(shop(spark, d)).filled()
+    alone = fs.rows.groupBy("feat").agg(F.count(F.lit(1)).alias("own"))
+    return fs.rows.join(alone, "feat").join(fs.nodes, F.col("node") == F.col("id")).select("node_type", "node_name", "own")
+
+
 # Projections, filters, lookups
 
 
+@query("SELECT 'c' || c_custkey AS node_name, c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) AS known FROM customer WHERE c_custkey IN (1, 2, 3)")
+def p1_node_exists(spark, d):
+    g = shop(spark, d)
+    return spark.createDataFrame([(f"c{i}", g.contains(("customer", f"c{i}"))) for i in (1, 2, 3)], "node_name string, known boolean")
+
+
+@query("SELECT CAST(i - 1 AS INTEGER) AS pos, 'feat:' || w[i] AS feat FROM (SELECT string_split(p_type || ' ' || p_brand, ' ') AS w FROM part WHERE p_partkey = 7), unnest(range(1, len(w) + 1)) AS t(i)")
+def p6_features_of_a_node(spark, d):
+    rows = read(spark, d, "part").select(F.lit("part").alias("node_type"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_name"), F.posexplode(F.split(F.concat_ws(" ", "p_type", "p_brand"), " ")).alias("pos", "name"))
+    fs = api.FeatureSet(rows.select(api.node_id(F.col("node_type"), F.col("node_name")).alias("id"), "node_type", "node_name").distinct(), api.named_features(rows, "single"))
+    return fs.get_features(("part", "p7"))
+
+
+def named_vectors(spark: SparkSession, d: str, distance: str) -> api.NodeEmbeddings:
+    rows = read(spark, d, "embeddings").select(F.concat(F.lit("l"), F.col("label").cast("string")).alias("node_type"), F.col("vec_id").cast("string").alias("node_name"), vectors.doubles(F.col("embedding")).alias("vector"))
+    return api.NodeEmbeddings.named(rows, distance)
+
+
+@query("SELECT CAST(i - 1 AS INTEGER) AS pos, round(v[i], 9) + 0.0 AS x FROM (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings ORDER BY vec_id LIMIT 1), unnest(range(1, 65)) AS t(i)")
+def p7_vector_of_a_node(spark, d):
+    first = stored_vectors(spark, d).orderBy("id").first()  # one row
+    got = named_vectors(spark, d, "cosine").get_embedding((first.node_type, str(first.id)))
+    return spark.createDataFrame([(i, round(x, 9)) for i, x in enumerate(got)], "pos int, x double")
+
+
 @query(f"WITH {BOTH} SELECT dst, round(p, 9) AS p FROM e WHERE src = 20")
 def p2_neighbours(spark, d):
     return graphs.neighbours(purchases(spark, d), 20).select("dst", F.round("p", 9).alias("p"))
@@ -253,6 +318,17 @@ def a7_weighted_embeddings(spark, d):
     return flat(features.mean_embeddings(f, feature_vectors(spark, d), features.unigrams(f), 0.01), "node")
 
 
+_SEEN = "b AS (SELECT node, pos, vector[1] AS q, vector[2] AS k, vector[3:4] AS v FROM f JOIN fv USING (feat)), o AS (SELECT x.node, x.pos AS i, t.j, sum(exp(x.q * y.k) * y.v[t.j]) / sum(exp(x.q * y.k)) AS s FROM b x JOIN b y ON x.node = y.node, (VALUES (1), (2)) AS t(j) GROUP BY ALL)"
+
+
+@query(f"WITH {FEAT}, {_FEATURE_VECTORS}, {_SEEN} SELECT node, CAST(j - 1 AS INTEGER) AS pos, round(avg(s), 9) + 0.0 AS x FROM o GROUP BY ALL")
+def a8_attention_embeddings(spark, d):
+    """One head whose Q, K and V are the first, the second and the last two dimensions."""
+    rows = part_features(spark, d)
+    fs = api.FeatureSet(rows.select(F.col("node").alias("id"), F.lit("part").alias("node_type"), F.col("node").cast("string").alias("node_name")).distinct(), rows)
+    return flat(api.NodeEmbedder(api.FeatureAggregator("attention", heads=1, d_k=1)).embed_feature_set(fs, feature_vectors(spark, d), 2), "node")
+
+
 # Order, limits, samples
 
 
@@ -332,9 +408,10 @@ for _kind in _DISTANCES:
     _distance_query(_kind)
 
 
-@query("WITH w AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS a FROM documents), q AS (SELECT a AS b FROM w ORDER BY doc_id LIMIT 1), h AS (SELECT doc_id, list_distinct(list_transform(a, lambda x: ascii(x) % 40)) AS a FROM w), k AS (SELECT list_distinct(list_transform(b, lambda x: ascii(x) % 40)) AS b FROM q) SELECT doc_id, round(1 - len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 9) AS distance FROM h, k")
+@query("WITH h AS (SELECT doc_id, list_distinct(list_transform(string_split(text, ' '), lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT)) AS a FROM documents), k AS (SELECT a AS b FROM h ORDER BY doc_id LIMIT 1) SELECT doc_id, round(1 - len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 9) AS distance FROM h, k")
 def v1_distance_jaccard(spark, d):
-    codes = F.array_distinct(F.transform(F.array_distinct(F.split("text", " ")), lambda x: F.ascii(x) % 40))
+    """Of the numbers of a document's words to those of the first document."""
+    codes = F.array_distinct(F.transform(F.split("text", " "), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")))
     docs = read(spark, d, "documents").select("doc_id", codes.alias("a"))
     first = docs.orderBy("doc_id").limit(1).select(F.col("a").alias("b"))
     return docs.crossJoin(F.broadcast(first)).select("doc_id", F.round(vectors.distance("jaccard", F.col("a"), F.col("b")), 9).alias("distance"))
@@ -362,6 +439,20 @@ def v6_feature_hash(spark, d):
     return out
 
 
+@query(f"{_PAIRS} SELECT node_type, CAST(id AS VARCHAR) AS node_name, round({_DISTANCES['euclidean']}, 9) AS distance FROM v, q")
+def v5_score_all(spark, d):
+    got = named_vectors(spark, d, "euclidean")
+    return got.score_all(list(stored_vectors(spark, d).orderBy("id").first().vector)).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"WITH {VEC}, q AS (SELECT vector AS b FROM v ORDER BY id LIMIT 1) SELECT round({_DISTANCES['cosine']}, 9) AS distance FROM (SELECT vector FROM v ORDER BY id DESC LIMIT 1), q")
+def v4_distance_of_two(spark, d):
+    """Of the first and the last vector, by their names."""
+    v = stored_vectors(spark, d)
+    a, b = (v.orderBy(o).select("node_type", F.col("id").cast("string")).first() for o in (F.asc("id"), F.desc("id")))
+    return spark.createDataFrame([(round(named_vectors(spark, d, "cosine").compute_distance(tuple(a), tuple(b)), 9),)], "distance double")
+
+
 # Walks and ranks
 
 
