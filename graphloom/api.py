@@ -151,7 +151,8 @@ class FeatureSet:
 
 def named_features(rows: DataFrame, namespace: str, delim: str = "=", fixed: str = "feat") -> DataFrame:
     ns = graphs.namespace(namespace, F.col("name"), F.col("node_type"), delim, fixed)
-    return rows.select(node_id(F.col("node_type"), F.col("node_name")).alias("node"), "pos", F.concat(ns["ns"], F.lit(":"), ns["name"]).alias("feat"))
+    space = F.regexp_replace(ns["ns"], r"([\\:])", r"\\$1")  # so that the first bare colon ends the namespace
+    return rows.select(node_id(F.col("node_type"), F.col("node_name")).alias("node"), "pos", F.concat(space, F.lit(":"), ns["name"]).alias("feat"))
 
 
 @dataclass(frozen=True)
@@ -412,6 +413,13 @@ class VpcgEmbedder:
         return NodeEmbeddings.of(graph, embedding.hashed_vectors(terms, "node", "feat", "w", self.dims).withColumnRenamed("node", "id"), "cosine")
 
 
+def every_walk(graph: Graph, steps: float, beta: float, count: int | None, seed: int) -> DataFrame:
+    """(root, id, score) of walks from every node: ``count`` sampled ones of each, which bounds the rows, or exactly, n x n at worst."""
+    if count is None:
+        return walks.expected_walk(graph.edges, graph.nodes, steps, beta)
+    return walks.sampled_walk(graph.edges, graph.nodes.select("id"), count, steps, beta, True, seed)
+
+
 @dataclass(frozen=True)
 class InstantEmbeddings:
     dims: int
@@ -419,11 +427,13 @@ class InstantEmbeddings:
     steps: float = 0.3
     beta: float = 0.8
     eps: float | None = None
+    walks: int | None = None
+    seed: int = SEED
 
     def learn(self, graph: Graph) -> NodeEmbeddings:
-        """From the exact walk, or with ``eps`` from local push."""
+        """From the exact walk, from ``walks`` sampled ones of each node, or with ``eps`` from local push."""
         n = graph.nodes.count()
-        s = walks.expected_walk(graph.edges, graph.nodes, self.steps, self.beta) if self.eps is None else walks.sparse_ppr(graph.edges, graph.nodes, self.steps, self.eps)
+        s = every_walk(graph, self.steps, self.beta, self.walks, self.seed) if self.eps is None else walks.sparse_ppr(graph.edges, graph.nodes, self.steps, self.eps)
         return NodeEmbeddings.of(graph, embedding.rank_vectors(s, n, self.dims, self.hashes).withColumnRenamed("root", "id"), "cosine")
 
 
@@ -433,9 +443,11 @@ class PPREmbedder:
     steps: float
     beta: float = 0.8
     eps: float = 1e-5
+    walks: int | None = None
+    seed: int = SEED
 
     def learn(self, graph: Graph, fs: FeatureSet) -> NodeEmbeddings:
-        s = walks.expected_walk(graph.edges, graph.nodes, self.steps, self.beta)
+        s = every_walk(graph, self.steps, self.beta, self.walks, self.seed)
         v = embedding.feature_rank_vectors(s, fs.filled().rows, graph.nodes.count(), self.dims, self.eps)
         return NodeEmbeddings.of(graph, v.withColumnRenamed("root", "id"), "cosine")
 
@@ -476,9 +488,10 @@ class PprRankLearner:
     weight_decay: float = 0.0
     batch_size: int = 1_000
     seed: int = SEED
+    walks: int | None = None
 
     def learn_features(self, graph: Graph, fs: FeatureSet) -> DataFrame:
-        s = walks.expected_walk(graph.edges, graph.nodes, self.steps, self.beta)
+        s = every_walk(graph, self.steps, self.beta, self.walks, self.seed)
         kind = "listnet" if self.loss == "listnet" else "listmle"
         return training.rank_features(s, fs.filled().rows, self.dims, self.passes, self.alpha, self.k, self.negatives, kind, self.compression, self.batch_size, self.weight_decay, self.seed)[0]
 

@@ -233,17 +233,25 @@ def with_others(near: DataFrame, vectors: DataFrame, queries: DataFrame, n: int,
     return near.select("query", "id", "distance", "rank").unionByName(far.select("query", "id", "distance", (F.coalesce("_m", F.lit(0)) + F.col("_r")).alias("rank")))
 
 
-def climb(edges: DataFrame, vectors: DataFrame, query: list[float], k: int, starts: int = 16, beam: int = 32, most: int = 30, kind: str = "cosine", seed: int = SEED) -> DataFrame:
-    """(id, distance): a search that climbs the graph from random nodes towards the query, a beam at a time."""
+def climb(edges: DataFrame, vectors: DataFrame, query: list[float], k: int, starts: int = 16, beam: int = 32, most: int = 30, kind: str = "cosine", seed: int = SEED, restarts: float = 0.05) -> DataFrame:
+    """(id, distance): a search that climbs the graph from random nodes towards the query, a beam at a time.
+
+    Each step opens the neighbours of the ``beam`` nearest nodes not opened yet, and a share ``restarts`` of as many random
+    nodes; no node is looked at twice.  It ends after ``most`` steps, or when all nodes have been looked at.
+    """
+    from math import ceil
+
     from ..plans.loops import iterate
 
     far = vectors.select("id", distance(kind, F.col("vector"), F.array(*map(F.lit, query))).alias("distance"))
     begin = vectors.select("id").withColumn("_u", uniform(seed, "id")).orderBy("_u", "id").limit(starts).select("id").join(far, "id").withColumn("open", F.lit(True))
 
-    def step(now: DataFrame, _: int) -> DataFrame:
+    def step(now: DataFrame, k: int) -> DataFrame:
         front = now.where("open").orderBy("distance", "id").limit(beam).select(F.col("id").alias("src"))
-        new = edges.join(F.broadcast(front), "src").select(F.col("dst").alias("id")).distinct().join(now.select("id"), "id", "left_anti").join(far, "id").withColumn("open", F.lit(True))
+        fresh = vectors.select("id").withColumn("_u", uniform(seed + k + 1, "id")).orderBy("_u", "id").limit(ceil(beam * restarts)).select("id")
+        reached = edges.join(F.broadcast(front), "src").select(F.col("dst").alias("id")).unionByName(fresh).distinct()
+        new = reached.join(now.select("id"), "id", "left_anti").join(far, "id").withColumn("open", F.lit(True))
         old = now.join(F.broadcast(front.select(F.col("src").alias("id"), F.lit(True).alias("_f"))), "id", "left").select("id", "distance", (F.col("open") & F.col("_f").isNull()).alias("open"))
-        return old.unionByName(new).orderBy("distance", "id").limit(max(beam, k) * 4)
+        return old.unionByName(new)
 
     return iterate(begin, step, most, lambda _, now: now.where("open").isEmpty()).orderBy("distance", "id").limit(k).select("id", "distance")

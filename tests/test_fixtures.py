@@ -517,3 +517,20 @@ def test_attention_weights(spark):
         for h in range(2):
             want = training.attention(vecs[:, 3 * h : 3 * h + 3], vecs[:, 6 + 3 * h : 9 + 3 * h], np.eye(4), window)
             assert [[got[h, a, b] for b in "abcd"] for a in "abcd"] == pytest.approx(want)
+
+
+def test_training_from_files(spark, tmp_path):
+    from graphloom import train
+
+    (tmp_path / "edges").write_text("".join(f"u\t{i}\tu\t{(i + k) % 8}\t1\n" for i in range(8) for k in (1, 3)))
+    (tmp_path / "features").write_text("".join(f"u\t{i}\ta:{i % 4} all\n" for i in range(8)))
+    at = [str(tmp_path / x) for x in ("edges", "features", "out")]
+    for given in (["ep", *at, "--undirected", "--dims", "4", "--passes", "1"], ["rank", *at, "--undirected", "--dims", "4", "--passes", "1", "--steps", "2", "--walks", "10", "--k", "3"]):
+        train.run(spark, train.arguments(given))
+        got = {r.feat: len(r.vector) for r in spark.read.parquet(at[2]).collect()}
+        assert got == {"feat:all": 4, **{f"feat:a:{i}": 4 for i in range(4)}}
+
+
+def test_namespaces_do_not_run_together(spark):
+    rows = spark.createDataFrame([("a:b", "n", 0, "c"), ("a", "n", 1, "b:c")], "node_type string, node_name string, pos int, name string")
+    assert sorted(r.feat for r in api.named_features(rows, "node_type").collect()) == ["a:b:c", "a\\:b:c"]
