@@ -11,12 +11,13 @@ their exact overlap.
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KeyFilter, Scratch, as_bytes, bits_at, chunks, col, free_shuffles, fresh, mix64, trim
@@ -28,6 +29,8 @@ COMMON, BLOCK_COUNT, BLOCK_WORDS = 65_536, 8, 1 << 20
 SPARE, FEW = 20, 64
 #: Tokens of a cluster that one task takes whole; a larger cluster is dealt into buckets of half as many.
 CLUSTER_TOKENS = 1 << 20
+#: Prefix tokens that are joined at a time, in at most so many spans of sizes; tokens of large clusters that are counted at a time.
+SPAN_TOKENS, SPANS, COUNT_TOKENS = 1 << 23, 8, 1 << 25
 #: Bits of a signature in words of 64, members of a leaf, pivots taken from a bucket of a large cluster.
 WORDS, LEAF, PIVOTS = 16, 48, 8
 #: Bytes of the filter by which documents that need not be read again are passed over: 8 bits a document, up to this.
@@ -134,6 +137,11 @@ def first_half(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
+def half_key():
+    """``first_half`` of the column ``key``."""
+    return F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+
+
 def common_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Words that occur BLOCK_COUNT times at least, with how often."""
     if not words:
@@ -160,6 +168,27 @@ def prefix(s: np.ndarray, weight: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[np.lexsort([s, weight])[:n]]
 
 
+def band_of(num: int, den: int):
+    """The band of a size ``n``: sizes of a band differ by a factor of num / den at most, so linked classes are in one band or in adjoining ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) * (1 + 1e-9) if num < den else 1.0)).cast("long")
+
+
+def spans_of(tokens: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """Runs of bands, first and last, that together hold every band: at most SPANS, of about equally many ``tokens``."""
+    if not tokens:
+        return [(0, 0)]
+    total = sum(tokens.values())
+    parts = min(SPANS, max(1, -(-total // most)))
+    out, low, held = [], None, 0
+    for b in sorted(tokens):
+        low = b if low is None else low
+        held += tokens[b]
+        if held * parts >= total * (len(out) + 1):
+            out.append((low, b))
+            low = None
+    return out
+
+
 class Forest:
     """Which members hang together; edges are those that joined two groups."""
 
@@ -296,8 +325,9 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
 
     Scale: texts are read three times, the third time only those whose set is in a cluster.  Between the
     passes go a row a document, and prefix tokens, a tenth of a set at 0.9.  The list of common words is
-    bounded and changes only the order.  A cluster beyond ``cluster_tokens`` is dealt into
-    buckets by size and hash: each is matched by itself, then with pivots of the others, the members with
+    bounded and changes only the order.  Prefix tokens are joined for one span of sizes after the other, so what
+    stands on disk is one span's.  A cluster beyond ``cluster_tokens`` is parted by prefixes in the order of exact counts; what
+    then still is beyond is dealt into buckets by size and hash: each is matched by itself, then with pivots of the others, the members with
     most partners; buckets are then dealt anew by component, so that only members outside the main one
     meet all others.  Copies and near copies of one text thus never make all their pairs.
     """
@@ -367,31 +397,21 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
                     node, n = (np.repeat(np.array(x, np.int64), times) for x in ([first_half(x) for x in keys], batch["n"].to_pylist()))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(node), pa.array(n)], ["token", "node", "n"])
 
-        spelt = classes.mapInArrow(spell, "token long, node long, n long")
-        shared = scratch.cut(spelt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("token").alias("t")), "shared")
         free_shuffles(spark)
-        # Sizes of a band differ by a factor of num / den at most, so linked classes are in one band or in adjoining ones.
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) * (1 + 1e-9) if num < den else 1.0)).cast("long")
-        met = spelt.join(shared, F.col("token") == F.col("t")).select("token", "node", "n", band.alias("own"))
-        met = scratch.cut(met.withColumn("band", F.explode(F.array("own", F.col("own") + 1))), "met")
-        stats = met.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
-        stats = scratch.cut(stats.select(F.col("token").alias("t"), F.col("band").alias("b"), "c", "hub"), "stats")
-        at = (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))
-        hot = met.join(stats.where(F.col("c") > FEW), at).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        # Of other tokens each pair counts, once in the higher of its bands: linked classes that no hot token
-        # joins share as many as the smaller one's spare tokens and one.
-        few = met.join(stats.where(F.col("c") <= FEW), at).groupBy("token", "band").agg(F.collect_list(F.struct("node", "n", "own")).alias("m"))
-        couples = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["node"] < y["node"]) & (F.greatest(x["own"], y["own"]) == F.col("band"))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(x["n"], y["n"]).alias("n")))))
-        pairs = few.select(F.explode(couples).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c"), F.min("p.n").alias("n"))
-        links = hot.unionByName(pairs.where(F.col("c") >= 1 + F.floor(F.col("n") / SPARE)).select("a", "b")).distinct()
+        band = band_of(num, den)
+        tokens = {r.own: int(r.t * (1 - num / den + 1 / SPARE)) for r in rows.where("n > 0").groupBy(band.alias("own")).agg(F.sum("n").alias("t")).collect()}
+        links = []
+        for i, (low, high) in enumerate(spans_of(tokens, SPAN_TOKENS)):
+            # A class meets its own band and the next one; a pair counts in the higher of its bands, so within one span.
+            inside = classes.where(band.between(low - 1, high)).mapInArrow(spell, "token long, node long, n long")
+            links.append(links_of(scratch, inside, low, high, num, den, str(i)))
+        links = reduce(DataFrame.unionByName, links).distinct()
         clusters = components(links, checkpoint="jaccard-clusters").select("node", F.col("component").alias("cluster"))
-        for name in ("classes", "shared", "met", "stats"):
-            scratch.drop(name)
+        scratch.drop("classes")
         free_shuffles(spark)
 
         # One document for each class of a cluster: its set is made again, and only its.
-        half = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-        reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).withColumn("node", half)
+        reps = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).withColumn("node", half_key())
         members = scratch.cut(reps.join(clusters, "node").select("key", "doc_id", "n", "cluster"), "members")
         edges = edges_of(spark, scratch, texts, members, k, num, den, cluster_tokens)
         parts = components(edges, checkpoint="jaccard-parts")
@@ -404,6 +424,30 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
         return scratch.keep(out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_key", "digest"))
 
 
+def links_of(scratch: Scratch, spelt: DataFrame, low: int, high: int, num: int, den: int, name: str) -> DataFrame:
+    """Links (a, b) between classes that may reach the similarity, of the bands ``low`` to ``high``, from prefix tokens (token, node, n)."""
+    shared = scratch.cut(spelt.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("token").alias("t")), f"shared{name}")
+    met = spelt.join(shared, F.col("token") == F.col("t")).select("token", "node", "n", band_of(num, den).alias("own"))
+    met = scratch.cut(met.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).where(F.col("band").between(low, high)), f"met{name}")
+    scratch.drop(f"shared{name}")
+    free_shuffles(scratch.spark)
+    stats = met.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
+    stats = scratch.cut(stats.select(F.col("token").alias("t"), F.col("band").alias("b"), "c", "hub"), f"stats{name}")
+    at = (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))
+    hot = met.join(stats.where(F.col("c") > FEW), at).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # Of other tokens each pair of near sizes counts, once in the higher of its bands: linked classes that no hot token
+    # joins share as many as the smaller one's spare tokens and one.
+    few = met.join(stats.where(F.col("c") <= FEW), at).groupBy("token", "band").agg(F.collect_list(F.struct("node", "n", "own")).alias("m"))
+    close = lambda x, y: F.lit(num) * F.greatest(x["n"], y["n"]) <= F.lit(den) * F.least(x["n"], y["n"])
+    couples = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["node"] < y["node"]) & (F.greatest(x["own"], y["own"]) == F.col("band")) & close(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(x["n"], y["n"]).alias("n")))))
+    pairs = few.select(F.explode(couples).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c"), F.min("p.n").alias("n"))
+    links = scratch.cut(hot.unionByName(pairs.where(F.col("c") >= 1 + F.floor(F.col("n") / SPARE)).select("a", "b")).distinct(), f"links{name}")
+    for table in ("met", "stats"):
+        scratch.drop(table + name)
+    free_shuffles(scratch.spark)
+    return links
+
+
 def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: int, num: int, den: int, cluster_tokens: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes which links connect."""
     named = KeyFilter(members.where("doc_id is not null"), F.col("doc_id"), FILTER_BYTES)
@@ -431,6 +475,7 @@ def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: i
     full = made.join(members, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "key", "n", "tokens")
     if any_big:
         full = scratch.cut(full, "sets")
+        free_shuffles(spark)
 
     def small(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -441,18 +486,82 @@ def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: i
             out += [(keys[a], keys[b]) for a, b in got]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    whole = (full.join(big, "cluster", "left_anti") if any_big else full).withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs)))
-    edges = scratch.cut(whole.groupBy("pack").applyInPandas(small, "a binary, b binary"), "edges")
+    def matched(rows: DataFrame, packs: int, name: str) -> DataFrame:
+        return scratch.cut(rows.withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInPandas(small, "a binary, b binary"), name)
+
+    edges = matched(full.join(big, "cluster", "left_anti") if any_big else full, packs, "edges")
     if not any_big:
         return edges
-    return edges.unionByName(large(scratch, full.join(big, "cluster").dropDuplicates(["key"]), num, den, cluster_tokens))
+    wide = scratch.cut(full.join(big, "cluster").dropDuplicates(["key"]), "wide")
+    scratch.drop("sets")
+    free_shuffles(spark)
+    finer = refined(scratch, wide, num, den)
+    full = scratch.cut(wide.withColumn("node", half_key()).drop("cluster").join(finer, "node").drop("node"), "finer")
+    scratch.drop("wide")
+    free_shuffles(spark)
+    sizes = full.groupBy("cluster").agg(F.sum("n").alias("total"))
+    big = scratch.cut(sizes.where(F.col("total") > cluster_tokens).select("cluster"), "larger")
+    total = sizes.where(F.col("total") <= cluster_tokens).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t
+    edges = edges.unionByName(matched(full.join(big, "cluster", "left_anti"), max(1, -(-int(total) // cluster_tokens)), "more"))
+    if big.isEmpty():
+        return edges
+    return edges.unionByName(large(scratch, full.join(big, "cluster"), num, den, cluster_tokens))
+
+
+def refined(scratch: Scratch, full: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, cluster) of the members of large clusters that may link, in finer clusters.
+
+    Prefixes again, now in the order of how many members of the cluster have a token, by exact counts.  A member that alone has
+    more tokens than it may lack links with none, so texts that only a common passage brought together part here.
+    """
+    spark = scratch.spark
+    parts = max(1, -(-int(full.agg(F.sum("n").alias("t")).first().t) // COUNT_TOKENS))
+
+    def spell(part: int):
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [np.frombuffer(t, np.uint64) for t in batch["tokens"].to_pylist()]
+                own = [t[t % np.uint64(parts) == part].view(np.int64) for t in own]
+                if own:
+                    nodes = [first_half(x) for x in batch["key"].to_pylist()]
+                    cluster, node, n = (np.repeat(np.array(x, np.int64), [len(t) for t in own]) for x in (batch["cluster"].to_pylist(), nodes, batch["n"].to_pylist()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(np.concatenate(own)), pa.array(node), pa.array(n)], ["cluster", "token", "node", "n"])
+
+        return full.select("cluster", "key", "n", "tokens").mapInArrow(tokens, "cluster long, token long, node long, n long")
+
+    held = []
+    for i in range(parts):
+        counts = spell(i).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        counts = scratch.cut(counts.select(F.col("cluster").alias("_c"), F.col("token").alias("t"), "c"), f"counts{i}")
+        same = (F.col("cluster") == F.col("_c")) & (F.col("token") == F.col("t"))
+        held.append(scratch.cut(spell(i).join(counts, same).select("cluster", "token", "node", "n", "c"), f"held{i}"))
+        scratch.drop(f"counts{i}")
+        free_shuffles(spark)
+    least = F.ceil(F.lit(num) * F.col("n") / F.lit(den) - 1e-6).cast("int")
+    # Tokens of one member alone come first in the order; the prefix has as many of the others as they leave room for.
+    member = Window.partitionBy("cluster", "node", "n")
+    own = reduce(DataFrame.unionByName, held).withColumn("i", F.row_number().over(member.orderBy("c", "token"))).withColumn("s", F.count(F.lit(1)).over(member))
+    first = own.where(F.col("i") <= F.col("s") - least + 1)
+    first = first.select("cluster", "node", "token", F.explode(F.array(band_of(num, den), band_of(num, den) + 1)).alias("band"))
+    first = scratch.cut(first, "first")
+    for i in range(parts):
+        scratch.drop(f"held{i}")
+    free_shuffles(spark)
+    hubs = first.groupBy("cluster", "token", "band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1")
+    hubs = scratch.cut(hubs.select(F.col("cluster").alias("_c"), F.col("token").alias("t"), F.col("band").alias("b"), "hub"), "hubs")
+    at = (F.col("cluster") == F.col("_c")) & (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))
+    links = first.join(hubs, at).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    finer = components(links, checkpoint="jaccard-finer").select("node", F.col("component").alias("cluster"))
+    for name in ("first", "hubs"):
+        scratch.drop(name)
+    free_shuffles(spark)
+    return finer
 
 
 def large(scratch: Scratch, full: DataFrame, num: int, den: int, cluster_tokens: int) -> DataFrame:
     """Links within clusters too large for one task."""
     each = max(1, cluster_tokens // 2)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) * (1 + 1e-9) if num < den else 1.0)).cast("long")
-    full = scratch.cut(full.withColumn("band", band), "wide")
+    full = full.withColumn("band", band_of(num, den))
 
     def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
         """With ``bucket``: a part of about ``each`` tokens of the rows alike in ``by``."""

@@ -76,6 +76,53 @@ def test_jaccard_large_clusters(spark):
     assert got == Counter(bruteforce_components(rows, 3, 90, 100))
 
 
+@pytest.fixture
+def cuts(monkeypatch):
+    """Rows of the scratch tables that are written, by name."""
+    rows, cut = {}, jaccard.Scratch.cut
+
+    def counted(self, df, name):
+        out = cut(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "cut", counted)
+    return rows
+
+
+@pytest.mark.parametrize("k,num", [(5, 80), (3, 90)])
+def test_jaccard_spans_of_sizes(spark, monkeypatch, cuts, k, num):
+    """Prefix tokens are joined a span of sizes at a time, and copies on both sides of a span's edge still meet."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        w = [f"v{x}" for x in rng.integers(0, 3_000, 20 + 4 * i)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w, f"t{i}", "u"])), (3 * i + 2, " ".join(w[len(w) // 8 :]))]
+    monkeypatch.setattr(jaccard, "SPAN_TOKENS", 1_000, raising=False)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100).collect())
+    assert got == Counter(bruteforce_components(rows, k, num, 100))
+    met = [n for name, n in cuts.items() if name.startswith("met")]
+    assert len(met) > 3 and max(met) < sum(met) / 3
+
+
+@pytest.mark.parametrize("k,num", [(5, 80), (3, 90)])
+def test_jaccard_texts_with_one_passage_in_common(spark, monkeypatch, cuts, k, num):
+    """A cluster beyond one task that only a passage brought together parts, and its buckets need not all meet."""
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for i in range(150):
+        w = [f"v{x}" for x in rng.integers(0, 60, 100)]
+        rows.append((i, " ".join(w + passage)))
+        if i % 10 == 0:
+            w[50] = "changed"
+            rows.append((1000 + i, " ".join(w + passage)))
+    monkeypatch.setattr(jaccard, "COUNT_TOKENS", 5_000, raising=False)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100, cluster_tokens=1_500).collect())
+    assert got == Counter(bruteforce_components(rows, k, num, 100)) and len({c for _, _, c in got}) == 150
+    assert cuts["large"] and cuts["wide"] > 100 and "rest" not in cuts
+
+
 def test_keep_one(docs, none):
     kept = jaccard.keep_one(docs, 5, 80, 100)
     rows = [(r.doc_id, r.text) for r in kept.collect()]
