@@ -3,7 +3,7 @@
 Documents with the same set of word n-grams are one class.  Two classes can only reach the similarity if they
 share tokens of their prefixes, at least L of the first n - ceil(t n) + L in a global order that puts tokens made of
 words which are rare in the corpus first; L grows with the size.  Classes of near sizes that hang together by shared prefix tokens
-form a cluster; in a cluster a signature tree, whose nodes hold the OR of their classes' token bitmaps and their range of sizes, is
+form a cluster, and a cluster too large for one task is parted by hashes of whole parts of its sets; in a cluster a signature tree, whose nodes hold the OR of their classes' token bitmaps and their range of sizes, is
 traversed against itself: a pair of nodes whose largest possible overlap is too small is left out, and so
 is one whose classes are known to hang together already.  Pairs of classes that remain are confirmed by
 their exact overlap.
@@ -12,7 +12,7 @@ their exact overlap.
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from math import log
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,8 @@ SPARE, FEW = 20, 64
 CLUSTER_TOKENS = 1 << 20
 #: Prefix tokens that are joined at a time, in at most so many spans of sizes; tokens of large clusters that are counted at a time.
 SPAN_TOKENS, SPANS, COUNT_TOKENS = 1 << 23, 8, 1 << 25
+#: Tokens of sets that stand on disk at a time, in at most so many rounds, each of which reads the texts again.
+SET_TOKENS, ROUNDS = 1 << 26, 4
 #: Bits of a signature in words of 64, members of a leaf, pivots taken from a bucket of a large cluster.
 WORDS, LEAF, PIVOTS = 16, 48, 8
 #: Bytes of the filter by which documents that need not be read again are passed over: 8 bits a document, up to this.
@@ -168,9 +170,37 @@ def prefix(s: np.ndarray, weight: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[np.lexsort([s, weight])[:n]]
 
 
+def band_width(num: int, den: int) -> float:
+    """How far the logarithms of sizes in one band may differ."""
+    return -log(num / den) * (1 + 1e-9) if num < den else 1.0
+
+
 def band_of(num: int, den: int):
     """The band of a size ``n``: sizes of a band differ by a factor of num / den at most, so linked classes are in one band or in adjoining ones."""
-    return F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(num / den) * (1 + 1e-9) if num < den else 1.0)).cast("long")
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(band_width(num, den))).cast("long")
+
+
+def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of parts of a set, of which linked sets have at least one in common.
+
+    Sets that link, the larger one in a band, differ by ``lack`` tokens at most.  Dealt by hash into ``lack`` + 1 parts and two more for
+    each of ``spare``, they differ in ``lack`` parts; each set leaves out its ``spare`` smallest, which say least, so one
+    part that is alike stays in both.  A set has parts for its own band and for the next one, where a larger partner may be.
+    """
+    width, out = band_width(num, den), []
+    own = int(log(len(s)) / width)
+    for band in (own, own + 1):
+        lack = 2 * int(exp((band + 1) * width) * (1 + 1e-9)) * (den - num) // (num + den)
+        spare = (lack + 1) // 8
+        parts = lack + 1 + 2 * spare
+        part = (s % np.uint64(parts)).astype(np.int64)
+        count = np.bincount(part, minlength=parts)
+        total, filled = np.zeros(parts, np.uint64), count > 0
+        with np.errstate(over="ignore"):
+            total[filled] = np.add.reduceat(s[np.argsort(part, kind="stable")], (np.cumsum(count) - count)[filled])
+            name = mix64(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32))
+            out.append(mix64(total + name + count.astype(np.uint64) * _ODD)[np.argsort(count, kind="stable")[spare:]])
+    return np.concatenate(out).view(np.int64)
 
 
 def spans_of(tokens: dict[int, int], most: int) -> list[tuple[int, int]]:
@@ -323,11 +353,11 @@ def similar(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
 
     Shingles count by 64-bit hashes, sets by 128-bit digests.
 
-    Scale: texts are read three times, the third time only those whose set is in a cluster.  Between the
-    passes go a row a document, and prefix tokens, a tenth of a set at 0.9.  The list of common words is
+    Scale: texts are read twice, then those whose set is in a cluster, in ROUNDS at most, so that only one round's sets stand on
+    disk; those of large clusters are read before that for the parts of their sets.  Between the passes go a row a document, and prefix tokens, a tenth of a set at 0.9.  The list of common words is
     bounded and changes only the order.  Prefix tokens are joined for one span of sizes after the other, so what
-    stands on disk is one span's.  A cluster beyond ``cluster_tokens`` is parted by prefixes in the order of exact counts; what
-    then still is beyond is dealt into buckets by size and hash: each is matched by itself, then with pivots of the others, the members with
+    stands on disk is one span's.  A cluster beyond ``cluster_tokens`` is parted by parts of its sets that are alike, and what is
+    still beyond by prefixes in the order of exact counts; what then still is beyond is dealt into buckets by size and hash: each is matched by itself, then with pivots of the others, the members with
     most partners; buckets are then dealt anew by component, so that only members outside the main one
     meet all others.  Copies and near copies of one text thus never make all their pairs.
     """
@@ -450,32 +480,37 @@ def links_of(scratch: Scratch, spelt: DataFrame, low: int, high: int, num: int,
 
 def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: int, num: int, den: int, cluster_tokens: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes which links connect."""
-    named = KeyFilter(members.where("doc_id is not null"), F.col("doc_id"), FILTER_BYTES)
-    nulls = members.where("doc_id is null").limit(1).count() > 0
-    held = named.found
-
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = bits_at(held.value, np.asarray(batch["place"].fill_null(-1))) | (np.asarray(batch["doc_id"].is_null()) & nulls)
-            batch = batch.filter(pa.array(keep))
-            ids, done = batch["doc_id"], 0
-            for part in chunks(batch["text"]):
-                sets = shingle_sets(as_bytes(part), k)
-                yield pa.RecordBatch.from_arrays([ids.slice(done, len(part)), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "k", "tokens"])
-                done += len(part)
-        trim()
-
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"))
-    total = sizes.where(F.col("total") <= cluster_tokens).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t
-    packs = max(1, -(-int(total) // cluster_tokens))
-    big = scratch.cut(sizes.where(F.col("total") > cluster_tokens).select("cluster"), "large")
-    any_big = not big.isEmpty()
-    made = texts.withColumn("place", named.place(F.col("doc_id"))).mapInArrow(third, "id long, k binary, tokens binary").where("k is not null")
-    # Rows that repeat an id and a text give a class twice; matching takes the first.
-    full = made.join(members, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "key", "n", "tokens")
-    if any_big:
-        full = scratch.cut(full, "sets")
-        free_shuffles(spark)
+
+    def made(rows: DataFrame, what, column: str, kind: pa.DataType) -> DataFrame:
+        """(cluster, key, n and ``column``: ``what`` of the set) of members; the texts are read again, and only theirs taken."""
+        named = KeyFilter(rows.where("doc_id is not null"), F.col("doc_id"), FILTER_BYTES)
+        nulls = rows.where("doc_id is null").limit(1).count() > 0
+        held = named.found
+
+        def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = bits_at(held.value, np.asarray(batch["place"].fill_null(-1))) | (np.asarray(batch["doc_id"].is_null()) & nulls)
+                batch = batch.filter(pa.array(keep))
+                ids, done = batch["doc_id"], 0
+                for part in chunks(batch["text"]):
+                    sets = shingle_sets(as_bytes(part), k)
+                    yield pa.RecordBatch.from_arrays([ids.slice(done, len(part)), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([what(s) if len(s) else None for s in sets], kind)], ["id", "k", column])
+                    done += len(part)
+            trim()
+
+        spelt = texts.withColumn("place", named.place(F.col("doc_id"))).mapInArrow(third, f"id long, k binary, {column} {'binary' if kind == pa.binary() else 'array<bigint>'}").where("k is not null")
+        # Rows that repeat an id and a text give a class twice; matching takes the first.
+        return spelt.join(rows, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("cluster", "key", "n", column)
+
+    def sets(rows: DataFrame) -> DataFrame:
+        return made(rows, lambda s: s.tobytes(), "tokens", pa.binary())
+
+    def beyond(rows: DataFrame, name: str) -> DataFrame:
+        """The clusters too large for one task."""
+        return scratch.cut(rows.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > cluster_tokens).select("cluster"), name)
+
+    def tokens_of(rows: DataFrame) -> int:
+        return int(rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t)
 
     def small(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -486,28 +521,67 @@ def edges_of(spark, scratch: Scratch, texts: DataFrame, members: DataFrame, k: i
             out += [(keys[a], keys[b]) for a, b in got]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    def matched(rows: DataFrame, packs: int, name: str) -> DataFrame:
+    def matched(rows: DataFrame, total: int, name: str) -> DataFrame:
+        packs = max(1, -(-total // cluster_tokens))
         return scratch.cut(rows.withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInPandas(small, "a binary, b binary"), name)
 
-    edges = matched(full.join(big, "cluster", "left_anti") if any_big else full, packs, "edges")
+    big = beyond(members, "large")
+    any_big = not big.isEmpty()
+    if any_big:
+        # Large clusters are parted before sets are made: a passage that many texts have brings most of a large corpus together.
+        own = members.join(big, "cluster", "left_semi")
+        wide = scratch.cut(made(own, lambda s: part_keys(s, num, den), "parts", pa.list_(pa.int64())).select("cluster", half_key().alias("node"), "parts"), "wide")
+        free_shuffles(spark)
+        finer = parted(scratch, wide)
+        scratch.drop("wide")
+        rest = members.join(big, "cluster", "left_anti")
+        members = scratch.cut(rest.unionByName(own.withColumn("node", half_key()).drop("cluster").join(finer, "node").drop("node")), "parted")
+        big = beyond(members, "larger")
+        any_big = not big.isEmpty()
+    rest = members.join(big, "cluster", "left_anti") if any_big else members
+    rounds = max(1, min(ROUNDS, -(-tokens_of(rest) // SET_TOKENS)))
+    found = []
+    for i in range(rounds):
+        own = rest.where(F.pmod(F.xxhash64("cluster", F.lit(rounds)), F.lit(rounds)) == i)
+        found.append(matched(sets(own), tokens_of(own), f"edges{i}"))
+        free_shuffles(spark)
+    edges = reduce(DataFrame.unionByName, found)
     if not any_big:
         return edges
-    wide = scratch.cut(full.join(big, "cluster").dropDuplicates(["key"]), "wide")
-    scratch.drop("sets")
+    full = scratch.cut(sets(members.join(big, "cluster", "left_semi")).dropDuplicates(["key"]), "sets")
     free_shuffles(spark)
-    finer = refined(scratch, wide, num, den)
-    full = scratch.cut(wide.withColumn("node", half_key()).drop("cluster").join(finer, "node").drop("node"), "finer")
-    scratch.drop("wide")
+    finer = refined(scratch, full, num, den)
+    full = scratch.cut(full.withColumn("node", half_key()).drop("cluster").join(finer, "node").drop("node"), "finer")
+    scratch.drop("sets")
     free_shuffles(spark)
-    sizes = full.groupBy("cluster").agg(F.sum("n").alias("total"))
-    big = scratch.cut(sizes.where(F.col("total") > cluster_tokens).select("cluster"), "larger")
-    total = sizes.where(F.col("total") <= cluster_tokens).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t
-    edges = edges.unionByName(matched(full.join(big, "cluster", "left_anti"), max(1, -(-int(total) // cluster_tokens)), "more"))
+    big = beyond(full, "largest")
+    rest = full.join(big, "cluster", "left_anti")
+    edges = edges.unionByName(matched(rest, tokens_of(rest), "more"))
     if big.isEmpty():
         return edges
     return edges.unionByName(large(scratch, full.join(big, "cluster"), num, den, cluster_tokens))
 
 
+def parted(scratch: Scratch, wide: DataFrame) -> DataFrame:
+    """(node, cluster) of the members of large clusters (cluster, node, parts) that may link, in finer clusters: those that have a part in common."""
+    pieces = max(1, -(-int(wide.agg(F.sum(F.size("parts")).alias("t")).first().t or 0) // COUNT_TOKENS))
+    rows = wide.select("cluster", "node", F.explode("parts").alias("part"))
+    links = []
+    for i in range(pieces):
+        own = rows.where(F.pmod("part", F.lit(pieces)) == i)
+        hubs = own.groupBy("cluster", "part").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+        hubs = scratch.cut(hubs.select(F.col("cluster").alias("_c"), F.col("part").alias("p"), "hub"), f"alike{i}")
+        at = (F.col("cluster") == F.col("_c")) & (F.col("part") == F.col("p"))
+        links.append(scratch.cut(own.join(hubs, at).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), f"joined{i}"))
+        scratch.drop(f"alike{i}")
+        free_shuffles(scratch.spark)
+    finer = components(reduce(DataFrame.unionByName, links), checkpoint="jaccard-parted").select("node", F.col("component").alias("cluster"))
+    for i in range(pieces):
+        scratch.drop(f"joined{i}")
+    free_shuffles(scratch.spark)
+    return finer
+
+
 def refined(scratch: Scratch, full: DataFrame, num: int, den: int) -> DataFrame:
     """(node, cluster) of the members of large clusters that may link, in finer clusters.
 

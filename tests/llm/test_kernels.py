@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -282,3 +283,29 @@ def test_quality_learns_a_pair():
 def test_hash_key_halves():
     key = hashlib.blake2b(b"x", digest_size=16).digest()
     assert -(2**63) <= J.first_half(key) < 2**63
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (95, 100), (1, 1), (1, 2)])
+def test_linked_sets_have_a_part_in_common(num, den):
+    rng = np.random.default_rng(5)
+    seen = 0
+    for _ in range(1500):
+        both = int(np.exp(rng.uniform(0, 6.5)))
+        # As many tokens of their own as the similarity allows, dealt to both sides at random.
+        most = both * (den - num) // num
+        one = int(rng.integers(0, most + 1))
+        t = rng.integers(0, 1 << 63, both + most).astype(np.uint64)
+        a, b = np.unique(t[: both + one]), np.unique(np.concatenate([t[:both], t[both + one :]]))
+        assert den * both >= num * (both + most)
+        assert set(J.part_keys(a, num, den).tolist()) & set(J.part_keys(b, num, den).tolist())
+        seen += most > 0
+    assert seen > 500 or num == den
+
+
+def test_sets_with_a_passage_in_common_have_no_part_in_common():
+    rng = np.random.default_rng(6)
+    t = rng.integers(0, 1 << 63, (400, 150)).astype(np.uint64)
+    t[:, :30] = t[0, :30]
+    keys = np.concatenate([np.unique(J.part_keys(np.unique(x), 90, 100)) for x in t])
+    _, times = np.unique(keys, return_counts=True)
+    assert (times > 1).sum() < 20

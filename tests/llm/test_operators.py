@@ -123,6 +123,32 @@ def test_jaccard_texts_with_one_passage_in_common(spark, monkeypatch, cuts, k, n
     assert cuts["large"] and cuts["wide"] > 100 and "rest" not in cuts
 
 
+def test_jaccard_parts_large_clusters_before_sets_are_made(spark, cuts):
+    """Texts that only passages bring together leave a large cluster before their sets are written."""
+    rng = np.random.default_rng(12)
+    lines = [" ".join(f"p{j}x{i}" for i in range(12)) for j in range(4)]
+    rows = []
+    for i in range(300):
+        w = [f"v{x}" for x in rng.integers(0, 60, 100 + i % 9)]
+        tail = [lines[j] for j in rng.choice(4, 2, replace=False)]
+        rows.append((i, " ".join(w + tail)))
+        if i % 10 == 0:
+            w[50] = "changed"
+            rows.append((1000 + i, " ".join(w + tail)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, cluster_tokens=3_000).collect())
+    assert got == Counter(bruteforce_components(rows, 3, 90, 100)) and len({c for _, _, c in got}) == 300
+    assert cuts["wide"] > 200 and "sets" not in cuts and cuts["parted"] < 100
+
+
+@pytest.mark.parametrize("k,num", [(5, 80), (3, 90)])
+def test_jaccard_sets_in_rounds(spark, docs, monkeypatch, cuts, k, num):
+    """Sets of clusters stand on disk one round after the other, with the same result."""
+    want = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs, k, num, 100).collect())
+    monkeypatch.setattr(jaccard, "SET_TOKENS", 20, raising=False)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs, k, num, 100).collect())
+    assert got == want and sum(name.startswith("edges") for name in cuts) == jaccard.ROUNDS
+
+
 def test_keep_one(docs, none):
     kept = jaccard.keep_one(docs, 5, 80, 100)
     rows = [(r.doc_id, r.text) for r in kept.collect()]
