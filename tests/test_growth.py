@@ -1,8 +1,11 @@
 """What used to grow faster than its input."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation
+from graphloom.operators import evaluation, nearest
 
 
 def plan_of(df) -> str:
@@ -15,3 +18,55 @@ def test_a_text_is_cut_into_words_once(spark):
     assert plan_of(cut).count("split(") == 1
     got = [r.g for r in cut.collect()]
     assert len(got[0]) == 3_000 + 2_999 + 2_998 and got[0][-1].gram == "w2997 w2998 w2999" and [x.gram for x in got[1]] == [""] and got[2] is None
+
+
+def some_vectors(spark, n: int, odd: bool = False):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(n)]
+    rows += [(n + i, rows[i % 3][1]) for i in range(40)] + [(n + 40, [0.0] * 6), (n + 41, [0.0] * 6)]  # copies, whose distances are equal
+    if odd:
+        rows += [(n + 50, None), (n + 51, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (n + 52, [1.0, 2.0])]
+    return spark.createDataFrame(rows, "id long, vector array<double>")
+
+
+@pytest.mark.parametrize("kind", ["cosine", "euclidean", "dot"])
+def test_nearest_of_each_by_products(spark, kind, monkeypatch):
+    v = some_vectors(spark, 300)
+    asked = v.where("id % 10 = 0 or id >= 300")
+    got = nearest.nearest_each(v, asked, 7, kind)
+    assert "Cross" not in plan_of(got)
+    want = sorted(map(tuple, nearest.best_of(nearest.crossed(v, asked, kind), 7).collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(nearest, "HELD", 6 * 8 * 20)
+    assert sorted(map(tuple, nearest.nearest_each(v, asked, 7, kind).collect())) == want
+
+
+def test_nearest_of_each_in_chunks_and_by_names(spark):
+    rows = some_vectors(spark, 300).collect()
+    x, names = np.array([r.vector for r in rows]), np.array([f"v{r.id}" for r in rows], object)
+    at = [pa.record_batch([pa.array(names[i : i + 50]), pa.array([r.vector for r in rows[i : i + 50]])], ["id", "vector"]) for i in range(0, len(rows), 50)]
+    far = np.array([nearest.distances_of("cosine", x, np.tile(q, (len(x), 1))) for q in x[:20]])
+    want = [[names[j] for j in sorted(range(len(x)), key=lambda j: (far[i, j], names[j]))[:5]] for i in range(20)]
+    before = nearest.CHUNK
+    try:
+        nearest.CHUNK = 4_000
+        out = pa.Table.from_batches(nearest.nearest_in(iter(at), pa.array(range(20)), x[:20], 5, "cosine")).to_pylist()
+    finally:
+        nearest.CHUNK = before
+    assert [[r["id"] for r in out if r["query"] == i] for i in range(20)] == want
+
+
+def test_nearest_of_each_with_odd_vectors(spark):
+    v = some_vectors(spark, 60, True)
+    asked = v.where("id % 10 = 0 or id >= 100")
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(key, nearest.nearest_each(v, asked, 4).collect())) == sorted(map(key, nearest.best_of(nearest.crossed(v, asked, "cosine"), 4).collect()))
+
+
+def test_climbing_reads_a_written_graph(spark, monkeypatch):
+    cuts = []
+    was = nearest.Scratch.cut
+    monkeypatch.setattr(nearest.Scratch, "cut", lambda self, df, name: (cuts.append(name), was(self, df, name))[1])
+    v = some_vectors(spark, 40)
+    e = nearest.nearest_each(v, v, 4).where("query <> id").select(F.col("query").alias("src"), F.col("id").alias("dst"))
+    assert nearest.climb(e, v, v.first().vector, 3, most=3).count() == 3 and "edges" in cuts
