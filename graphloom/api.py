@@ -413,10 +413,10 @@ class VpcgEmbedder:
         return NodeEmbeddings.of(graph, embedding.hashed_vectors(terms, "node", "feat", "w", self.dims).withColumnRenamed("node", "id"), "cosine")
 
 
-def every_walk(graph: Graph, steps: float, beta: float, count: int | None, seed: int) -> DataFrame:
-    """(root, id, score) of walks from every node: ``count`` sampled ones of each, which bounds the rows, or exactly, n x n at worst."""
+def every_walk(graph: Graph, steps: float, beta: float, count: int | None, seed: int, best: int | None = None) -> DataFrame:
+    """(root, id, score) of walks from every node: ``count`` sampled ones of each, which bounds the rows, or exactly, n x n at worst or the ``best`` of each."""
     if count is None:
-        return walks.expected_walk(graph.edges, graph.nodes, steps, beta)
+        return walks.expected_walk(graph.edges, graph.nodes, steps, beta, best=best)
     return walks.sampled_walk(graph.edges, graph.nodes.select("id"), count, steps, beta, True, seed)
 
 
@@ -433,6 +433,8 @@ class InstantEmbeddings:
     def learn(self, graph: Graph) -> NodeEmbeddings:
         """From the exact walk, from ``walks`` sampled ones of each node, or with ``eps`` from local push."""
         n = graph.nodes.count()
+        if self.eps is None and self.walks is None:
+            return NodeEmbeddings.of(graph, embedding.rank_walks(graph.edges, graph.nodes, self.steps, self.beta, n, self.dims, self.hashes).withColumnRenamed("root", "id"), "cosine")
         s = every_walk(graph, self.steps, self.beta, self.walks, self.seed) if self.eps is None else walks.sparse_ppr(graph.edges, graph.nodes, self.steps, self.eps)
         return NodeEmbeddings.of(graph, embedding.rank_vectors(s, n, self.dims, self.hashes).withColumnRenamed("root", "id"), "cosine")
 
@@ -447,8 +449,11 @@ class PPREmbedder:
     seed: int = SEED
 
     def learn(self, graph: Graph, fs: FeatureSet) -> NodeEmbeddings:
-        s = every_walk(graph, self.steps, self.beta, self.walks, self.seed)
-        v = embedding.feature_rank_vectors(s, fs.filled().rows, graph.nodes.count(), self.dims, self.eps)
+        if self.walks is None:
+            sums = walks.feature_walk(graph.edges, graph.nodes, fs.filled().rows, self.steps, self.beta)
+            v = embedding.summed_rank_vectors(sums, graph.nodes.count(), self.dims, self.eps)
+        else:
+            v = embedding.feature_rank_vectors(every_walk(graph, self.steps, self.beta, self.walks, self.seed), fs.filled().rows, graph.nodes.count(), self.dims, self.eps)
         return NodeEmbeddings.of(graph, v.withColumnRenamed("root", "id"), "cosine")
 
 
@@ -491,7 +496,7 @@ class PprRankLearner:
     walks: int | None = None
 
     def learn_features(self, graph: Graph, fs: FeatureSet) -> DataFrame:
-        s = every_walk(graph, self.steps, self.beta, self.walks, self.seed)
+        s = every_walk(graph, self.steps, self.beta, self.walks, self.seed, self.k + 1)
         kind = "listnet" if self.loss == "listnet" else "listmle"
         return training.rank_features(s, fs.filled().rows, self.dims, self.passes, self.alpha, self.k, self.negatives, kind, self.compression, self.batch_size, self.weight_decay, self.seed)[0]
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, nearest
+from graphloom.operators import embedding, evaluation, graphs, nearest, walks
 
 
 def plan_of(df) -> str:
@@ -70,3 +70,41 @@ def test_climbing_reads_a_written_graph(spark, monkeypatch):
     v = some_vectors(spark, 40)
     e = nearest.nearest_each(v, v, 4).where("query <> id").select(F.col("query").alias("src"), F.col("id").alias("dst"))
     assert nearest.climb(e, v, v.first().vector, 3, most=3).count() == 3 and "edges" in cuts
+
+
+def dead_ended(spark):
+    rows = [("a", "b", 1.0), ("a", "c", 2.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 3.0), ("b", "e", 1.0), ("e", "b", 2.0)]  # d is a dead end
+    return graphs.normalized(spark.createDataFrame(rows, "src string, dst string, weight double"))
+
+
+def rows_of(df):
+    return {tuple(r)[:-1]: r[-1] for r in df.collect()}
+
+
+def test_walks_in_blocks_and_by_joins(spark, monkeypatch):
+    e = dead_ended(spark)
+    roots = spark.createDataFrame([("a",), ("b",), ("d",), ("z",)], "id string")
+    v = spark.createDataFrame([(x, [float(i), 1.0, -i * i / 5]) for i, x in enumerate("abcd")], "id string, vector array<double>")
+    run = [
+        lambda: walks.expected_walk(e, roots, 0.3, 0.5, 3, 0.01, best=2),
+        lambda: walks.guided_walk(e, roots, v, [1.0, 0.0, 0.5], 0.2, 0.5, 0.5, 2, [0.0, 1.0, 1.0], "euclidean"),
+    ]
+    got = [f() for f in run]
+    assert all("MapInArrow" in plan_of(x) for x in got)
+    got = [rows_of(x) for x in got]
+    vectors = {r.root: r.vector for r in embedding.rank_walks(e, roots, 2, 0.5, 5, 8).collect()}
+    monkeypatch.setattr(walks.blocks, "EDGES", 0)
+    assert [rows_of(f()) for f in run] == [pytest.approx(x) for x in got]
+    want = {r.root: r.vector for r in embedding.rank_walks(e, roots, 2, 0.5, 5, 8).collect()}
+    assert set(vectors) == set(want) and all(vectors[r] == pytest.approx(want[r]) for r in want)
+
+
+@pytest.mark.parametrize("dead", [False, True])
+def test_feature_walks_have_no_pairs(spark, dead):
+    e = dead_ended(spark)
+    if not dead:
+        e = graphs.normalized(graphs.undirected(e))
+    feats = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("c", "z"), ("d", "y")], "node string, feat string")
+    pairs = walks.expected_walk(e, graphs.nodes_of(e), 0.3, 0.5, 3)
+    want = pairs.join(feats.withColumnRenamed("node", "id"), "id").groupBy("root", "feat").agg(F.sum("score").alias("score"))
+    assert rows_of(walks.feature_walk(e, graphs.nodes_of(e), feats, 0.3, 0.5, 3)) == pytest.approx(rows_of(want))
