@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import embedding, evaluation, graphs, nearest, walks
+from graphloom.operators import embedding, evaluation, features, graphs, nearest, policy, ranking, walks
+from graphloom.session import Scratch
 
 
 def plan_of(df) -> str:
@@ -108,3 +109,17 @@ def test_feature_walks_have_no_pairs(spark, dead):
     pairs = walks.expected_walk(e, graphs.nodes_of(e), 0.3, 0.5, 3)
     want = pairs.join(feats.withColumnRenamed("node", "id"), "id").groupBy("root", "feat").agg(F.sum("score").alias("score"))
     assert rows_of(walks.feature_walk(e, graphs.nodes_of(e), feats, 0.3, 0.5, 3)) == pytest.approx(rows_of(want))
+
+
+def test_means_are_added_up_as_columns(spark, monkeypatch):
+    f = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "b"), (3, 0, "z")], "node long, pos int, feat string")
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, -1.0])], "feat string, vector array<double>")
+    w = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "feat string, p double")
+    for weights in (None, w):
+        got = features.mean_embeddings(f, v, weights, 0.1)
+        assert "Generate" not in plan_of(got)
+        got = rows_of(got)
+        with monkeypatch.context() as m:
+            m.setattr(features, "COLUMNS", 0)
+            want = rows_of(features.mean_embeddings(f, v, weights, 0.1))
+        assert set(got) == set(want) == {(1,), (2,)} and all(got[n] == pytest.approx(want[n]) for n in want)
