@@ -16,7 +16,12 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, eps: floa
     The sum is known in advance, 1 + m (1 - d) with m the dead mass, so a step is one join and one aggregation.
     Ends when the step's L2 norm is below ``eps``.
     """
-    nodes = (nodes if nodes is not None else nodes_of(edges)).select("id")
+    with Scratch(edges.sparkSession, "rank") as scratch:
+        edges = scratch.cut(edges.select("src", "dst", "p"), "edges")  # built once; every step reads it
+        return _pagerank(edges, iterations, damping, eps, scratch.cut((nodes if nodes is not None else nodes_of(edges)).select("id"), "nodes"))
+
+
+def _pagerank(edges: DataFrame, iterations: int, damping: float, eps: float, nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     live = edges.select(F.col("src").alias("id")).distinct().withColumn("_live", F.lit(True))
     base = nodes.join(live, "id", "left").select("id", F.coalesce("_live", F.lit(False)).alias("live"))

@@ -123,3 +123,15 @@ def test_means_are_added_up_as_columns(spark, monkeypatch):
             m.setattr(features, "COLUMNS", 0)
             want = rows_of(features.mean_embeddings(f, v, weights, 0.1))
         assert set(got) == set(want) == {(1,), (2,)} and all(got[n] == pytest.approx(want[n]) for n in want)
+
+
+def test_loops_build_their_graph_once(spark, monkeypatch):
+    cuts = []
+    was = Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name: (cuts.append(name), was(self, df, name))[1])
+    e = dead_ended(spark)
+    rewards = spark.createDataFrame([("d", 1.0)], "id string, reward double")
+    f = spark.createDataFrame([("a", 0, "x"), ("d", 0, "y")], "node string, pos int, feat string")
+    for run in (lambda: policy.evaluate(e, rewards, 0.9, 1), lambda: ranking.pagerank(e, 1), lambda: embedding.click_terms(e, f, rewards, 1), lambda: features.propagate(e, f, 2, 0.0, 1)):
+        cuts.clear()
+        assert run().count() and cuts.count("edges") == 1
