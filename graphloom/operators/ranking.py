@@ -44,9 +44,9 @@ def _pagerank(edges: DataFrame, iterations: int, damping: float, eps: float, nod
 def tournament(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, norms) of (winner, loser, weight): edges from loser to winner of half the weight; norms 1 plus half of what a node lost."""
     edges = normalized(deduplicated(outcomes.select(F.col("loser").alias("src"), F.col("winner").alias("dst"), (F.col("weight") / 2).alias("weight"))))
-    lost = outcomes.groupBy(F.col("loser").alias("id")).agg(F.sum(F.col("weight") / 2).alias("_l"))
-    nodes = nodes_of(edges)
-    return edges, nodes.join(lost, "id", "left").select("id", (1 + F.coalesce("_l", F.lit(0.0))).alias("norm"))
+    both = F.array(F.struct(F.col("loser").alias("id"), (F.col("weight") / 2).alias("lost")), F.struct(F.col("winner").alias("id"), F.lit(0.0).alias("lost")))
+    norms = outcomes.select(F.explode(both).alias("o")).groupBy(F.col("o.id").alias("id")).agg((1 + F.coalesce(F.sum("o.lost"), F.lit(0.0))).alias("norm"))
+    return edges, norms
 
 
 def ranked_outcomes(lists: DataFrame, weight: float = 1.0) -> DataFrame:

@@ -135,3 +135,10 @@ def test_loops_build_their_graph_once(spark, monkeypatch):
     for run in (lambda: policy.evaluate(e, rewards, 0.9, 1), lambda: ranking.pagerank(e, 1), lambda: embedding.click_terms(e, f, rewards, 1), lambda: features.propagate(e, f, 2, 0.0, 1)):
         cuts.clear()
         assert run().count() and cuts.count("edges") == 1
+
+
+def test_norms_take_one_pass_over_the_outcomes(spark):
+    o = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 3, 2.0), (1, 2, 1.0)], "winner long, loser long, weight double")
+    norms = ranking.tournament(o)[1]
+    assert rows_of(norms) == {(1,): 1.0, (2,): 2.0, (3,): 2.5}
+    assert plan_of(norms).count("LogicalRDD") + plan_of(norms).count("LocalRelation") == 1 and "Join" not in plan_of(norms)
